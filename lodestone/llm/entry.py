@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring
+from . import jaccard, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op5_jaccard_join": jaccard.query,
         "op10_substring_dedup": substring.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_jaccard_join": jaccard.ORACLE,
         "op10_substring_dedup": substring.ORACLE,
     }
