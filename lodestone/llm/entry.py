@@ -6,20 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, substring
+from . import jaccard, packing, secrets, sharding, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_secret_scan": secrets.query,
+        "op4_packing": packing.query,
         "op5_jaccard_join": jaccard.query,
+        "op8_sharding": sharding.query,
         "op10_substring_dedup": substring.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_secret_scan": secrets.ORACLE,
         "op5_jaccard_join": jaccard.ORACLE,
         "op10_substring_dedup": substring.ORACLE,
     }
