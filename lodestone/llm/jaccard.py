@@ -142,9 +142,10 @@ def _candidate_rows(percent: int, bits: int):
     """Of one bucket of tokens: pairs of sets whose prefixes hold the same token and whose sizes allow the similarity, with the count."""
 
     def pack(a, b, count, need) -> Iterator[pa.RecordBatch]:
-        part = (xxhash64(a) >> np.uint64(64 - bits)).astype(np.int64)
+        side = lambda x: (xxhash64(x) >> np.uint64(64 - bits)).astype(np.int64)
+        part = side(a) << bits | side(b)
         order = np.lexsort((b, a, part))
-        at = cut(part[order], 1 << bits)
+        at = cut(part[order], 1 << 2 * bits)
         rows = []
         for p in np.flatnonzero(np.diff(at)):
             x = order[at[p] : at[p + 1]]
@@ -289,8 +290,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     takes the length whose postings and verifications, estimated from the
     sketch, cost least; a pair goes by the stricter of its two. Survivors are
     verified against whole sets, and a pair already in one group is not compared
-    again. Pairs travel packed, by hash of their smaller set, so a large group of
-    near copies spreads over all tasks.
+    again. Pairs travel packed, by a grid of the hashes of both sides: a large
+    group of near copies spreads over all tasks, and each of its sets goes to one
+    row and one column of the grid.
 
     A null id counts as the largest id and stays null in doc_id; it never is
     another row's component_id. Repeated ids are allowed: each row has its own
@@ -306,7 +308,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = stored(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("need").alias("need"), F.first("tokens").alias("tokens")), "classes")
 
     postings = classes.select("n", "node", "need", "tokens").mapInArrow(_posting_rows(percent, bits), _POSTINGS)
-    pairs = postings.groupBy("bucket").applyInArrow(_candidate_rows(percent, bits), _PAIRS)
+    pairs = postings.groupBy("bucket").applyInArrow(_candidate_rows(percent, (bits + 1) // 2), _PAIRS)
     pairs = stored(pairs.groupBy("part").applyInArrow(_required_pairs, "part int, a array<bigint>, b array<bigint>"), "pairs")
 
     sides = pairs.select(F.col("part").alias("to_part"), F.explode(F.array_distinct(F.concat("a", "b"))).alias("node")).distinct()
