@@ -17,6 +17,18 @@ def unplanes(raw: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(kind).reshape(n)
 
 
+def pack_owned(ids: np.ndarray, keys: np.ndarray, places: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+    """(ids, keys, counts, places) of elements in order of id, key and place: each owner once, with its count."""
+    new = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]))
+    counts = np.diff(np.append(new, len(ids))).astype(np.uint32)
+    return planes(np.diff(ids[new], prepend=np.int64(0))), keys[new].tobytes(), planes(counts), planes(places)
+
+
+def unpack_owned(ids: bytes, keys: bytes, counts: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = unplanes(counts, np.uint32)
+    return np.repeat(np.cumsum(unplanes(ids, np.int64)), n), np.repeat(np.frombuffer(keys, np.int64), n), unplanes(places, np.uint32)
+
+
 def column(table: pa.Table, name: str) -> list[bytes]:
     return table.column(name).to_pylist()
 

@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import column, cut, planes, unplanes, xxhash64
+from .packed import column, cut, pack_owned, planes, unpack_owned, unplanes, xxhash64
 from .shared import bucket_bits, stored
 from .words import ngrams, row_firsts, text_slices, words
 
 WINDOW = 13
 FILTER_BITS = 1 << 28
-FLUSH_WINDOWS = 3 << 20
+FLUSH_WINDOWS = 3 << 19
 _LAST = (1 << 63) - 1
 
 
@@ -113,18 +113,18 @@ class _Live:
         return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool) & ~self.none[b]
 
 
-_WINDOWS = "bucket int, settled boolean, hashes binary, ids binary, keys binary, places binary"
+_WINDOWS = "bucket int, settled boolean, hashes binary, ids binary, keys binary, counts binary, places binary"
 
 
-def _window_rows(block: int, window: int, bits: int, live):
+def _window_rows(block: int, window: int, bits: int, part_bits: int, live):
     """Windows around hits: by bucket of the window's hash, those whose first owner in this task is this row; the others are settled here."""
 
     def pack(out: list, bucket: np.ndarray, settled: bool, h, ids, keys, at) -> None:
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((at, keys, ids, bucket))
         bounds = cut(bucket[order], 1 << bits)
         for b in np.flatnonzero(np.diff(bounds)):
             x = order[bounds[b] : bounds[b + 1]]
-            out.append((int(b), settled, b"" if settled else h[x].tobytes(), ids[x].tobytes(), keys[x].tobytes(), planes(at[x])))
+            out.append((int(b), settled, b"" if settled else h[x].tobytes(), *pack_owned(ids[x], keys[x], at[x])))
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
         h, ids, keys, at = (np.concatenate(x) for x in zip(*held))
@@ -136,11 +136,11 @@ def _window_rows(block: int, window: int, bits: int, live):
         later[order] = ids[order] > least
         out: list = []
         s = np.flatnonzero(later)
-        pack(out, part_of(ids[s], bits), True, h[s], ids[s], keys[s], at[s])
+        pack(out, part_of(ids[s], part_bits), True, h[s], ids[s], keys[s], at[s])
         s = np.flatnonzero(~later)
         pack(out, (h[s] >> np.uint64(64 - bits)).astype(np.int64), False, h[s], ids[s], keys[s], at[s])
         for i in range(0, len(out), 256):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 256]), (pa.int32(), pa.bool_(), *[pa.binary()] * 4))], names=["bucket", "settled", "hashes", "ids", "keys", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 256]), (pa.int32(), pa.bool_(), *[pa.binary()] * 5))], names=["bucket", "settled", "hashes", "ids", "keys", "counts", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -166,17 +166,17 @@ def _window_rows(block: int, window: int, bits: int, live):
     return run
 
 
-_REMOVED = "part int, ids binary, keys binary, places binary"
+_REMOVED = "part int, ids binary, keys binary, counts binary, places binary"
 
 
-def _owners(bits: int):
+def _owners(part_bits: int):
     """Of one bucket: the windows that a smaller id also has, by part of the id."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         h, ids, keys, at = [], [], [], []
         done = []
-        for settled, hashes, i, k, p in zip(*(column(table, c) for c in ("settled", "hashes", "ids", "keys", "places"))):
-            i, k, p = np.frombuffer(i, np.int64), np.frombuffer(k, np.int64), unplanes(p, np.uint32)
+        for settled, hashes, *owned in zip(*(column(table, c) for c in ("settled", "hashes", "ids", "keys", "counts", "places"))):
+            i, k, p = unpack_owned(*owned)
             if settled:
                 done.append((i, k, p))
             else:
@@ -192,15 +192,15 @@ def _owners(bits: int):
             later = ids > ids[new][np.cumsum(new) - 1]
             done.append((ids[later], keys[later], at[later]))
         ids, keys, at = (np.concatenate(x) for x in zip(*done))
-        part = part_of(ids, bits)
-        order = np.lexsort((ids, part))
-        bounds = cut(part[order], 1 << bits)
+        part = part_of(ids, part_bits)
+        order = np.lexsort((at, keys, ids, part))
+        bounds = cut(part[order], 1 << part_bits)
         rows = []
         for b in np.flatnonzero(np.diff(bounds)):
             x = order[bounds[b] : bounds[b + 1]]
-            rows.append((int(b), ids[x].tobytes(), keys[x].tobytes(), planes(at[x])))
-        cols = list(zip(*rows)) or [[], [], [], []]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "ids", "keys", "places"])
+            rows.append((int(b), *pack_owned(ids[x], keys[x], at[x])))
+        cols = list(zip(*rows)) or [[]] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), *[pa.binary()] * 4))], names=["part", "ids", "keys", "counts", "places"])
 
     return run
 
@@ -209,7 +209,7 @@ def _kept(window: int):
     """Rows of one part with what is removed from them."""
 
     def run(key: tuple, docs: pa.Table, gone: pa.Table) -> pa.Table:
-        parts = [(np.frombuffer(i, np.int64), np.frombuffer(k, np.int64), unplanes(p, np.uint32)) for i, k, p in zip(*(column(gone, c) for c in ("ids", "keys", "places")))]
+        parts = [unpack_owned(*owned) for owned in zip(*(column(gone, c) for c in ("ids", "keys", "counts", "places")))]
         i, k, p = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
         order = np.lexsort((k, i))
         i, k, p = i[order], k[order], p[order]
@@ -256,16 +256,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words. Other columns are ignored. Empty table: empty result.
     """
     spark, block = docs.sparkSession, (window + 1) // 2
-    bits = min(24, bucket_bits(spark))
+    bits, part_bits = min(24, bucket_bits(spark, 2)), min(24, bucket_bits(spark, 1))
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
     probes = base.select("text").mapInArrow(_probe_rows(block, bits), "bucket int, n int, frags binary, twice binary, anchor binary")
     segments = probes.groupBy("bucket").applyInArrow(_live_segment(max(64, FILTER_BITS >> bits)), "bucket int, segment binary")
     live = spark.sparkContext.broadcast(_Live([(r[0], bytes(r[1])) for r in segments.collect()], bits))  # of FILTER_BITS at most
-    windows = base.select("id", "key", "text").mapInArrow(_window_rows(block, window, bits, live), _WINDOWS)
-    removed = windows.groupBy("bucket").applyInArrow(_owners(bits), _REMOVED)
+    windows = base.select("id", "key", "text").mapInArrow(_window_rows(block, window, bits, part_bits, live), _WINDOWS)
+    removed = windows.groupBy("bucket").applyInArrow(_owners(part_bits), _REMOVED)
     removed = stored(removed, "removed")
 
-    dealt = base.withColumn("part", F.shiftrightunsigned(F.xxhash64("id"), 64 - bits).cast("int"))
+    dealt = base.withColumn("part", F.shiftrightunsigned(F.xxhash64("id"), 64 - part_bits).cast("int"))
     return dealt.groupBy("part").cogroup(removed.groupBy("part")).applyInArrow(_kept(window), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
 
 
