@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stored
 
 BUCKETS, TRAIN_ROWS, SMOOTHING, EVIDENCE = 4096, 20_000, 0.5, 60.0
-STEPS, CLOSE = 60, 1e-4
+STEPS, CLOSE = 40, 2e-4
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -78,7 +79,7 @@ def with_posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text")
 
 
 def rate(posterior: Column, history: list[list[float]], low: float, high: float) -> Column:
-    """A document's rate after the steps so far: each moves it against the domains' residuals and back into low..high."""
+    """A document's rate after the steps so far: each moves it by its posterior and then back into low..high."""
     one = F.lit(min(max(1.0, low), high))
     if not history:
         return one
@@ -93,31 +94,35 @@ def rate(posterior: Column, history: list[list[float]], low: float, high: float)
 
 
 def fit(rows: DataFrame, targets: list[float], low: float = 0.0, high: float = 1e9, steps: int = STEPS) -> tuple[list[list[float]], list[float], list[float]]:
-    """(residuals of all steps, reached and target shares) of projected-gradient least squares on rows(_tokens, _posterior).
-
-    Minimises the squared misfit of the expected token share of each domain,
-    over what that domain has, with every rate in low..high. Scaled like that,
-    and with gradients measured per token, the largest curvature is 1: each step
-    has length 1. A step is one aggregate over the table; a document's rate is
-    the fold of its posterior over the residuals, so no state is written.
+    """(moves of all steps, reached and target shares) of projected-gradient least squares on rows(_tokens, _posterior).
+
+    Minimises the misfit of the expected token shares with every rate in
+    low..high. The misfit is weighted by the inverse of the posteriors' second
+    moments, and gradients are measured per token: every curvature is then 1, a
+    step has length 1, and bounds that don't bind are met in one. A step is one
+    aggregate over the table; a document's rate is the fold of its posterior over
+    the moves, so no state is written.
     """
     k = len(targets)
-    sums = lambda r: [F.sum(F.col("_tokens") * r * F.get("_posterior", F.lit(i))) for i in range(k)]
-    first = rows.agg(F.sum("_tokens"), *sums(F.lit(1.0))).first()
+    p = [F.get("_posterior", F.lit(i)) for i in range(k)]
+    first = rows.agg(F.sum("_tokens"), *[F.sum(F.col("_tokens") * p[i] * p[j]) for i in range(k) for j in range(k)]).first()
     total = first[0] or 0
     if not total:
         return [], [0.0] * k, targets
-    mass = [x / total for x in first[1:]]
+    moments = np.array(first[1:], float).reshape(k, k) / total
+    inverse = np.linalg.inv(moments + 1e-9 * np.eye(k))
     history: list[list[float]] = []
-    share = mass
+    share, last = [], None
     for _ in range(steps):
-        got = rows.agg(*sums(rate(F.col("_posterior"), history, low, high))).first()
+        r = rate(F.col("_posterior"), history, low, high)
+        got = rows.select("_tokens", "_posterior", F.explode(F.array(r)).alias("_r")).agg(*[F.sum(F.col("_tokens") * F.col("_r") * x) for x in p]).first()
         share = [x / total for x in got]
         if max(abs(s - t) for s, t in zip(share, targets)) < CLOSE:
             break
-        history.append([(s - t) / max(m, 1e-9) for s, t, m in zip(share, targets, mass)])
-        if len(history) > 1 and max(abs(a - b) for a, b in zip(history[-1], history[-2])) < CLOSE / 10:
+        if last and max(abs(a - b) for a, b in zip(share, last)) < CLOSE / 5:
             break  # the bounds hold it
+        last = share
+        history.append([float(x) for x in inverse @ (np.array(share) - np.array(targets))])
     return history, share, targets
 
 
