@@ -107,21 +107,22 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     Overlapping findings are replaced once. Texts are matched with their
     findings by id and a hash of the text, so equal rows get equal results.
     """
-    key = [F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("_id"), F.xxhash64(F.col(text_col)).alias("_text")]
-    keyed = docs.select("*", *key)
-    hits = scan(docs.select("*", *key).withColumn("_key", F.xxhash64("_id", "_text")), "_key", text_col, **options).where(F.size("found") > 0).dropDuplicates(["doc_id"])
-    t = F.col(text_col)
+    key = F.xxhash64(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))), F.col(text_col))
+    repository, owner = (options.pop(k, None) for k in ("repository", "owner"))
+    rows = docs.select(key.alias("key"), F.struct(*docs.columns).alias("row"), F.col(text_col).alias("t"))
+    slim = docs.select(key.alias("key"), F.col(text_col).alias("t"), (F.concat_ws("/", "source", "lang") if repository is None else repository).alias("r"), (F.coalesce(F.col("source"), F.lit("")) if owner is None else owner).alias("o"))
+    hits = scan(slim, "key", "t", F.col("r"), F.col("o"), **options).where(F.size("found") > 0).dropDuplicates(["doc_id"])
+    t = F.col("t")
 
     def cut(acc: Column, s: Column) -> Column:
-        return F.struct(
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(t, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
-        )
+        before = F.substring(t, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+        return F.struct(F.when(s["start"] >= acc["at"], F.concat(acc["out"], before, F.lit(mark))).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
     done = F.aggregate("found", start, cut, lambda acc: F.concat(acc["out"], F.substring(t, (acc["at"] + 1).cast("int"), F.lit(2147483647))))
-    joined = keyed.withColumn("_key", F.xxhash64("_id", "_text")).join(hits.select(F.col("doc_id").alias("_key"), "found"), "_key", "left")
-    return joined.withColumn(text_col, F.when(F.col("found").isNotNull(), done).otherwise(t)).select(*docs.columns)
+    joined = rows.join(hits.select(F.col("doc_id").alias("key"), "found"), "key", "left")
+    new = F.when(F.col("found").isNotNull(), done).otherwise(t)
+    return joined.select(*[new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
