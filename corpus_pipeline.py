@@ -39,8 +39,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document in as many copies as its rate towards TARGETS gives, one at least."""
     labelled = mixing.domains_of_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    mixed, _ = mixing.mix(docs, labelled, TARGETS, low=1.0, high=2.0, total=GROWTH)
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))  # whatever the columns are called
+    mixed, _ = mixing.mix(rows, labelled, TARGETS, low=1.0, high=2.0, total=GROWTH)
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
