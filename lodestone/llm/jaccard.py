@@ -15,7 +15,7 @@ from .shared import bucket_bits, shuffle_partitions, stored
 from .words import mix, ngrams, row_firsts, text_slices, words
 
 SHINGLE, SIMILARITY = 5, 80
-SKETCH_BITS, SKETCH_SLICES = 22, 16
+SKETCH_BITS, SKETCH_SLICES = 20, 16
 MATCHES = 4
 FILTER_BITS = 24
 FLUSH_TOKENS, FLUSH_PAIRS = 1 << 20, 2 << 20
