@@ -193,12 +193,14 @@ def causal_groups(spark, d):
 
 @register(rf"WITH s AS (SELECT doc_id, {SENTENCES.format('text')} AS s FROM documents) SELECT doc_id, CAST(i // 4 AS INT) AS pos, array_to_string(s[i + 1:i + 6], ' ') AS win FROM s, unnest(generate_series(0, len(s) - 1, 4)) AS t(i)")
 def sentence_windows(spark, d):
-    return _docs(spark, d).select("doc_id", F.posexplode(C.windows(T.sentences(F.col("text")))).alias("pos", "win"))
+    once = _docs(spark, d).select("doc_id", F.explode(F.array(T.sentences(F.col("text")))).alias("s"))  # evaluated once, not at each use
+    return once.select("doc_id", F.posexplode(C.windows(F.col("s"))).alias("pos", "win"))
 
 
 @register(rf"WITH s AS (SELECT doc_id, {SPLIT.format('text')} AS s FROM documents) SELECT doc_id, CAST(i // 96 AS INT) AS pos, array_to_string(s[i + 1:i + 128], ' ') AS win FROM s, unnest(generate_series(0, len(s) - 1, 96)) AS t(i)")
 def token_windows(spark, d):
-    return _docs(spark, d).select("doc_id", F.posexplode(C.token_windows(F.col("text"), 128)).alias("pos", "win"))
+    once = _docs(spark, d).select("doc_id", F.explode(F.array(T.words(F.col("text")))).alias("s"))
+    return once.select("doc_id", F.posexplode(C.windows(F.col("s"), 128, 32)).alias("pos", "win"))
 
 
 @register()
