@@ -18,6 +18,10 @@ DROPPED = frozenset(("script", "style", "noscript", "iframe", "footer", "header"
 SKIPPED_PATHS = r"(?i)/(feed|wp-admin|wp-includes|wp-content)/"
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 MIN_SIDE, MIN_AREA = 48, 3000
+HEADINGS, LISTS = ("h1", "h2", "h3"), ("ul", "ol")
+ROOTS, ROOT_TAGS = ("entry-content", "article", "main", "content"), {"article": "article", "main": "main"}
+
+IMAGE_FIELDS = ("src", "caption", "alt", "title", "width", "height")
 
 
 def sniffed(html: Column) -> Column:
@@ -33,78 +37,158 @@ def page_title(html: Column) -> Column:
 
 
 def image_dims(src: Column) -> Column:
-    p = r"(?i)-(\d+)x(\d+)\.(?:jpg|jpeg|png|gif|webp)"
-    part = lambda i: F.nullif(F.regexp_extract(text_of(src), p, i), F.lit("")).cast("int")
+    p = r"(?i)-([1-9]\d*)x([1-9]\d*)\.(?:jpg|jpeg|png|gif|webp)"
+    part = lambda i: F.nullif(F.regexp_extract(text_of(src), p, i), F.lit("")).try_cast("int")
     return F.struct(part(1).alias("width"), part(2).alias("height"))
 
 
 def is_tiny(width: Column, height: Column) -> Column:
     known = width.isNotNull() & height.isNotNull()
-    return F.coalesce(known & ((F.least(width, height) < MIN_SIDE) | (width * height < MIN_AREA)), F.lit(False))
+    return F.coalesce(known & ((F.least(width, height) < MIN_SIDE) | (width.cast("bigint") * height < MIN_AREA)), F.lit(False))
 
 
 def clean_caption(c: Column) -> Column:
-    t = F.regexp_replace(F.regexp_replace(text_of(c), r"(?i)\b(?:source|credit)\s*:.*$", ""), r"https?://\S+", "")
-    return F.trim(F.regexp_replace(t, r"[\s–—-]+$", ""))
+    t = F.regexp_replace(F.trim(text_of(c)), r"(?i)^\s*(?:source|credit)\s*:\s*", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"https?://\S+", ""), r"\s*[-–—:;]*\s*$", ""))
+
+
+def image_records(images: Column) -> Column:
+    """Raw images as (src, caption, alt, title, image_text); tiny ones go, by attributes or else by the size in the address."""
+
+    def side(i: Column, name: str) -> Column:
+        own = i[name].try_cast("int")
+        return F.coalesce(F.when(own != 0, own), image_dims(i["src"])[name])
+
+    def record(i: Column) -> Column:
+        cap, alt, title = clean_caption(i["caption"]), F.trim(text_of(i["alt"])), F.trim(text_of(i["title"]))
+        merged = F.array_join(F.array_distinct(F.filter(F.array(cap, alt, title), lambda x: x != "")), " ")
+        return F.struct(i["src"].alias("src"), cap.alias("caption"), alt.alias("alt"), title.alias("title"), merged.alias("image_text"))
+
+    return F.transform(F.filter(images, lambda i: ~is_tiny(side(i, "width"), side(i, "height"))), record)
+
+
+def _source(a: dict[str, str]) -> str:
+    """The first address that isn't a drawn placeholder."""
+    named = [a.get(k, "") for k in ("src", "data-src", "data-lazy-src", "data-original")]
+    sets = [(a.get(k, "").split(",")[0].split() or [""])[0] for k in ("srcset", "data-srcset")]
+    return next((x for x in named + sets if x and not x.startswith("data:image/svg")), "")
+
+
+class _Block:
+    def __init__(self, tag: str, pos: int, roots: frozenset[str], quoted: bool):
+        self.tag, self.pos, self.roots, self.quoted = tag, pos, roots, quoted
+        self.items: list[list[str]] = [] if tag in LISTS else [[]]
+        self.images: list[dict] = []
 
 
 class _Walk(HTMLParser):
-    """Blocks in document order: (tag, text, images). A block closes an open paragraph; lists give their own items."""
+    """Blocks in document order. A block's text holds that of blocks inside it; a list's items are its own li; a block closes an open paragraph."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out: list[tuple[str, str, list[str]]] = []
-        self.open: list[tuple[str, list[str], list[str]]] = []
-        self.dropped = 0
+        self.done: list[_Block] = []
+        self.open: list[_Block] = []
+        self.path: list[tuple[str, str]] = []  # open elements, with the kind of content root that each is
+        self.seen: set[str] = set()
+        self.caption: list[str] | None = None
+        self.dropped = self.count = 0
 
     def _close(self, tag: str) -> None:
-        while any(t == tag for t, _, _ in self.open):
-            t, parts, images = self.open.pop()
-            text = re.sub(r"\s+", " ", " ".join(parts)).strip()
-            if text or images:
-                self.out.append((t, text, images))
-            if t == tag:
+        while any(b.tag == tag for b in self.open):
+            b = self.open.pop()
+            self.done.append(b)
+            if b.tag == tag:
                 break
 
     def handle_starttag(self, tag: str, attrs) -> None:
-        if tag in DROPPED:
-            self.dropped += 1
+        a = {k: v or "" for k, v in attrs}
+        self.dropped += tag in DROPPED
+        if tag == "img" and not self.dropped and (src := _source(a)):
+            direct = bool(self.path) and self.path[-1][0] == "figure"
+            image = {"src": src, "caption": "", "alt": a.get("alt", ""), "title": a.get("title", ""), "width": a.get("width"), "height": a.get("height"), "direct": direct}
+            for b in self.open:
+                b.images.append(image)
+        if tag in VOID:
+            return
+        root = ROOT_TAGS.get(tag, "") or ("entry-content" if tag == "div" and "entry-content" in a.get("class", "").split() else "content" if tag == "div" and a.get("id") == "content" else "")
+        root = "" if root in self.seen else root  # the first of each kind
+        self.seen |= {root} - {""}
+        self.path.append((tag, root))
         if self.dropped:
             return
         if tag in BLOCKS:
-            self._close("p")
-            self.open.append((tag, [], []))
-        elif tag == "img" and self.open:
-            a = {k: v or "" for k, v in attrs}
-            src = next((a[k] for k in ("src", "data-src", "data-lazy-src", "data-original") if a.get(k) and not a[k].startswith("data:image/svg")), "")
-            if src:
-                self.open[-1][2].append(src)
+            if self.open and self.open[-1].tag == "p":
+                self._close("p")
+            roots = frozenset(r for _, r in self.path if r)
+            self.open.append(_Block(tag, self.count, roots, any(b.tag == "blockquote" for b in self.open)))
+            self.count += 1
+        elif tag == "li":
+            if self.open and self.open[-1].tag == "p":
+                self._close("p")
+            if self.open and self.open[-1].tag in LISTS:
+                self.open[-1].items.append([])
+        elif tag == "figcaption":
+            self.caption = []
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in DROPPED:
-            self.dropped = max(0, self.dropped - 1)
-        elif not self.dropped and tag in BLOCKS:
+        if not self.dropped and tag == "figcaption" and self.caption is not None:
+            text = _joined(self.caption)
+            for b in [b for b in self.open if b.tag == "figure"][-1:]:
+                for i in b.images:
+                    i["caption"] = i["caption"] or (text if i["direct"] else "")
+            self.caption = None
+        for at in range(len(self.path) - 1, -1, -1):
+            if self.path[at][0] == tag:
+                self.dropped -= sum(t in DROPPED for t, _ in self.path[at:])
+                del self.path[at:]
+                break
+        if not self.dropped and tag in BLOCKS:
             self._close(tag)
 
     def handle_data(self, data: str) -> None:
-        if not self.dropped and self.open:
-            self.open[-1][1].append(data)
+        if self.dropped:
+            return
+        if self.caption is not None:
+            self.caption.append(data)
+        for b in self.open:
+            if b.items:
+                b.items[-1].append(data)
 
     def close(self) -> None:
         super().close()
         while self.open:
-            self._close(self.open[-1][0])
+            self._close(self.open[-1].tag)
+
 
+def _joined(parts: list[str]) -> str:
+    return re.sub(r"\s+", " ", " ".join(parts)).strip()
 
-def walk(html: str) -> list[tuple[str, str, list[str]]]:
+
+def walk(html: str) -> list[tuple]:
+    """(tag, text, items, quoted, images) of the blocks in the first content root, else of all; headings even without a text."""
     w = _Walk()
     w.feed(html)
     w.close()
-    return w.out
+    root = next((r for r in ROOTS if r in w.seen), None)
+    out = []
+    for b in sorted(w.done, key=lambda b: b.pos):
+        if root and root not in b.roots:
+            continue
+        items = [t for t in map(_joined, b.items) if t]
+        images = [{k: i[k] for k in IMAGE_FIELDS} for i in b.images]
+        if items or images or b.tag in HEADINGS:
+            out.append((b.tag, " ".join(items), items, b.quoted, images))
+    return out
 
 
 def blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(page_id, pos, tag, text, images) of every block. A page that can't be parsed gives one row with tag "error" and the reason."""
+    """(page_id, pos, tag, text, items, quoted, images) of every block; text in dropped elements is left out.
+
+    A page that can't be parsed gives one row with tag "error" and the reason; a null or empty one gives none.
+    """
+    image = pa.struct([(k, pa.string()) for k in IMAGE_FIELDS])
+    types = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.list_(image))
+    names = ["page_id", "pos", "tag", "text", "items", "quoted", "raw"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,10 +197,12 @@ def blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
                 try:
                     found = walk(h.as_py() or "")
                 except Exception as e:  # one bad page is a row, not a failed job
-                    found = [("error", str(e), [])]
+                    found = [("error", str(e), [], False, [])]
                 rows += [(i, n, *b) for n, b in enumerate(found)]
-            cols = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string())))], names=["page_id", "pos", "tag", "text", "images"])
+            cols = list(zip(*rows)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
     base = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(html_col).cast("string").alias("html"))
-    return base.mapInArrow(run, "page_id bigint, pos int, tag string, text string, images array<string>")
+    raw = ", ".join(f"{k}: string" for k in IMAGE_FIELDS)
+    out = base.mapInArrow(run, f"page_id bigint, pos int, tag string, text string, items array<string>, quoted boolean, raw array<struct<{raw}>>")
+    return out.withColumn("images", image_records(F.col("raw"))).drop("raw")

@@ -68,8 +68,8 @@ def sentences(c: Column) -> Column:
 
 
 def clauses(sentence: Column) -> Column:
-    """Parts after : ; , - and closing parentheses; the sentence where there is none."""
-    parts = F.filter(F.transform(F.split(sentence, r"(?<=[:;,)–-])\s+"), lambda s: F.trim(s)), lambda s: s != "")
+    """Parts after : ; , — - and closing parentheses, and after a full stop before a capital or a digit; the sentence where there is none."""
+    parts = F.filter(F.transform(F.split(sentence, r"(?<=[:;,—)-])\s+|(?<=\.)\s+(?=[A-Z0-9])"), lambda s: F.trim(s)), lambda s: s != "")
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(sentence))
 
 

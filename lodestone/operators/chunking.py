@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -49,20 +49,82 @@ def with_overlap(pieces: Column, threshold: int = 350) -> Column:
     return F.transform(pieces, one)
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", min_words: int = 50, cues=T.CAUSAL_CUES) -> DataFrame:
-    """(article_id, chunk_id, chunk_idx, article_seq, body, token_len, word_len, source_relpath): one row for each window of causal groups.
+def hard_capped(sentences: Column, cap: int | Column) -> Column:
+    """Sentences packed in order into pieces of at most `cap` tokens: a longer sentence goes by clauses, a longer clause by runs of words.
 
-    Pieces below max(50, 0.8 * min_words) words go, but the longest of a text stays if all would.
+    The counts of the parts are added up, so a piece may hold one token less than
+    its own count says. Nothing is lost and the order stays.
+    """
+    cap = F.lit(cap) if isinstance(cap, int) else cap
+    most = F.greatest(F.ceil((cap + 1) * F.lit(0.75)).cast("int") - 1, F.lit(1))  # words whose count is within the cap
+
+    def runs(c: Column) -> Column:
+        w = T.words(c)
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), most), lambda i: F.array_join(F.slice(w, i + 1, most), " "))
+
+    def parts(s: Column) -> Column:
+        by_clause = F.flatten(F.transform(T.clauses(s), lambda c: F.when(T.chunk_tokens(c) <= cap, F.array(c)).otherwise(runs(c))))
+        return F.when(T.chunk_tokens(s) <= cap, F.array(s)).otherwise(by_clause)
+
+    def step(a: Column, s: Column) -> Column:
+        n = T.chunk_tokens(s)
+        fits = (a["open"] == "") | (a["n"] + n <= cap)
+        return F.struct(
+            F.when(fits, a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))).alias("done"),
+            F.when(fits & (a["open"] != ""), F.concat_ws(" ", a["open"], s)).otherwise(s).alias("open"),
+            F.when(fits, a["n"] + n).otherwise(n).alias("n"),
+        )
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
+    units = F.filter(F.flatten(F.transform(sentences, parts)), lambda s: s != "")
+    return F.aggregate(units, start, step, lambda a: F.when(a["open"] != "", F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]))
+
+
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that is evaluated once, not at each use."""
+    return rows.withColumn(name, F.explode(F.array(value)))
+
+
+def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", min_words: int = 50, cues=T.CAUSAL_CUES, cap: int = 512, title_col: str | None = None, section_col: str | None = None, block_col: str | None = None, images_col: str | None = None) -> DataFrame:
+    """(article_id, chunk_id, title, section, chunk_idx, article_seq, embed_text, body, text_with_images, images, source_relpath, token_len, word_len).
+
+    Windows of causal groups; those over `cap` tokens are packed anew, each piece
+    behind the last sentence of the one before. Pieces below max(50, 0.8 * min_words)
+    words go, but the longest of a block stays if all would. The header, title and
+    section, counts towards the cap. Rows with block_col are the blocks of one
+    article in that order; without it every row is an article of its own.
     """
     least = max(50, int(min_words * 0.8))
-    pieces = docs.select(F.col(id_col).alias("doc"), F.col(source_col).alias("source_relpath"), F.explode(F.array(windows(causal_groups(T.sentences(F.col(text_col)), cues)))).alias("w"))
-    long = F.filter("w", lambda x: T.word_count(x) >= least)
-    longest = F.array_max(F.transform("w", lambda x: F.struct(T.word_count(x).alias("n"), x.alias("x"))))["x"]
-    kept = pieces.select("doc", "source_relpath", F.when(F.size(long) > 0, long).when(F.size("w") > 0, F.array(longest)).otherwise(F.array().cast("array<string>")).alias("w"))
-    each = kept.select(F.sha2(F.col("doc").cast("string"), 256).alias("article_id"), "source_relpath", F.posexplode("w").alias("article_seq", "body"))
-    return each.select(
-        "article_id", F.sha2(F.concat_ws("|", "article_id", F.col("article_seq").cast("string"), F.substring("body", 1, 80)), 256).alias("chunk_id"), F.col("article_seq").cast("string").alias("chunk_idx"),
-        "article_seq", "body", T.chunk_tokens(F.col("body")).alias("token_len"), T.word_count(F.col("body")).alias("word_len"), "source_relpath",
+    none = F.lit(None).cast("string")
+    own = lambda name, other=none: F.col(name) if name else other
+    empty = F.array().cast("array<string>")
+    texts = F.array_distinct(F.filter(F.transform(F.col(images_col), lambda i: F.trim(i["image_text"])), lambda x: x != "")) if images_col else empty
+    rows = docs.select(
+        F.sha2(F.col(id_col).cast("string"), 256).alias("article_id"), F.col(source_col).alias("source_relpath"), own(title_col).alias("title"), own(section_col).alias("section"),
+        own(block_col, F.lit(0)).alias("_block"), (F.to_json(images_col) if images_col else F.lit("[]")).alias("images"), texts.alias("_said"), F.col(text_col).alias("_text"),
+    )
+    rows = _once(rows, "_w", windows(causal_groups(T.sentences(F.col("_text")), cues))).drop("_text")
+    rows = _once(rows, "_w", F.flatten(F.transform("_w", lambda p: F.when(T.chunk_tokens(p) <= cap, F.array(p)).otherwise(with_overlap(hard_capped(T.sentences(p), cap))))))
+    long = F.filter("_w", lambda x: T.word_count(x) >= least)
+    longest = F.aggregate("_w", F.struct(F.lit(-1).alias("n"), F.lit("").alias("x")), lambda a, x: F.when(T.word_count(x) > a["n"], F.struct(T.word_count(x).alias("n"), x.alias("x"))).otherwise(a), lambda a: a["x"])
+    rows = rows.withColumn("_forced", F.size(long) == 0)
+    rows = _once(rows, "_w", F.when(F.size(long) > 0, long).when(F.size("_w") > 0, F.array(longest)).otherwise(empty))
+    rows = _once(rows, "_w", F.flatten(F.transform("_w", lambda p: F.when(T.chunk_tokens(p) <= cap, F.array(p)).otherwise(hard_capped(T.sentences(p), cap)))))
+    header = T.header(F.col("title"), F.col("section"))
+    rows = rows.withColumn("_head", F.when((header != "") & (T.chunk_tokens(header) < cap), F.concat(header, F.lit("\n\n"))).otherwise(""))
+    allowed = F.greatest(F.lit(cap) - T.chunk_tokens(F.col("_head")), F.lit(1))
+    rows = _once(rows, "_w", F.transform("_w", lambda p: F.when(T.chunk_tokens(F.concat("_head", p)) <= cap, F.array(p)).otherwise(with_overlap(hard_capped(T.sentences(p), allowed)))))
+    each = F.flatten(F.transform("_w", lambda ps, i: F.transform(ps, lambda x, j: F.struct(i.alias("i"), j.alias("j"), F.size(ps).alias("n"), x.alias("x")))))
+    each = F.filter(each, lambda e: (e["x"] != "") & (F.col("_forced") | (T.word_count(e["x"]) >= least)))
+    rows = rows.withColumn("_w", each).select("*", F.posexplode("_w").alias("_seq", "_e")).drop("_w").withColumns({"_i": F.col("_e.i"), "_j": F.col("_e.j"), "_n": F.col("_e.n"), "body": F.col("_e.x")})
+    seq = F.row_number().over(Window.partitionBy("article_id").orderBy("_block", "_seq")) - 1 if block_col else F.col("_seq")
+    embed = F.concat("_head", "body")
+    place = F.concat_ws("_", F.col("_i").cast("string"), F.col("_j").cast("string"))
+    return rows.select(
+        "article_id", F.sha2(F.concat(F.col("article_id"), F.lit("|"), T.text_of(F.col("section")), F.lit("|"), place, F.lit("|"), F.substring("body", 1, 80)), 256).alias("chunk_id"), "title", "section",
+        F.when(F.col("_n") == 1, F.col("_i").cast("string")).otherwise(F.concat_ws(".", F.col("_i").cast("string"), F.col("_j").cast("string"))).alias("chunk_idx"), seq.alias("article_seq"),
+        embed.alias("embed_text"), "body", F.trim(F.concat_ws(" ", embed, F.when(F.size("_said") > 0, F.array_join("_said", " ")))).alias("text_with_images"), "images", "source_relpath",
+        T.chunk_tokens(embed).alias("token_len"), T.word_count(F.col("body")).alias("word_len"),
     )
 
 

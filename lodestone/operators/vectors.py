@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 1024
+QUERY_BLOCK, CELL = 16384, 65536
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -28,27 +26,31 @@ def normalized(v: Column, least: float = 1e-12) -> Column:
     return F.transform(v.cast("array<double>"), lambda x: x / F.greatest(norm(v), F.lit(least)))
 
 
-def _nearest(block: tuple[np.ndarray, np.ndarray], k: int, metric: str):
-    ids, q = block
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_d = np.full((len(ids), 0), np.inf)
-        best_i = np.zeros((len(ids), 0), np.int64)
-        for batch in batches:
-            if not len(batch):
-                continue
-            col = batch.column("vec")
-            x = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
-            for at in range(0, len(x), 512):
-                part = x[at : at + 512]
-                d = ((q[:, None, :] - part[None]) ** 2).sum(axis=2) if metric == "l2sq" else 1 - q @ part.T
-                names = batch.column("id").to_numpy(zero_copy_only=False)[at : at + 512]
-                best_d = np.hstack([best_d, d])
-                best_i = np.hstack([best_i, np.broadcast_to(names, d.shape)])
-                order = np.lexsort((best_i, np.round(best_d, 6)), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
-        if best_d.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_d.shape[1])), pa.array(best_i.ravel()), pa.array(best_d.ravel())], names=["query_id", "id", "dist"])
+def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    vec = table.column("vec").combine_chunks()
+    return table.column("id").to_numpy(), vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vec), -1)
+
+
+def _nearest(k: int, metric: str):
+    """The k nearest of one cell of the corpus for each query of one block: products find the candidates, exact distances rank them."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if len(left) and len(right):
+            (ids, q), (names, x) = _matrix(left), _matrix(right)
+            xx, n = (x * x).sum(axis=1), min(k, len(x))
+            for at in range(0, len(q), 128):
+                part = q[at : at + 128]
+                d = (part * part).sum(axis=1)[:, None] + xx - 2 * part @ x.T if metric == "l2sq" else 1 - part @ x.T
+                slack = 2e-6 + 1e-12 * (xx.max() + (part * part).sum(axis=1))
+                edge = np.partition(d, n - 1, axis=1)[:, n - 1] + slack
+                for i, row in enumerate(d):
+                    near = np.flatnonzero(row <= edge[i])
+                    exact = np.round(((part[i] - x[near]) ** 2).sum(axis=1) if metric == "l2sq" else 1 - x[near] @ part[i], 6)
+                    order = np.lexsort((names[near], exact))[:k]
+                    out.append((np.full(len(order), ids[at + i]), names[near][order], exact[order]))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
+        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "id": pa.array(cols[1], pa.int64()), "dist": pa.array(cols[2], pa.float64())})
 
     return run
 
@@ -56,28 +58,20 @@ def _nearest(block: tuple[np.ndarray, np.ndarray], k: int, metric: str):
 def knn(queries: DataFrame, corpus: DataFrame, k: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", metric: str = "l2sq") -> DataFrame:
     """(query_id, rank, id, dist): the k nearest of corpus for every query, exactly; dist to six places, ties by id.
 
-    Queries go out in blocks of QUERY_BLOCK; a task keeps k candidates of each
-    query, so what is shuffled is k rows for each query and task.
+    Both sides are dealt to a grid of blocks of about QUERY_BLOCK queries and cells
+    of about CELL vectors; a task holds one block and one cell. Nothing but the two
+    counts comes to the driver, and k rows of each query and cell are shuffled.
     """
     spark = corpus.sparkSession
-    base = corpus.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("vec"))
-    schema, parts, rows = "query_id bigint, id bigint, dist double", [], []
-
-    def send() -> None:
-        block = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
-        parts.append(base.mapInArrow(_nearest(block, k, metric), schema))
-        rows.clear()
-
-    for r in queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("bigint"), vector_col).toLocalIterator():
-        rows.append(r)
-        if len(rows) == QUERY_BLOCK:
-            send()
-    if rows:
-        send()
-    found = parts[0] if parts else spark.createDataFrame([], schema)
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    found = found.withColumn("dist", F.round("dist", 6))
+    side = lambda df: df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("vec")).where("id is not null")
+    q, c = side(queries), side(corpus)
+    blocks = -(-q.count() // QUERY_BLOCK) or 1
+    cells = max(-(-c.count() // CELL), spark.sparkContext.defaultParallelism)
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.select("id", "vec", dealt(blocks).alias("block"), every(cells).alias("cell")).groupBy("block", "cell")
+    right = c.select("id", "vec", dealt(cells).alias("cell"), every(blocks).alias("block")).groupBy("block", "cell")
+    found = left.cogroup(right).applyInArrow(_nearest(k, metric), "query_id bigint, id bigint, dist double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "dist")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import scoring as S
 from ..functions import text as T
+from ..operators import articles as A
 from ..operators import chunking as C
 from ..operators import gold as G
 from ..operators import quality as Q
@@ -343,6 +344,34 @@ def session_log(spark, d):
     return parquet(spark, d, "events").groupBy(F.to_date("ts").cast("string").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 8).alias("mean"))
 
 
+@register()
+def page_sections(spark, d):
+    return A.sections(H.blocks(parquet(spark, d, "pages"))).select("page_id", "pos", "tag", "section", "part", "in_refs")
+
+
+@register()
+def page_runs(spark, d):
+    return A.runs(H.blocks(parquet(spark, d, "pages")), 20).select("page_id", "section", "text", F.size("images").alias("n_images"))
+
+
+@register()
+def page_articles(spark, d):
+    pages = parquet(spark, d, "pages")
+    return A.articles(pages, H.blocks(pages))
+
+
+@register()
+def page_chunks(spark, d):
+    pages = parquet(spark, d, "pages")
+    return A.page_chunks(pages, H.blocks(pages), 20, CUES)
+
+
+@register()
+def hard_capped(spark, d):
+    once = _docs(spark, d).select("doc_id", F.explode(F.array(T.sentences(F.col("text")))).alias("s"))
+    return once.select("doc_id", F.posexplode(C.hard_capped(F.col("s"), 128)).alias("pos", "piece"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in _found.items()}
 
