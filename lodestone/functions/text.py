@@ -182,3 +182,21 @@ def rerank_scores(reply: Column, n: Column) -> Column:
     full = F.slice(F.concat(raw, F.array_repeat(F.lit(0.0), n)), F.lit(1), n)
     clamped = F.transform(full, lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(10.0)))
     return F.when(F.exists(full, lambda x: x.isNull()), F.lit(None)).otherwise(clamped)
+
+
+def category_letter(reply: Column) -> Column:
+    """The first letter of a classifier's reply, D where it is empty; it isn't checked against the known ones."""
+    return F.coalesce(F.nullif(F.substring(F.upper(F.trim(text_of(reply))), 1, 1), F.lit("")), F.lit("D"))
+
+
+def category_name(letter: Column, names: dict[str, str]) -> Column:
+    out = F
+    for k, v in names.items():
+        out = out.when(letter == k, v)
+    return out.otherwise("Unknown")
+
+
+def plain_index(c: Column) -> Column:
+    """An index as a whole number, ".0" cut off; -1 where it is none."""
+    t = F.regexp_replace(F.trim(text_of(c)), r"\.0$", "")
+    return F.when(t.rlike(r"^-?\d+$"), t.try_cast("int")).otherwise(-1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def last_edits(log: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last record of each key, by a combining aggregate: a key with most of the log gathers nowhere."""
@@ -57,3 +59,20 @@ def ordered_by_index(ids: DataFrame, index: DataFrame) -> DataFrame:
     rows = ids.join(index, "id", "left")
     item = F.struct(F.col("idx").isNull().alias("unknown"), F.coalesce("idx", F.lit(0)).alias("i"), "pos", "id")
     return rows.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["id"]).alias("ids"))
+
+
+def question_table(gold: DataFrame, id_col: str, text_col: str, ids_col: str) -> DataFrame:
+    """Questions numbered from 1 by a whole-number id, with their first id ("" without one) and the number of ids.
+
+    Up to 64 quantiles of the ids cut the rows into ranges that are numbered each
+    by itself; only the ranges' counts come together.
+    """
+    ids = F.coalesce(ids_col, F.array().cast(gold.schema[ids_col].dataType))
+    rows = gold.where(F.col(id_col).isNotNull()).select(id_col, F.trim(T.text_of(F.col(text_col))).alias("question"), F.coalesce(F.get(ids, F.lit(0)).cast("string"), F.lit("")).alias("first_id"), F.size(ids).cast("bigint").alias("n_ids"))
+    cuts = sorted(set(gold.agg(F.percentile_approx(id_col, [i / 64 for i in range(1, 64)])).first()[0] or []))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(id_col))) if cuts else F.lit(0)
+    rows = rows.withColumn("_part", part)
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    start = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(id_col, "question", "first_id", "n_ids"))
+    return rows.withColumn("_row", inside).join(F.broadcast(start), "_part").select(id_col, (F.col("_start") + F.col("_row")).alias("number"), "question", "first_id", "n_ids")  # at most 64 rows

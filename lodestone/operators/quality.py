@@ -50,3 +50,11 @@ def index_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, document, metadata): rows fit for an index; metadata is the other columns as JSON, nulls left out."""
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     return docs.where(~T.is_bad_chunk(F.col(text_col))).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("document"), F.to_json(F.struct(*rest)).alias("metadata"))
+
+
+def last_by_id(rows: DataFrame, order: str) -> DataFrame:
+    """The last row of each article_id, or of its id where it has none, by a combining aggregate."""
+    keyed = rows.withColumn("article_id", F.coalesce("article_id", "id")).where("article_id is not null")
+    rest = [c for c in keyed.columns if c not in (order, "article_id")]
+    last = keyed.groupBy("article_id").agg(F.max(F.struct(order, *rest)).alias("_last"))
+    return last.select("article_id", "_last.*")

@@ -116,3 +116,21 @@ def ranked_memory(turns: DataFrame, similarity: Column, decay: float = 0.65, top
     rows = rows.withColumn("weight", F.round(weight, 6)).withColumn("_s", F.round(similarity * weight * scale, 6))
     rows = rows.withColumn("memory_rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("_s"), "turn"))).where(F.col("memory_rank") <= top)
     return rows.select("conv_id", "memory_rank", "turn", F.concat(F.lit("["), F.upper("role"), F.lit("] "), "text").alias("entry"), "weight", F.round(1 - F.col("_s") + penalty, 6).alias("dist"))
+
+
+def gated(memory: DataFrame, confidence: DataFrame, below: float = 0.55) -> DataFrame:
+    """The memory of questions whose retrieval confidence is under the limit."""
+    return memory.join(confidence.where(F.col("retrieval_confidence") < below).select("query_id"), "query_id", "left_semi")
+
+
+def console(hits: DataFrame, texts: DataFrame, metadata: DataFrame, most: int = 800) -> DataFrame:
+    """hits with similarity, source, a snippet and the metadata's columns, -1 where an article has none."""
+    extra = [c for c in metadata.columns if c != "id"]
+    rows = hits.join(texts, "id").join(metadata, "id", "left")
+    return rows.select("query_id", "rank", "id", F.round(1 - F.col("dist"), 6).alias("similarity"), "source", *[F.coalesce(c, F.lit(-1)).alias(c) for c in extra], T.snippet(F.col("text"), most).alias("snippet"))
+
+
+def traces(hits: DataFrame) -> DataFrame:
+    """(query_id, trace): the ids of a query's hits in order, as JSON."""
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"])
+    return hits.groupBy("query_id").agg(ids.alias("hits")).select("query_id", F.to_json(F.struct("query_id", "hits")).alias("trace"))

@@ -372,6 +372,131 @@ def hard_capped(spark, d):
     return once.select("doc_id", F.posexplode(C.hard_capped(F.col("s"), 128)).alias("pos", "piece"))
 
 
+CLAUSE = r"string_split(regexp_replace(regexp_replace({0}, '([:;,—)-])\s+', '\1' || chr(1), 'g'), '(\.)\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1))"
+
+
+@register(rf"WITH s AS (SELECT doc_id, unnest({SENTENCES.format('text')}) AS s, generate_subscripts({SENTENCES.format('text')}, 1) - 1 AS pos FROM documents) SELECT doc_id, CAST(pos AS INT) AS pos, array_to_string(list_filter(list_transform({CLAUSE.format('s')}, lambda x: trim(x)), lambda x: x <> ''), '|') AS clauses FROM s")
+def clauses(spark, d):
+    each = _docs(spark, d).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s"))
+    return each.select("doc_id", "pos", F.array_join(T.clauses(F.col("s")), "|").alias("clauses"))
+
+
+@register(r"SELECT doc_id, trim(regexp_replace(coalesce(source, '') || ' · ' || coalesce(lang, ''), '^[ ·]+|[ ·]+$', '', 'g')) AS header, CASE WHEN length(text) > 800 THEN substr(text, 1, 800) || ' …' ELSE coalesce(text, '') END AS snippet, replace(replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;') AS escaped FROM documents")
+def display_fields(spark, d):
+    return _docs(spark, d).select("doc_id", T.header(F.col("source"), F.col("lang")).alias("header"), T.snippet(F.col("text")).alias("snippet"), T.html_escaped(F.col("text")).alias("escaped"))
+
+
+@register(f"WITH w AS (SELECT {WORDS.format('text')} AS w FROM documents) SELECT count(*) AS chunks, round(avg(w), 4) AS avg_words, CAST(min(w) AS INT) AS min_words, CAST(max(w) AS INT) AS max_words, round(avg(floor(w / 0.75)), 4) AS avg_tokens FROM w")
+def length_summary(spark, d):
+    rows = _docs(spark, d).select(T.word_count(F.col("text")).alias("w"), T.chunk_tokens(F.col("text")).alias("t"))
+    return rows.agg(F.count(F.lit(1)).alias("chunks"), F.round(F.avg("w"), 4).alias("avg_words"), F.min("w").alias("min_words"), F.max("w").alias("max_words"), F.round(F.avg("t"), 4).alias("avg_tokens"))
+
+
+@register("SELECT vec_id, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) > 0 AS usable, round(list_aggregate(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / greatest(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 1e-12)), 'max'), 6) AS largest FROM embeddings")
+def normalized_vectors(spark, d):
+    rows = parquet(spark, d, "embeddings").select("vec_id", F.explode(F.array(V.normalized(F.col("embedding")))).alias("v"), (V.norm(F.col("embedding")) > 0).alias("usable"))
+    return rows.select("vec_id", "usable", F.round(F.array_max("v"), 6).alias("largest"))
+
+
+@register(f"WITH {KNN} SELECT k.query_id, k.rank, k.id, round(1 - k.dist, 6) AS similarity, d.source, coalesce(l.quality, -1) AS quality, CASE WHEN length(d.text) > 120 THEN substr(d.text, 1, 120) || ' …' ELSE d.text END AS snippet FROM k JOIN documents d ON d.doc_id = k.id LEFT JOIN labels l ON l.doc_id = k.id WHERE k.rank <= 5")
+def retrieval_console(spark, d):
+    return R.console(_hits(spark, d).where("rank <= 5"), _docs(spark, d).select(F.col("doc_id").alias("id"), "source", "text"), parquet(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality"), most=120)
+
+
+RERANK = POOL + """,
+r1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY flat_pos) AS i, count(*) OVER (PARTITION BY query_id, source) AS n FROM p),
+r2 AS (SELECT query_id, source, max(CASE WHEN id % 13 = 5 THEN 1 ELSE 0 END) AS broken FROM p GROUP BY ALL),
+r3 AS (SELECT r1.*, CASE WHEN broken = 1 THEN dist ELSE 1 - least(greatest(CAST(id % 12 AS DOUBLE), 0), 10) / 10 END AS d FROM r1 JOIN r2 USING (query_id, source))
+SELECT query_id, id, round(d, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY d, i) AS m FROM r3) WHERE m <= 10"""
+
+
+@register(f"WITH {RERANK}")
+def reranked(spark, d):
+    """Replies as a scorer would give them, from the candidates' ids; some can't be read."""
+    items = R.pooled(_items(spark, d))
+    score = F.when(F.col("id") % 13 == 5, F.lit("n/a")).otherwise((F.col("id") % 12).cast("string"))
+    replies = items.groupBy("query_id", "source").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("flat_pos", score.alias("s")))), lambda x: x["s"]), ","), F.lit(",0")).alias("reply"))
+    return R.reranked(items, replies).select("query_id", "id", F.round("dist", 6).alias("dist"))
+
+
+LETTERS = {"T": "Treatment", "D": "Diagnosis", "B": "Background"}
+
+
+@register("SELECT conv_id, turn, coalesce(nullif(substr(upper(trim(coalesce(text, ''))), 1, 1), ''), 'D') AS letter, CASE coalesce(nullif(substr(upper(trim(coalesce(text, ''))), 1, 1), ''), 'D') " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LETTERS.items()) + " ELSE 'Unknown' END AS category FROM conversations")
+def categories(spark, d):
+    letter = T.category_letter(F.col("text"))
+    return parquet(spark, d, "conversations").select("conv_id", "turn", letter.alias("letter"), T.category_name(letter, LETTERS).alias("category"))
+
+
+@register("SELECT l_orderkey, l_linenumber, CASE WHEN regexp_full_match(x, '-?\\d+') THEN CAST(x AS INT) ELSE -1 END AS idx FROM (SELECT *, regexp_replace(CAST(CASE WHEN l_linenumber % 2 = 0 THEN l_quantity ELSE l_discount END AS VARCHAR), '\\.0$', '') AS x FROM lineitem)")
+def chunk_index_cast(spark, d):
+    value = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity")).otherwise(F.col("l_discount"))
+    return parquet(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.plain_index(value).alias("idx"))
+
+
+IDS = "i AS (SELECT c.conv_id AS key, c.turn AS pos, c.conv_id * 5 + c.turn AS id, e.label AS idx FROM conversations c LEFT JOIN (SELECT * FROM embeddings WHERE label < 7) e ON e.vec_id = c.conv_id * 5 + c.turn)"
+
+
+@register(f"WITH {IDS} SELECT key, string_agg(CAST(id AS VARCHAR), ',' ORDER BY idx IS NULL, coalesce(idx, 0), pos) AS ids FROM i GROUP BY key")
+def ids_by_index(spark, d):
+    ids = parquet(spark, d, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("pos"), (F.col("conv_id") * 5 + F.col("turn")).alias("id"))
+    index = parquet(spark, d, "embeddings").where("label < 7").select(F.col("vec_id").alias("id"), F.col("label").alias("idx"))
+    return G.ordered_by_index(ids, index).select("key", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+IDSETS = "s AS (SELECT conv_id AS key, list(turn ORDER BY turn) AS cur, list(turn ORDER BY turn) FILTER (role = 'user') AS pick, list(turn ORDER BY turn) FILTER (turn % 2 = 0) AS own FROM conversations GROUP BY conv_id)"
+
+
+@register(f"WITH {IDSETS}, f AS (SELECT key, cur, own, coalesce(pick, []) AS pick FROM s) SELECT key, array_to_string(pick || list_filter(own, lambda x: NOT list_contains(pick, x)), ',') AS added, array_to_string(list_filter(cur, lambda x: NOT list_contains(pick, x)), ',') AS removed, array_to_string(pick || list_filter(cur, lambda x: NOT list_contains(own, x)), ',') AS saved FROM f")
+def id_list_edits(spark, d):
+    turns = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("turn"))))
+    s = parquet(spark, d, "conversations").groupBy("conv_id").agg(turns(F.lit(True)).alias("cur"), turns(F.col("role") == "user").alias("pick"), turns(F.col("turn") % 2 == 0).alias("own"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    cur, pick, own = F.col("cur"), F.col("pick"), F.col("own")
+    return s.select(F.col("conv_id").alias("key"), text(G.added(pick, own)).alias("added"), text(G.removed(cur, pick)).alias("removed"), text(G.saved(pick, cur, own)).alias("saved"))
+
+
+MEMORY = """t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations) WHERE b <= 10),
+w AS (SELECT *, pow(0.65, count(*) OVER (PARTITION BY conv_id) - 1 - i) AS weight FROM t WHERE trim(coalesce(text, '')) <> ''),
+s AS (SELECT *, round(least(length(text), 1000) / 1000.0 * weight * 0.30, 6) AS s FROM w),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY s DESC, turn) AS INT) AS m FROM s),
+g AS (SELECT query_id, avg(1 - dist) AS c FROM k WHERE rank <= 5 GROUP BY query_id),
+mm AS (SELECT r.conv_id AS query_id, m AS pos, 'memory_' || m AS source, CAST(-1 AS BIGINT) AS id, round(1 - s + 0.20, 6) AS dist FROM r JOIN g ON g.query_id = r.conv_id WHERE m <= 2 AND c < 0.99)"""
+
+
+@register(f"WITH {ITEMS}, {MEMORY} SELECT query_id, pos, source, id, dist FROM mm UNION ALL SELECT query_id, CAST(pos + coalesce((SELECT max(pos) FROM mm WHERE mm.query_id = i.query_id), 0) AS INT), source, id, dist FROM i")
+def gated_memory(spark, d):
+    """Memory before the corpus, for questions whose confidence is low."""
+    turns = R.recent_turns(parquet(spark, d, "conversations"))
+    ranked = R.ranked_memory(turns, F.least(F.length("text"), F.lit(1000)) / 1000.0).withColumnRenamed("conv_id", "query_id")
+    memory = R.gated(ranked, R.confidence(_hits(spark, d)), 0.99).select("query_id", F.col("memory_rank").alias("pos"), F.concat(F.lit("memory_"), "memory_rank").alias("source"), "dist")
+    return R.with_memory(_items(spark, d), memory).select("query_id", F.col("pos").cast("int").alias("pos"), "source", F.coalesce("id", F.lit(-1)).cast("bigint").alias("id"), "dist")
+
+
+@register(f"WITH {KNN} SELECT query_id, '{{\"query_id\":' || query_id || ',\"hits\":[' || string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) || ']}}' AS trace FROM k GROUP BY query_id")
+def trace_json(spark, d):
+    return R.traces(_hits(spark, d))
+
+
+@register("SELECT item_id, CAST(row_number() OVER (ORDER BY item_id) AS BIGINT) AS number, trim(text) AS question, coalesce(CAST(d.first AS VARCHAR), '') AS first_id, coalesce(d.n, 0) AS n_ids FROM benchmark b LEFT JOIN (SELECT conv_id, min(turn) AS first, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY conv_id) d ON d.conv_id = b.item_id")
+def question_table(spark, d):
+    ids = parquet(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("ids"))
+    gold = parquet(spark, d, "benchmark").join(ids, F.col("item_id") == F.col("conv_id"), "left")
+    return G.question_table(gold, "item_id", "text", "ids")
+
+
+@register("SELECT user_id, count(*) AS edits FROM events WHERE user_id IN (SELECT item_id FROM benchmark) GROUP BY user_id")
+def known_edits(spark, d):
+    known = parquet(spark, d, "benchmark").select(F.col("item_id").alias("user_id"))
+    return parquet(spark, d, "events").join(known, "user_id", "left_semi").groupBy("user_id").agg(F.count(F.lit(1)).alias("edits"))
+
+
+@register("SELECT DISTINCT ON (k) k AS article_id, text FROM (SELECT coalesce(CAST(l.doc_id AS VARCHAR), d.source) AS k, d.text, d.doc_id AS line FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id) ORDER BY k, line DESC")
+def article_metadata(spark, d):
+    rows = _docs(spark, d).join(parquet(spark, d, "labels").select("doc_id", F.col("doc_id").cast("string").alias("article_id")), "doc_id", "left")
+    return Q.last_by_id(rows.withColumnRenamed("source", "id"), "doc_id").select("article_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in _found.items()}
 

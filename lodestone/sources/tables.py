@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -55,3 +57,35 @@ def save_csv(df: DataFrame, path: str, header: bool = True) -> None:
 def without_id(log: DataFrame, key: str, value: str) -> DataFrame:
     """A log without one id's records, to be written as a new version."""
     return log.where(F.col(key).isNull() | (F.col(key) != value))
+
+
+def save_version(df: DataFrame, root: str, version: int) -> None:
+    """A new version of a table; the older ones stay as backups and an existing one is an error."""
+    df.write.mode("errorifexists").parquet(f"{root}/version={version}")
+
+
+def latest_version(spark: SparkSession, root: str) -> DataFrame:
+    """The newest version of a table written by save_version."""
+    rows = spark.read.parquet(root)
+    newest = rows.agg(F.max("version")).first()[0]
+    return rows.where(F.col("version") == newest).drop("version")
+
+
+def table_or_none(spark: SparkSession, folder: str, *names: str) -> DataFrame | None:
+    """The first of the named tables that Spark can open in a folder."""
+    for n in names:
+        try:
+            return chunks_table(spark, f"{folder}/{n}")
+        except AnalysisException:  # no such path
+            continue
+    return None
+
+
+#: One record of the session log.
+SESSION_RECORD = "ts double, q string, answer string, retrieval_time double, generation_time double, prompt_tokens int, output_tokens int, context_tokens int, question_tokens int, citations array<string>, contexts_meta array<struct<src: string, sec: string>>"
+
+
+def log_answers(answers: DataFrame, path: str) -> None:
+    """Answers appended to a session log, in its columns; those that they lack are null."""
+    record = StructType.fromDDL(SESSION_RECORD)
+    append_json(answers.select(*[(F.col(f.name) if f.name in answers.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in record]), path)

@@ -73,3 +73,29 @@ def test_json_lines(spark, tmp_path):
     assert [r.id for r in good.collect()] == ["a"] and bad.count() == 1
     with pytest.raises(Exception, match="(?i)malformed|FAILFAST|parse"):
         tables.strict_json(spark, str(p), "id string").collect()
+
+
+def test_versions_log_and_tables(spark, tmp_path):
+    root = str(tmp_path / "gold")
+    tables.save_version(spark.range(2), root, 1)
+    tables.save_version(spark.range(5), root, 2)
+    assert tables.latest_version(spark, root).count() == 5 and spark.read.parquet(root).where("version = 1").count() == 2
+    with pytest.raises(Exception, match="(?i)exist"):
+        tables.save_version(spark.range(1), root, 2)
+    tables.save(spark.range(3), str(tmp_path / "b.parquet"))
+    assert tables.table_or_none(spark, str(tmp_path), "a.parquet", "b.parquet").count() == 3
+    assert tables.table_or_none(spark, str(tmp_path), "a.parquet", "c.jsonl") is None
+    log = str(tmp_path / "log")
+    for q in ("one", "two"):
+        tables.log_answers(spark.createDataFrame([(q, 7)], "q string, prompt_tokens int"), log)
+    got = spark.read.schema(tables.SESSION_RECORD).json(log).collect()
+    assert sorted((r.q, r.prompt_tokens, r.answer) for r in got) == [("one", 7, None), ("two", 7, None)]
+
+
+def test_question_numbers(spark):
+    ids = "id long, question string, ids array<long>"
+    rows = spark.createDataFrame([(i * 3 % 1009, f" q{i} ", [i, 1] if i % 2 else None) for i in range(1000)] + [(None, "x", [])], ids)
+    got = sorted((r.number, r.id, r.question, r.first_id, r.n_ids) for r in G.question_table(rows, "id", "question", "ids").collect())
+    want = sorted((i * 3 % 1009, f"q{i}", str(i) if i % 2 else "", 2 if i % 2 else 0) for i in range(1000))
+    assert got == [(n + 1, *w) for n, w in enumerate(want)]
+    assert G.question_table(rows.limit(0), "id", "question", "ids").count() == 0
