@@ -11,20 +11,20 @@ from ..functions import text as T
 def causal_groups(sentences: Column, cues=T.CAUSAL_CUES, most_words: int = 350) -> Column:
     """Runs of sentences that a cue ties together: a sentence joins the open run if a cue is in it or in the run's last sentence and the run stays within most_words."""
     cue = r"(?i)\b(" + "|".join(cues) + r")\b"
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit("").alias("last"), F.lit(0).alias("n"))
+    told = F.transform(sentences, lambda s: F.struct(s.alias("s"), T.word_count(s).alias("n"), s.rlike(cue).alias("cue")))  # once for each sentence
+    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(False).alias("cue"), F.lit(0).alias("n"))
 
-    def step(acc: Column, s: Column) -> Column:
-        n = T.word_count(s)
-        ties = (acc["n"] > 0) & (s.rlike(cue) | acc["last"].rlike(cue)) & (acc["n"] + n <= most_words)
+    def step(acc: Column, x: Column) -> Column:
+        ties = (acc["n"] > 0) & (x["cue"] | acc["cue"]) & (acc["n"] + x["n"] <= most_words)
         closed = F.when(acc["n"] > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
         return F.struct(
             F.when(ties, acc["done"]).otherwise(closed).alias("done"),
-            F.when(ties, F.concat_ws(" ", acc["open"], s)).otherwise(s).alias("open"),
-            s.alias("last"),
-            F.when(ties, acc["n"] + n).otherwise(n).alias("n"),
+            F.when(ties, F.concat_ws(" ", acc["open"], x["s"])).otherwise(x["s"]).alias("open"),
+            x["cue"].alias("cue"),
+            F.when(ties, acc["n"] + x["n"]).otherwise(x["n"]).alias("n"),
         )
 
-    return F.aggregate(sentences, empty, step, lambda acc: F.when(acc["n"] > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]))
+    return F.aggregate(told, empty, step, lambda acc: F.when(acc["n"] > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]))
 
 
 def windows(items: Column, size: int = 6, overlap: int = 2) -> Column:
@@ -41,12 +41,14 @@ def token_windows(text: Column, size: int, overlap_ratio: float = 0.25) -> Colum
 def with_overlap(pieces: Column, threshold: int = 350) -> Column:
     """Each piece behind the last sentence of the one before, unless it has `threshold` tokens already."""
 
-    def one(x: Column, i: Column) -> Column:
-        before = F.get(pieces, i - 1)
-        last = F.element_at(T.sentences(before), -1)
-        return F.when((i > 0) & (T.chunk_tokens(x) < threshold) & (F.size(T.sentences(before)) > 0), F.concat_ws(" ", last, x)).otherwise(x)
+    told = F.transform(pieces, lambda x: F.struct(x.alias("x"), T.chunk_tokens(x).alias("n"), F.try_element_at(T.sentences(x), F.lit(-1)).alias("last")))  # once for each piece
+    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("last"))
 
-    return F.transform(pieces, one)
+    def step(acc: Column, p: Column) -> Column:
+        text = F.when(p["n"] < threshold, F.concat_ws(" ", acc["last"], p["x"])).otherwise(p["x"])
+        return F.struct(F.concat(acc["done"], F.array(text)).alias("done"), p["last"].alias("last"))
+
+    return F.aggregate(told, empty, step, lambda acc: acc["done"])
 
 
 def hard_capped(sentences: Column, cap: int | Column) -> Column:
@@ -66,8 +68,8 @@ def hard_capped(sentences: Column, cap: int | Column) -> Column:
         by_clause = F.flatten(F.transform(T.clauses(s), lambda c: F.when(T.chunk_tokens(c) <= cap, F.array(c)).otherwise(runs(c))))
         return F.when(T.chunk_tokens(s) <= cap, F.array(s)).otherwise(by_clause)
 
-    def step(a: Column, s: Column) -> Column:
-        n = T.chunk_tokens(s)
+    def step(a: Column, u: Column) -> Column:
+        n, s = u["n"], u["s"]
         fits = (a["open"] == "") | (a["n"] + n <= cap)
         return F.struct(
             F.when(fits, a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))).alias("done"),
@@ -77,7 +79,8 @@ def hard_capped(sentences: Column, cap: int | Column) -> Column:
 
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
     units = F.filter(F.flatten(F.transform(sentences, parts)), lambda s: s != "")
-    return F.aggregate(units, start, step, lambda a: F.when(a["open"] != "", F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]))
+    told = F.transform(units, lambda s: F.struct(s.alias("s"), T.chunk_tokens(s).alias("n")))  # once for each part
+    return F.aggregate(told, start, step, lambda a: F.when(a["open"] != "", F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]))
 
 
 def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
