@@ -36,6 +36,13 @@ def page_title(html: Column) -> Column:
     return F.when(h1 != "", h1).otherwise(title)
 
 
+def meta_property(html: Column, name: str) -> Column:
+    """The content of the first meta element with that property, attributes in either order; null where there is none."""
+    p = rf"(?is)<meta\b(?=[^>]*\bproperty\s*=\s*[\"']{name}[\"'])[^>]*\bcontent\s*=\s*(?:\"([^\">]*)\"|'([^'>]*)')"
+    part = lambda i: F.nullif(F.regexp_extract(text_of(html), p, i), F.lit(""))
+    return F.trim(F.coalesce(part(1), part(2)))
+
+
 def image_dims(src: Column) -> Column:
     p = r"(?i)-([1-9]\d*)x([1-9]\d*)\.(?:jpg|jpeg|png|gif|webp)"
     part = lambda i: F.nullif(F.regexp_extract(text_of(src), p, i), F.lit("")).try_cast("int")

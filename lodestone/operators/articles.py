@@ -57,14 +57,23 @@ def runs(blocks: DataFrame, min_words: int = 50) -> DataFrame:
     return _clean(out, "text", min_words).where(T.word_count(F.col("text")) >= min_words)
 
 
+# The meta properties of a page.
+META = {"published": "article:published_time", "updated": "article:modified_time", "url": "og:url", "title_og": "og:title"}
+
+
+def _named(pages: DataFrame) -> DataFrame:
+    """(page_id, title, url, published, updated), the page's own properties first."""
+    meta = {k: H.meta_property(F.col("html"), v) for k, v in META.items()}
+    return pages.select("page_id", F.coalesce(meta["title_og"], H.page_title(F.col("html"))).alias("title"), F.coalesce(meta["url"], F.col("url")).alias("url"), meta["published"].alias("published"), meta["updated"].alias("updated"))
+
+
 def articles(pages: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(page_id, article_id, title, url, references_text, references_count): one row for each page, the count 0 without a list."""
-    rows = pages.select("page_id", F.sha2("url", 256).alias("article_id"), H.page_title(F.col("html")).alias("title"), "url")
+    """(page_id, article_id, title, url, published, updated, references_text, references_count): one row for each page, the count 0 without a list."""
+    rows = _named(pages).withColumn("article_id", F.sha2("url", 256)).select("page_id", "article_id", "title", "url", "published", "updated")
     return rows.join(references(blocks), "page_id", "left").withColumn("references_count", F.coalesce("references_count", F.lit(0)))
 
 
 def page_chunks(pages: DataFrame, blocks: DataFrame, min_words: int = 50, cues=T.CAUSAL_CUES, cap: int = 512) -> DataFrame:
     """The chunks of all pages, with title and section as header and the images of their run."""
-    named = pages.select("page_id", "url", H.page_title(F.col("html")).alias("title"))
-    rows = runs(blocks, min_words).join(named, "page_id")
+    rows = runs(blocks, min_words).join(_named(pages).select("page_id", "title", "url"), "page_id")
     return C.chunks(rows, "url", "text", "url", min_words, cues, cap, "title", "section", "run", "images")

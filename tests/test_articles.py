@@ -12,7 +12,7 @@ from lodestone.operators import chunking as C
 from lodestone.operators import vectors as V
 
 SF = "/root/testdata/sf0.001"
-PAGE = """<!doctype html><html><head><meta property="og:title" content="x"><title>t</title></head><body>
+PAGE = """<!doctype html><html><head><meta property="og:title" content="Own title"><meta content='http://a/own' property='og:url'><title>t</title></head><body>
 <nav><p>menu here</p></nav><p>outside</p>
 <article><h1>Neck  pain</h1><p>alpha beta gamma delta<p>epsilon zeta eta theta
 <h2>Signs</h2><ul><li>one two <ul><li>inner words here</li></ul></li><li>click me</li><li><p>three four</p></li></ul>
@@ -47,7 +47,8 @@ def test_images(page):
 def test_articles_and_runs(page):
     pages, blocks = page
     got = {r.page_id: (r.title, r.references_text, r.references_count) for r in A.articles(pages, blocks).collect()}
-    assert got == {1: ("Neck pain", "Ref A Ref B", 1), 2: ("", None, 0), 3: ("", None, 0)}
+    assert got == {1: ("Own title", "Ref A Ref B", 1), 2: ("", None, 0), 3: ("", None, 0)}
+    assert [r.url for r in A.articles(pages, blocks).orderBy("page_id").collect()] == ["http://a/own", "http://a/2", "http://a/3"]
     runs = [(r.section, r.text, [i.src for i in r.images]) for r in A.runs(blocks, 1).orderBy("run").collect()]
     assert runs == [
         ("Neck pain", "alpha beta gamma delta epsilon zeta eta theta", []),
@@ -62,7 +63,7 @@ def test_page_chunks(page):
     pages, blocks = page
     rows = A.page_chunks(pages, blocks, 1).orderBy("article_seq").collect()
     assert [r.article_seq for r in rows] == list(range(5))
-    assert rows[3].embed_text == "Neck pain · Signs\n\nafter the quote tail words" and rows[3].text_with_images.endswith("tail words Cap A")
+    assert rows[3].embed_text == "Own title · Signs\n\nafter the quote tail words" and rows[3].text_with_images.endswith("tail words Cap A")
     assert len({r.chunk_id for r in rows}) == 5 and all(r.token_len <= 512 for r in rows)
 
 
