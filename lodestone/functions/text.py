@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,7 +24,10 @@ PATIENT_AGE = r"\b\d{1,2}\s*(year[- ]old|years old|year[- ])"
 SIMPLE_QUESTION = r"(?i)\b(exercise|exercises|when to|how often|how long|frequency|reps?|sets?|timing|dose|doseing)\b"
 NUMBER_CLUSTERS = (r"\b(?:\d+\s*,\s*){1,200}\d+\b", r"\b(?:(?<!\d\d)(?<!\d\.)\d{1,2}\s+){1,6}\d{1,2}\b")
 PAREN_CITATION = r"(?i)\([^)]{0,200}?(?:et al\.|doi|pmid|\b(?:19|20)\d{2}\b|[A-Z][a-z]+)[^)]*?\)"
-INLINE_CITATION = r"(?i)\bdoi\s*[:=]\s*\S+|\bpmid\s*[:=]\s*\d+|\bpmcid\s*[:=]\s*\S+|\(\s*[A-Z][a-z]+(?:\s+et\s+al\.)?,?\s*(?:,?\s*(?:19|20)\d{2})\s*\)|–\s*[A-Z][a-z]+(?:\s+et\s+al\.)?,?\s*(?:,?\s*(?:19|20)\d{2})|[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,12}\s*(?:et\s+al\.)?,?\s*(?:,?\s*(?:19|20)\d{2})"
+INLINE_CITATION = r"(?i)\bdoi\s*[:=]\s*\S+|\bpmid\s*[:=]\s*\d+|\bpmcid\s*[:=]\s*\S+|\(\s*[A-Z][a-z]+(?:\s+et\s+al\.)?,?\s*(?:,?\s*(?:19|20)\d{2})\s*\)|–\s*[A-Z][a-z]+(?:\s+et\s+al\.)?,?\s*(?:,?\s*(?:19|20)\d{2})|(?<![A-Za-z])[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,12}\s*(?:et\s+al\.)?,?\s*(?:,?\s*(?:19|20)\d{2})"
+#: What a text must hold for INLINE_CITATION or TAIL_PATTERN to match: found in one quick pass, where those look ahead from every word.
+INLINE_MARK = r"(?i)(?:doi|pmc?id)\s*[:=]|(?:19|20)\d{2}"
+TAIL_MARK = r"(?:19|20)\d{2}|et al\.|Elsevier|Springer|Wiley|Oxford|Lippincott|References"
 TAIL_PATTERN = r"(?:[A-Z][a-z]+(?:\s+[A-Z]\.){0,2},?\s*){2,12}(?:19|20)\d{2}|(?:19|20)\d{2};\d+\(\d+\):\d+(?:-\d+)?|\b(et al\.|Elsevier|Springer|Wiley|Oxford|Lippincott)\b|–\s*[A-Z][a-z]+,\s*(?:19|20)\d{2}|\bReferences\b.*$|\s*\([^)]*?(?:19|20)\d{2}[^)]*?\)\s*$"
 MOJIBAKE = ("â", "Â", "�", "‚Ä", "√")
 # Mis-decoded sequences and what they stood for, in the order of use.
@@ -39,18 +42,29 @@ def text_of(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is evaluated once, however often body uses it, inside lambdas too."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def words(c: Column) -> Column:
     """White-space separated words; none in an empty or null text."""
     return F.filter(F.split(text_of(c), SPACE), lambda w: w != "")
 
 
 def word_count(c: Column) -> Column:
-    return F.size(words(c))
+    """size(words(c)), without a look at each word."""
+    t = F.btrim(text_of(c), F.lit(" \t\n\r\f\x0b"))
+    return F.when(t == "", 0).otherwise(F.size(F.split(t, SPACE)))
 
 
-def chunk_tokens(c: Column) -> Column:
+def tokens_of_words(n: Column) -> Column:
     """Tokens by the chunker's rule: words over 0.75, cut off."""
-    return F.floor(word_count(c) / F.lit(0.75)).cast("int")
+    return F.floor(n / F.lit(0.75)).cast("int")
+
+
+def chunk_tokens(c: Column) -> Column:
+    return tokens_of_words(word_count(c))
 
 
 def query_tokens(c: Column) -> Column:
@@ -121,14 +135,14 @@ def without_citations(c: Column) -> Column:
     found = F.regexp_extract_all(t, F.lit(PAREN_CITATION), F.lit(0))
     empty = F.filter(found, lambda p: F.length(F.regexp_replace(p, r"[\s;:,&0-9\-.'()]", "")) <= 3)
     t = F.aggregate(F.array_distinct(empty), t, lambda acc, p: F.replace(acc, p, F.lit("")))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, INLINE_CITATION, ""), r"\s{2,}", " "))
+    return once(t, lambda t: F.trim(F.regexp_replace(F.when(t.rlike(INLINE_MARK), F.regexp_replace(t, INLINE_CITATION, "")).otherwise(t), r"\s{2,}", " ")))
 
 
 def without_bibliography(c: Column, min_words: int = 50) -> Column:
     """The text up to the first bibliographic pattern; empty if under half of min_words are left; texts under 60 characters as they are."""
     t = text_of(c)
     head = F.regexp_extract(t, rf"(?s)^(.*?)(?:{TAIL_PATTERN})", 1)
-    cut = F.when(t.rlike(TAIL_PATTERN), F.regexp_replace(head, r"[ ,;.:–-]+$", "")).otherwise(t)
+    cut = F.when(t.rlike(TAIL_MARK) & t.rlike(TAIL_PATTERN), F.regexp_replace(head, r"[ ,;.:–-]+$", "")).otherwise(t)
     return F.when(F.length(t) < 60, t).otherwise(F.when(word_count(cut) < int(min_words * 0.5), "").otherwise(cut))
 
 

@@ -29,9 +29,14 @@ def causal_groups(sentences: Column, cues=T.CAUSAL_CUES, most_words: int = 350)
 
 def windows(items: Column, size: int = 6, overlap: int = 2) -> Column:
     """Joined runs of `size` items at steps of size - overlap; the last ones may be pure overlap."""
-    step, n = max(1, size - overlap), F.size(items)
-    starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(items, i + 1, F.lit(size)), " "))
+    step = max(1, size - overlap)
+
+    def joined(xs: Column) -> Column:
+        n = F.size(xs)
+        starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(xs, i + 1, F.lit(size)), " "))
+
+    return T.once(items, joined)
 
 
 def token_windows(text: Column, size: int, overlap_ratio: float = 0.25) -> Column:
@@ -61,8 +66,7 @@ def hard_capped(sentences: Column, cap: int | Column) -> Column:
     most = F.greatest(F.ceil((cap + 1) * F.lit(0.75)).cast("int") - 1, F.lit(1))  # words whose count is within the cap
 
     def runs(c: Column) -> Column:
-        w = T.words(c)
-        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), most), lambda i: F.array_join(F.slice(w, i + 1, most), " "))
+        return T.once(T.words(c), lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), most), lambda i: F.array_join(F.slice(w, i + 1, most), " ")))
 
     def parts(s: Column) -> Column:
         by_clause = F.flatten(F.transform(T.clauses(s), lambda c: F.when(T.chunk_tokens(c) <= cap, F.array(c)).otherwise(runs(c))))
@@ -83,6 +87,11 @@ def hard_capped(sentences: Column, cap: int | Column) -> Column:
     return F.aggregate(told, start, step, lambda a: F.when(a["open"] != "", F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]))
 
 
+def _counted(pieces: Column) -> Column:
+    """Each piece with its number of words, which the later steps go by."""
+    return F.transform(pieces, lambda x: F.struct(x.alias("x"), T.word_count(x).alias("n")))
+
+
 def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
     """rows with a column that is evaluated once, not at each use."""
     return rows.withColumn(name, F.explode(F.array(value)))
@@ -107,19 +116,24 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
         own(block_col, F.lit(0)).alias("_block"), (F.to_json(images_col) if images_col else F.lit("[]")).alias("images"), texts.alias("_said"), F.col(text_col).alias("_text"),
     )
     rows = _once(rows, "_w", windows(causal_groups(T.sentences(F.col("_text")), cues))).drop("_text")
-    rows = _once(rows, "_w", F.flatten(F.transform("_w", lambda p: F.when(T.chunk_tokens(p) <= cap, F.array(p)).otherwise(with_overlap(hard_capped(T.sentences(p), cap))))))
-    long = F.filter("_w", lambda x: T.word_count(x) >= least)
-    longest = F.aggregate("_w", F.struct(F.lit(-1).alias("n"), F.lit("").alias("x")), lambda a, x: F.when(T.word_count(x) > a["n"], F.struct(T.word_count(x).alias("n"), x.alias("x"))).otherwise(a), lambda a: a["x"])
+    none_left = F.array().cast("array<struct<x: string, n: int>>")
+    resized = lambda room, cut: F.flatten(F.transform("_w", lambda p: F.when(T.tokens_of_words(p["n"]) <= room, F.array(p)).otherwise(_counted(cut(p["x"])))))
+    rows = _once(rows, "_w", _counted(F.col("_w")))
+    rows = _once(rows, "_w", resized(cap, lambda x: with_overlap(hard_capped(T.sentences(x), cap))))
+    long = F.filter("_w", lambda p: p["n"] >= least)
+    longest = F.reduce("_w", F.try_element_at("_w", F.lit(1)), lambda a, p: F.when(p["n"] > a["n"], p).otherwise(a))
     rows = rows.withColumn("_forced", F.size(long) == 0)
-    rows = _once(rows, "_w", F.when(F.size(long) > 0, long).when(F.size("_w") > 0, F.array(longest)).otherwise(empty))
-    rows = _once(rows, "_w", F.flatten(F.transform("_w", lambda p: F.when(T.chunk_tokens(p) <= cap, F.array(p)).otherwise(hard_capped(T.sentences(p), cap)))))
+    rows = _once(rows, "_w", F.when(~F.col("_forced"), long).when(F.size("_w") > 0, F.array(longest)).otherwise(none_left))
+    rows = _once(rows, "_w", resized(cap, lambda x: hard_capped(T.sentences(x), cap)))
     header = T.header(F.col("title"), F.col("section"))
     rows = rows.withColumn("_head", F.when((header != "") & (T.chunk_tokens(header) < cap), F.concat(header, F.lit("\n\n"))).otherwise(""))
-    allowed = F.greatest(F.lit(cap) - T.chunk_tokens(F.col("_head")), F.lit(1))
-    rows = _once(rows, "_w", F.transform("_w", lambda p: F.when(T.chunk_tokens(F.concat("_head", p)) <= cap, F.array(p)).otherwise(with_overlap(hard_capped(T.sentences(p), allowed)))))
-    each = F.flatten(F.transform("_w", lambda ps, i: F.transform(ps, lambda x, j: F.struct(i.alias("i"), j.alias("j"), F.size(ps).alias("n"), x.alias("x")))))
-    each = F.filter(each, lambda e: (e["x"] != "") & (F.col("_forced") | (T.word_count(e["x"]) >= least)))
-    rows = rows.withColumn("_w", each).select("*", F.posexplode("_w").alias("_seq", "_e")).drop("_w").withColumns({"_i": F.col("_e.i"), "_j": F.col("_e.j"), "_n": F.col("_e.n"), "body": F.col("_e.x")})
+    rows = _once(rows, "_nh", T.word_count(F.col("_head")))  # the header ends in white space: its words and the piece's add up
+    allowed = F.greatest(F.lit(cap) - T.tokens_of_words(F.col("_nh")), F.lit(1))
+    fits = lambda p: T.tokens_of_words(F.col("_nh") + p["n"]) <= cap
+    rows = _once(rows, "_w", F.transform("_w", lambda p: F.when(fits(p), F.array(p)).otherwise(_counted(with_overlap(hard_capped(T.sentences(p["x"]), allowed))))))
+    each = F.flatten(F.transform("_w", lambda ps, i: F.transform(ps, lambda p, j: F.struct(i.alias("i"), j.alias("j"), F.size(ps).alias("n"), p["x"].alias("x"), p["n"].alias("words")))))
+    each = F.filter(each, lambda e: (e["x"] != "") & (F.col("_forced") | (e["words"] >= least)))
+    rows = _once(rows, "_w", each).select("*", F.posexplode("_w").alias("_seq", "_e")).drop("_w").withColumns({"_i": F.col("_e.i"), "_j": F.col("_e.j"), "_n": F.col("_e.n"), "_words": F.col("_e.words"), "body": F.col("_e.x")})
     seq = F.row_number().over(Window.partitionBy("article_id").orderBy("_block", "_seq")) - 1 if block_col else F.col("_seq")
     embed = F.concat("_head", "body")
     place = F.concat_ws("_", F.col("_i").cast("string"), F.col("_j").cast("string"))
@@ -127,7 +141,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
         "article_id", F.sha2(F.concat(F.col("article_id"), F.lit("|"), T.text_of(F.col("section")), F.lit("|"), place, F.lit("|"), F.substring("body", 1, 80)), 256).alias("chunk_id"), "title", "section",
         F.when(F.col("_n") == 1, F.col("_i").cast("string")).otherwise(F.concat_ws(".", F.col("_i").cast("string"), F.col("_j").cast("string"))).alias("chunk_idx"), seq.alias("article_seq"),
         embed.alias("embed_text"), "body", F.trim(F.concat_ws(" ", embed, F.when(F.size("_said") > 0, F.array_join("_said", " ")))).alias("text_with_images"), "images", "source_relpath",
-        T.chunk_tokens(embed).alias("token_len"), T.word_count(F.col("body")).alias("word_len"),
+        T.tokens_of_words(F.col("_nh") + F.col("_words")).alias("token_len"), F.col("_words").alias("word_len"),
     )
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -32,12 +32,18 @@ def strict_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def decoded(content: Column) -> Column:
+    """The text of bytes: UTF-8 where they are that, without its mark, else Latin-1, in which every byte is a letter."""
+    raw = content.cast("string")
+    return F.when(F.is_valid_utf8(raw), F.regexp_replace(raw, "^\ufeff", "")).otherwise(F.decode(content, "ISO-8859-1"))
+
+
 def html_files(spark: SparkSession, root: str, pattern: str = "index*") -> DataFrame:
     """(path, html) of the page files under a folder."""
     from ..functions.html import SKIPPED_PATHS, sniffed
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    rows = files.where(~F.col("path").rlike(SKIPPED_PATHS)).select("path", F.decode("content", "UTF-8").alias("html"))
+    rows = files.where(~F.col("path").rlike(SKIPPED_PATHS)).select("path", decoded(F.col("content")).alias("html"))
     return rows.where(sniffed(F.col("html")))
 
 

@@ -4,6 +4,7 @@ from lodestone.functions import html as H
 from lodestone.functions import scoring as S
 from lodestone.functions import text as T
 from lodestone.operators import chunking as C
+from lodestone.sources import tables
 
 
 def one(spark, value, f, kind="string"):
@@ -17,6 +18,20 @@ def test_token_rules(spark):
     assert one(spark, None, T.chunk_tokens) == 0
 
 
+def test_word_count_is_the_number_of_words(spark):
+    for text in ("", " ", " \t\n\x0b\f\r", "a", " a", "a ", "\n a\tb \x0b c\f", "a\u00a0b c\u2003d", "\u00a0", None):
+        assert one(spark, text, T.word_count) == one(spark, text, lambda c: F.size(T.words(c))) == len((text or "").encode().split())
+
+
+def test_bytes_are_decoded(spark, tmp_path):
+    page = "<!doctype html><html><body><p>é – ü</p></body></html>"
+    for name, raw in {"index1": page.encode(), "index2": page.replace("–", "-").encode("latin-1"), "index3": b"\xef\xbb\xbf" + page.encode(), "index4": b"", "index5": b"\xff\xfe no page"}.items():
+        (tmp_path / name).write_bytes(raw)
+    got = {r.path.rpartition("/")[2]: r.html for r in tables.html_files(spark, str(tmp_path)).collect()}
+    assert got == {"index1": page, "index2": page.replace("–", "-"), "index3": page}
+    assert one(spark, None, tables.decoded, "binary") is None
+
+
 def test_section_bias(spark):
     expected = {"Treatment": -0.5, "Case report": 0.75, "Conclusion": 0.2, "In summary": 0.75, "Exercise plan": -0.35, "Case report #3": 0.5, "Case study and treatment": -0.35, "Foo": 0, None: 0}
     for s, b in expected.items():
@@ -53,6 +68,8 @@ def test_odd_numbers_placeholders_and_indexes(spark):
 def test_citations_and_bibliography(spark):
     assert one(spark, "pain 2 , 7 , 19 here", T.without_citations) == "pain here"
     assert one(spark, "a (TOS) b (2004) c", T.without_citations) == "a b c"
+    assert one(spark, "told 3x Smith Jones et al. 2001 and doi: 10.1/x here, DOI=y. Marks", T.without_citations) == "told 3x and here, Marks"
+    assert one(spark, "il doit 1850 pas", T.without_citations) == "il doit 1850 pas" and one(spark, None, T.without_citations) == ""
     f = lambda c: T.without_bibliography(c, 50)
     w24, w25 = " ".join(["wordy"] * 24), " ".join(["wordy"] * 25)
     assert one(spark, w24, f) == "" and one(spark, w25, f) == w25 and one(spark, "a b c", f) == "a b c"
