@@ -402,6 +402,19 @@ def test_pipeline_stages(spark, odd, tmp_path):
     assert digest(spark.read.parquet(str(tmp_path / "s3"))) == digest(spark.read.parquet(str(tmp_path / "s2")))
 
 
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    table(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_embeddings_with_clashing_columns(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (3, [1.0, 0.01], 0), (4, [0.0, 1.0], 0), (5, [1.0, 0.0], 1), (None, None, None)]
+    df = spark.createDataFrame([(*r, "a", None, 7, 8, "b") for r in rows], "vec_id long, embedding array<float>, label int, node string, vec string, grp int, key int, id string")
+    got = Counter(map(tuple, neighbors.near_duplicates(df).collect()))
+    assert got == Counter([(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (5, 0, 5, True), (None, 0, None, True)])
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
