@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -165,6 +165,24 @@ def repaired(c: Column, aggressive: bool = False) -> Column:
     return F.trim(F.regexp_replace(nfkc(t), r"\s{2,}", " "))
 
 
+def first_tokens(c: Column, most: int, tokenizer: str) -> Column:
+    """The text up to the end of its first `most` tokens, by the tokenizer file at a path that every executor has; null stays null."""
+
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(tokenizer)
+
+        def head(text: str) -> str:
+            ends = t.encode(text, add_special_tokens=False).offsets
+            return text if len(ends) <= most else text[: ends[most - 1][1]] if most > 0 else ""
+
+        for s in batches:
+            yield s.map(head, na_action="ignore")
+
+    return F.pandas_udf(cut, "string")(c.cast("string"))
+
+
 def header(title: Column, section: Column) -> Column:
     return F.trim(F.regexp_replace(F.concat(text_of(title), F.lit(" · "), text_of(section)), "^[ ·]+|[ ·]+$", ""))
 

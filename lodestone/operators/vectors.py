@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 QUERY_BLOCK, CELL = 16384, 65536
 
 
@@ -23,7 +25,8 @@ def norm(v: Column) -> Column:
 
 
 def normalized(v: Column, least: float = 1e-12) -> Column:
-    return F.transform(v.cast("array<double>"), lambda x: x / F.greatest(norm(v), F.lit(least)))
+    """v over its norm, which is taken once for all components."""
+    return T.once(F.greatest(norm(v), F.lit(least)), lambda n: F.transform(v.cast("array<double>"), lambda x: x / n))
 
 
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:

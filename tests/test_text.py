@@ -4,6 +4,7 @@ from lodestone.functions import html as H
 from lodestone.functions import scoring as S
 from lodestone.functions import text as T
 from lodestone.operators import chunking as C
+from lodestone.operators import vectors as V
 from lodestone.sources import tables
 
 
@@ -32,6 +33,24 @@ def test_bytes_are_decoded(spark, tmp_path):
     assert one(spark, None, tables.decoded, "binary") is None
 
 
+def test_first_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, text = Tokenizer.from_file(path), "The quick brown fox, 1234 times; jumps\nover é the lazy dog."
+    ids = t.encode(text, add_special_tokens=False).ids
+    for most in (0, 1, 3, 7, len(ids), 1000):
+        got = one(spark, text, lambda c: T.first_tokens(c, most, path))
+        assert text.startswith(got) and got == t.decode(ids[:most])
+    assert one(spark, None, lambda c: T.first_tokens(c, 3, path)) is None and one(spark, "", lambda c: T.first_tokens(c, 3, path)) == ""
+
+
+def test_normalized(spark):
+    assert one(spark, [3.0, 4.0], V.normalized, "array<float>") == [0.6, 0.8] and one(spark, [0.0, 0.0], V.normalized, "array<float>") == [0, 0]
+    assert one(spark, None, V.normalized, "array<float>") is None
+
+
 def test_section_bias(spark):
     expected = {"Treatment": -0.5, "Case report": 0.75, "Conclusion": 0.2, "In summary": 0.75, "Exercise plan": -0.35, "Case report #3": 0.5, "Case study and treatment": -0.35, "Foo": 0, None: 0}
     for s, b in expected.items():
