@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -24,6 +24,9 @@ class DomainModel:
     prior: tuple[float, ...]
     weights: tuple[tuple[float, ...], ...]
     evidence: float
+    #: Shares of the mixture by domain, as mix() aimed at them and as its rates reach them.
+    targets: tuple[float, ...] = ()
+    reached: tuple[float, ...] = ()
 
 
 def _buckets(text: Column, buckets: int) -> Column:
@@ -34,15 +37,18 @@ def _buckets(text: Column, buckets: int) -> Column:
 def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, buckets: int = BUCKETS, evidence: float = EVIDENCE) -> DomainModel:
     """A model of the domains in labelled(id, domain), from at most `rows` labelled rows, taken in the order of a hash of the id.
 
-    Rows without a domain are left out; without any, there is one domain "all".
+    Only labels of rows in docs count: a domain none of whose texts is there, or
+    has a word, is no domain. Rows without a domain are left out; without any,
+    there is one domain "all".
     """
-    sample = labelled.where(F.col("domain").isNotNull() & F.col(id_col).isNotNull()).select(id_col, "domain").dropDuplicates([id_col]).orderBy(F.xxhash64(id_col), id_col).limit(rows)
+    named = labelled.where(F.col("domain").isNotNull() & F.col(id_col).isNotNull()).select(id_col, "domain").dropDuplicates([id_col])
+    sample = named.join(docs.select(id_col), id_col, "left_semi").orderBy(F.xxhash64(id_col), id_col).limit(rows)
     texts = docs.select(id_col, text_col).join(F.broadcast(sample), id_col)  # `rows` rows at most
     counts: dict[str, dict[int, int]] = {}
     each = texts.select("domain", F.explode(_buckets(F.col(text_col), buckets)).alias("b")).groupBy("domain", "b").count()
     for d, b, n in each.collect():  # domains * buckets rows at most
         counts.setdefault(d, {})[b] = n
-    sizes = {d: n for d, n in sample.groupBy("domain").count().collect()}
+    sizes = {d: n for d, n in sample.groupBy("domain").count().collect() if d in counts}
     domains = tuple(sorted(sizes)) or ("all",)
     total = sum(sizes.values()) or 1
     weights = []
@@ -78,9 +84,10 @@ def with_posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text")
     return rows.withColumn("_posterior", F.transform("_raised", lambda x: x / whole)).drop("_scores", "_raised")
 
 
-def rate(posterior: Column, history: list[list[float]], low: float, high: float) -> Column:
-    """A document's rate after the steps so far: each moves it by its posterior and then back into low..high."""
-    one = F.lit(min(max(1.0, low), high))
+def rate(posterior: Column, history: list[list[float]], low: float | Column, high: float) -> Column:
+    """A document's rate after the steps so far: each moves it by its posterior and then back into low..high; low can differ by row."""
+    low = low if isinstance(low, Column) else F.lit(float(low))
+    one = F.least(F.lit(float(high)), F.greatest(low, F.lit(1.0)))
     if not history:
         return one
     steps = F.from_json(F.lit(repr(history)), "array<array<double>>")
@@ -88,12 +95,12 @@ def rate(posterior: Column, history: list[list[float]], low: float, high: float)
 
     def step(r: Column, residual: Column) -> Column:
         move = sum((F.get(posterior, F.lit(i)) * F.get(residual, F.lit(i)) for i in range(k)), F.lit(0.0))
-        return F.greatest(F.lit(low), F.least(F.lit(high), r - move))
+        return F.greatest(low, F.least(F.lit(float(high)), r - move))
 
     return F.aggregate(steps, one, step)
 
 
-def fit(rows: DataFrame, targets: list[float], low: float = 0.0, high: float = 1e9, steps: int = STEPS) -> tuple[list[list[float]], list[float], list[float]]:
+def fit(rows: DataFrame, targets: list[float], low: float | Column = 0.0, high: float = 1e9, steps: int = STEPS) -> tuple[list[list[float]], list[float], list[float]]:
     """(moves of all steps, reached and target shares) of projected-gradient least squares on rows(_tokens, _posterior).
 
     Minimises the misfit of the expected token shares with every rate in
@@ -126,10 +133,14 @@ def fit(rows: DataFrame, targets: list[float], low: float = 0.0, high: float = 1
     return history, share, targets
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", low: float = 0.0, high: float = 8.0, total: float = 1.0) -> tuple[DataFrame, DomainModel]:
-    """(docs with _tokens, _posterior, _rate and _copies, the model).
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", low: float = 0.0, high: float = 8.0, total: float = 1.0, keep: str | None = None, sure: float = 0.5) -> tuple[DataFrame, DomainModel]:
+    """(docs with _tokens, _posterior, _rate and _copies, the model with the target and reached shares).
 
-    targets: share of each domain in the mixture; domains without one get 0.
+    targets: share of each domain in the mixture; domains without one get 0, and
+    the shares of domains that docs hold no labelled text of go to the others in
+    proportion. Without labels the mixture is docs, `total` times. Rates lie in
+    low..high; a document of domain `keep` with a probability of `sure` at least
+    has a rate of one or more.
     `total` is the mixture's size as a multiple of all tokens. A document's
     whole copies are its rate, rounded down or up by a hash of id and text so
     that the expected tokens are met. Null text has no words and the prior as its
@@ -139,8 +150,18 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
     model = train(docs, labelled, id_col, text_col)
     rows = with_posteriors(docs, model, text_col)
     small = stored(rows.select("_tokens", "_posterior"), "posteriors")
-    history, _, _ = fit(small, [total * targets.get(d, 0.0) for d in model.domains], low, high)
-    out = rows.withColumn("_rate", rate(F.col("_posterior"), history, low, high))
+    aims = [targets.get(d, 0.0) for d in model.domains]
+    if model.domains == ("all",) and not sum(aims):
+        aims = [1.0]
+    elif sum(aims):
+        aims = [a * sum(targets.values()) / sum(aims) for a in aims]
+    least: float | Column = low
+    if keep in model.domains:
+        held = F.get("_posterior", F.lit(model.domains.index(keep))) >= sure
+        least = F.when(held, F.lit(max(1.0, low))).otherwise(F.lit(float(low)))
+    history, shares, _ = fit(small, [total * a for a in aims], least, high)
+    model = replace(model, targets=tuple(aims), reached=tuple(x / (sum(shares) or 1) for x in shares))
+    out = rows.withColumn("_rate", rate(F.col("_posterior"), history, least, high))
     chance = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 20)) / float(1 << 20)
     return out.withColumn("_copies", F.floor(F.col("_rate") + chance).cast("int")), model
 

@@ -313,6 +313,26 @@ def test_mixing(spark):
     assert none.where("abs(_rate - 1) > 1e-6").count() == 0
 
 
+def test_pipeline_mixture_reaches_its_targets(spark, tmp_path):
+    r = random.Random(11)
+    toxic = lambda i: i % 3 == 0
+    rows = [(i, " ".join(f"q{r.randrange(50)}" for _ in range(60)) if toxic(i) else prose(r, 60), "en", "s") for i in range(300)]
+    docs = table(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    labels = [(i, 0 if toxic(i) else 1, int(toxic(i))) for i in range(200)] + [(1000 + i, 0, 0) for i in range(50)]  # no text of the poor is left
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out, model = corpus_pipeline.mixed(spark, docs, str(tmp_path))
+    assert model.domains == ("clean", "toxic")
+    assert model.targets == pytest.approx([0.80 / 0.88, 0.08 / 0.88]) and model.reached == pytest.approx(model.targets, abs=2e-3)
+    copies = {x.doc_id: x._copies for x in out.collect()}
+    assert all(copies[i] >= 1 for i in range(300) if not toxic(i)) and min(copies.values()) == 0
+    after = Counter(x.doc_id for x in corpus_pipeline.mixture(spark, docs, str(tmp_path)).collect())
+    assert after == {i: n for i, n in copies.items() if n}
+    share = sum(n for i, n in after.items() if toxic(i)) / sum(after.values())
+    assert share == pytest.approx(0.08 / 0.88, abs=0.03)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.mixture(spark, docs, str(tmp_path)).select("doc_id").distinct().count() == 300
+
+
 def test_embedding_groups(spark):
     r = np.random.default_rng(8)
     base = r.normal(size=(60, 16))
