@@ -356,6 +356,18 @@ def test_embedding_groups(spark):
     assert Counter(map(tuple, neighbors.near_duplicates(df).collect())) == expected
 
 
+def test_passes_grow_with_the_group(spark):
+    r = np.random.default_rng(12)
+    assert neighbors.passes_for(200, 0.93, 24) == 16 < neighbors.passes_for(250_000, 0.93, 24) < neighbors.passes_for(1_500_000, 0.93, 24)
+    x, noise = r.normal(size=(4000, 32)), r.normal(size=(4000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise -= (noise * x).sum(axis=1, keepdims=True) * x
+    y = 0.94 * x + np.sqrt(1 - 0.94**2) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x, y[:400]]))]
+    got = neighbors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), passes=1, neighbors=2)
+    assert got.where("vec_id >= 4000 and component_id = vec_id - 4000").count() >= 390
+
+
 def test_token_trees(texts):
     encode = packing.encoding(packing.ranks_path()).encode_ordinary
     r = random.Random(9)
