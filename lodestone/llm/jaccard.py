@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import Forest, components
@@ -97,7 +97,12 @@ def _prefix_rows(k: int, percent: int, sketch):
                 tokens[row] = token.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size), pa.array(node), pa.array(need), pa.array(tokens, pa.binary())], names=["id", "n", "node", "need", "tokens"])
 
-    return run
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for out in run(iter([batch])):
+                yield out.append_column("hash", batch.column("hash")).append_column("row", batch.column("row"))
+
+    return keyed
 
 
 _POSTINGS = "bucket int, tokens binary, nodes binary, sizes binary, levels binary, needs binary"
@@ -298,13 +303,37 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     another row's component_id. Repeated ids are allowed: each row has its own
     set. Empty table: empty result.
     """
+    out = _grouped(docs, id_col, text_col, F.lit(0), shingle, percent)
+    found = F.coalesce("component_id", "id")
+    return out.select(F.when(F.col("id") != _NULL_ID, F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(found != _NULL_ID, found).alias("component_id"))
+
+
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
+    """docs with one row of each group of near duplicates: the smallest by id, nulls last, then hash of the text, then hash of the whole row.
+
+    Groups are of rows, not of ids: of two unrelated texts under one id both
+    stay. A row without words is no near duplicate; only rows with its id and
+    text are its copies.
+    """
+    columns = [F.col(c) for c in docs.columns]
+    whole = F.xxhash64(*columns, *[c.isNull() for c in columns])
+    out = _grouped(docs, id_col, text_col, whole, shingle, percent)
+    alone = F.when(F.col("n") == 0, F.struct("id", "hash"))
+    first = out.groupBy(F.coalesce("root", "node").alias("_group"), alone.alias("_alone")).agg(F.min(F.struct("id", "hash", "row")).alias("_first"))
+    first = first.select(F.col("_first.id").alias("_id"), F.col("_first.row").alias("_row"))
+    rows = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL_ID))).withColumn("_row", whole)
+    return rows.join(first, ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"]).select(*docs.columns)
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, row: Column, shingle: int, percent: int) -> DataFrame:
+    """(id, hash of the text, row, n, node, root, component_id) of every row: its set's fingerprint, the component that links put it in and the component's smallest id; null where there is none."""
     spark = docs.sparkSession
     bits = min(20, bucket_bits(spark, 1))
-    base = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).cast("string").alias("text"), row.cast("bigint").alias("row"))
     slices = base.select("text").mapInArrow(_sketch_rows(shingle), "slice int, counts binary").groupBy("slice").applyInArrow(_sketch_sum, "slice int, counts binary").collect()
     empty = bytes(4 << SKETCH_BITS)
     sketch = spark.sparkContext.broadcast(b"".join(bytes(r[1]) for r in sorted(slices)) or empty)  # 4 bytes for each of 2**SKETCH_BITS classes
-    rows = stored(base.mapInArrow(_prefix_rows(shingle, percent, sketch), "id bigint, n bigint, node bigint, need int, tokens binary"), "prefixes")
+    rows = stored(base.withColumn("hash", F.xxhash64("text")).mapInArrow(_prefix_rows(shingle, percent, sketch), "id bigint, n bigint, node bigint, need int, tokens binary, hash bigint, row bigint"), "prefixes")
     classes = stored(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("need").alias("need"), F.first("tokens").alias("tokens")), "classes")
 
     postings = classes.select("n", "node", "need", "tokens").mapInArrow(_posting_rows(percent, bits), _POSTINGS)
@@ -320,7 +349,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for w, b in bit_words:
         table[w] = b & 0xFFFFFFFFFFFFFFFF
     live = spark.sparkContext.broadcast(table.tobytes())
-    sets = base.mapInArrow(_wanted_sets(shingle, live), "id bigint, node bigint, shingles binary")
+    sets = base.select("id", "text").mapInArrow(_wanted_sets(shingle, live), "id bigint, node bigint, shingles binary")
     sets = sets.join(wanted.select("node", "id"), ["node", "id"]).select("node", "shingles").dropDuplicates(["node"])
     sent = sides.join(stored(sets, "sets"), "node")
     links = pairs.groupBy("part").cogroup(sent.groupBy("to_part")).applyInArrow(_verified(percent), "a bigint, b bigint")
@@ -328,11 +357,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of_node = components(links)
     root = of_node.join(classes.select("node", F.col("id").alias("least")), "node")
     least = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = root.join(least, "root").select("node", F.col("component_id").alias("linked_id"))
-    of_class = classes.select("node", "id").join(linked, "node", "left").select("node", F.coalesce("linked_id", "id").alias("component_id"))
-    out = rows.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(of_class, "node", "left")
-    found = F.coalesce("component_id", "id")
-    return out.select(F.when(F.col("id") != _NULL_ID, F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(found != _NULL_ID, found).alias("component_id"))
+    linked = root.join(least, "root").select("node", "root", F.col("component_id").alias("linked_id"))
+    of_class = classes.select("node", "id").join(linked, "node", "left").select("node", "root", F.coalesce("linked_id", "id").alias("component_id"))
+    out = rows.select("id", "hash", "row", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
+    return out.join(of_class, "node", "left")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -118,6 +118,20 @@ def test_jaccard_groups(spark, odd, k, percent):
     assert Counter(map(tuple, jaccard.jaccard_groups(docs, shingle=k, percent=percent).collect())) == expected
 
 
+def test_one_row_of_each_group_stays(spark):
+    r = random.Random(13)
+    a, b, c, d = (prose(r, 60, 5000) for _ in range(4))
+    near = lambda t: t + " more"
+    rows = [(1, a), (5, near(a)), (5, b), (7, c), (7, d), (7, d), (None, near(c)), (None, near(b)), (9, None), (9, None), (None, "")]
+    lone = prose(r, 50, 5000)
+    rows += [(None, lone), (None, near(lone)), (None, lone)]
+    docs = table(spark, [(i, t, "en", "s") for i, t in rows])
+    got = [(x.doc_id, x.text) for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert Counter(x for x in got if x[0] is not None) == Counter([(1, a), (5, b), (7, c), (7, d), (9, None)])
+    left = [t for i, t in got if i is None]
+    assert len(left) == 2 and "" in left and set(left) <= {"", lone, near(lone)}
+
+
 def test_base_rules(spark, odd):
     docs, rows = odd
     chain = rules.Chain(np.zeros(2), np.zeros((2, 2)), np.tile([0.0, 1.0], (rules.N_FEATURES, 1)))
