@@ -21,6 +21,8 @@ FILTER_BITS = 24
 FLUSH_TOKENS, FLUSH_PAIRS = 1 << 20, 2 << 20
 #: Work for a candidate that is verified, as against one posting that is counted.
 VERIFY_COST = 40
+#: A token list of more components than DENSE is first joined through PIVOTS of its sets, in so many rounds at most.
+DENSE, PIVOTS, ROUNDS = 256, 4, 3
 
 
 def _sets(batch: pa.RecordBatch, k: int, wanted: np.ndarray | None = None):
@@ -53,12 +55,32 @@ def _sketch_rows(k: int):
                     np.add.at(count, (g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
                     some = True
         if some:
-            step = len(count) // SKETCH_SLICES
-            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_SLICES), pa.int32()), pa.array([planes(count[i * step : i * step + step]) for i in range(SKETCH_SLICES)], pa.binary())], names=["slice", "counts"])
+            yield from _sliced(count)
 
     return run
 
 
+def _sliced(count: np.ndarray) -> Iterator[pa.RecordBatch]:
+    step = len(count) // SKETCH_SLICES
+    yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_SLICES), pa.int32()), pa.array([planes(count[i * step : i * step + step]) for i in range(SKETCH_SLICES)], pa.binary())], names=["slice", "counts"])
+
+
+def _list_class(token: np.ndarray) -> np.ndarray:
+    return (mix(token) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _list_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets of this task have each of 2**SKETCH_BITS classes of prefix tokens, in slices."""
+    count, some = np.zeros(1 << SKETCH_BITS, np.uint32), False
+    for batch in batches:
+        held = [np.frombuffer(x, np.uint64) for x in batch.column("tokens").to_pylist()]
+        if held:
+            np.add.at(count, _list_class(np.concatenate(held)), np.uint32(1))
+            some = True
+    if some:
+        yield from _sliced(count)
+
+
 def _sketch_sum(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros((1 << SKETCH_BITS) // SKETCH_SLICES, np.uint64)
     for batch in batches:
@@ -105,31 +127,37 @@ def _prefix_rows(k: int, percent: int, sketch):
     return keyed
 
 
-_POSTINGS = "bucket int, tokens binary, nodes binary, sizes binary, levels binary, needs binary"
+_POSTINGS = "bucket int, tokens binary, nodes binary, sizes binary, levels binary, needs binary, comps binary"
 
 
-def _posting_rows(percent: int, bits: int):
-    """Prefix tokens by bucket of their hash."""
+def _posting_rows(percent: int, bits: int, dense=None):
+    """Prefix tokens by bucket of their hash; with `dense`, a flag for each class of tokens, only flagged ones. comps is empty where each set is its own component."""
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
-        token, node, size, level, need = (np.concatenate(x) for x in zip(*held))
+        token, node, size, level, need, comp = (np.concatenate(x) for x in zip(*held))
         bucket = (mix(token) >> np.uint64(64 - bits)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         at = cut(bucket[order], 1 << bits)
         rows = []
         for b in np.flatnonzero(np.diff(at)):
             x = order[at[b] : at[b + 1]]
-            rows.append((int(b), token[x].tobytes(), node[x].tobytes(), planes(size[x]), level[x].tobytes(), need[x].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 5))], names=["bucket", "tokens", "nodes", "sizes", "levels", "needs"])
+            rows.append((int(b), token[x].tobytes(), node[x].tobytes(), planes(size[x]), level[x].tobytes(), need[x].tobytes(), b"" if np.array_equal(comp[x], node[x]) else comp[x].tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 6))], names=["bucket", "tokens", "nodes", "sizes", "levels", "needs", "comps"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
+        flags = None if dense is None else np.frombuffer(dense.value, bool)
         for batch in batches:
-            for n, node, need, raw in zip(*(batch.column(c).to_pylist() for c in ("n", "node", "need", "tokens"))):
+            for n, node, need, raw, comp in zip(*(batch.column(c).to_pylist() for c in ("n", "node", "need", "tokens", "comp"))):
                 token = np.frombuffer(raw, np.uint64)
                 m = len(token)
                 level = np.maximum(1, np.arange(m) - (n - least_overlap(n, percent)) + 1).astype(np.uint8)
-                held.append((token, np.full(m, node), np.full(m, n, np.uint32), level, np.full(m, need, np.uint8)))
+                if flags is not None:
+                    some = flags[_list_class(token)]
+                    token, level, m = token[some], level[some], int(some.sum())
+                    if not m:
+                        continue
+                held.append((token, np.full(m, node), np.full(m, n, np.uint32), level, np.full(m, need, np.uint8), np.full(m, comp)))
                 total += m
                 if total >= FLUSH_TOKENS:
                     yield from flush(held)
@@ -143,8 +171,11 @@ def _posting_rows(percent: int, bits: int):
 _PAIRS = "part int, a binary, b binary, matches binary, needs binary"
 
 
-def _candidate_rows(percent: int, bits: int):
-    """Of one bucket of tokens: pairs of sets whose prefixes hold the same token and whose sizes allow the similarity, with the count."""
+def _candidate_rows(percent: int, bits: int, dense: int = 0):
+    """Of one bucket of tokens: pairs of sets of different components whose prefixes hold the same token and whose sizes allow the similarity, with the count.
+
+    With `dense`: of token lists of more components than that, the pairs of PIVOTS sets with all others.
+    """
 
     def pack(a, b, count, need) -> Iterator[pa.RecordBatch]:
         side = lambda x: (xxhash64(x) >> np.uint64(64 - bits)).astype(np.int64)
@@ -167,24 +198,39 @@ def _candidate_rows(percent: int, bits: int):
         yield from pack(a[new], b[new], count, need[new])
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols = [[], [], [], [], []]
+        cols = [[], [], [], [], [], []]
         for t in batches:
             for c, name, kind in zip(cols, ("tokens", "nodes", "sizes", "levels", "needs"), (np.uint64, np.int64, None, np.uint8, np.uint8)):
                 c += [unplanes(x, np.uint32) if kind is None else np.frombuffer(x, kind) for x in t.column(name).to_pylist()]
-        token, node, size, level, need = (np.concatenate(c) for c in cols)
-        order = np.lexsort((node, token))
-        token, node, size, level, need = (x[order] for x in (token, node, size, level, need))
+            cols[5] += [np.frombuffer(x or y, np.int64) for x, y in zip(t.column("comps").to_pylist(), t.column("nodes").to_pylist())]
+        token, node, size, level, need, comp = (np.concatenate(c) for c in cols)
+        order = np.lexsort((node, comp, token))
+        token, node, size, level, need, comp = (x[order] for x in (token, node, size, level, need, comp))
         size = size.astype(np.int64)
         start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         length = np.diff(np.append(start, len(token)))
-        # every posting meets those after it in its list: partner distance 1, 2, ... over all lists at once
         last = np.repeat(start + length, length)
+        # a component's sets stand together in a list: end is where the next component begins
+        first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (comp[1:] != comp[:-1])]))
+        width = np.diff(np.append(first, len(token)))
+        end = np.repeat(first + width, width)
+        if dense:
+            at = np.searchsorted(first, start)
+            runs = np.diff(np.append(at, len(first)))
+            for k in range(PIVOTS):
+                for x in first[at[runs > dense] + k]:
+                    y = np.arange(end[x], last[x])
+                    y = y[100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])]
+                    if len(y):
+                        yield from merged([(np.full(len(y), node[x]), node[y], np.ones(len(y), np.uint8))])
+            return
+        # every posting meets those of later components in its list: the 1st, 2nd, ... of them over all lists at once
         held, total = [], 0
         at = np.arange(len(token))
-        step = 1
-        at = at[at + step < last[at]]
+        step = 0
+        at = at[end[at] < last[at]]
         while len(at):
-            x, y = at, at + step
+            x, y = at, end[at] + step
             ell = np.maximum(need[x], need[y])
             ok = (level[x] <= ell) & (level[y] <= ell) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
             x, y = x[ok], y[ok]
@@ -194,7 +240,7 @@ def _candidate_rows(percent: int, bits: int):
                 yield from merged(held)
                 held, total = [], 0
             step += 1
-            at = at[at + step < last[at]]
+            at = at[end[at] + step < last[at]]
         if total:
             yield from merged(held)
 
@@ -295,7 +341,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     takes the length whose postings and verifications, estimated from the
     sketch, cost least; a pair goes by the stricter of its two. Survivors are
     verified against whole sets, and a pair already in one group is not compared
-    again. Pairs travel packed, by a grid of the hashes of both sides: a large
+    again. Long token lists are joined first through a few of their sets: what
+    these verify is one component, and pairs are made between components only,
+    so that a group of near copies costs about its size. Pairs travel packed, by a grid of the hashes of both sides: a large
     group of near copies spreads over all tasks, and each of its sets goes to one
     row and one column of the grid.
 
@@ -336,24 +384,44 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, row: Column, shingle:
     rows = stored(base.withColumn("hash", F.xxhash64("text")).mapInArrow(_prefix_rows(shingle, percent, sketch), "id bigint, n bigint, node bigint, need int, tokens binary, hash bigint, row bigint"), "prefixes")
     classes = stored(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("need").alias("need"), F.first("tokens").alias("tokens")), "classes")
 
-    postings = classes.select("n", "node", "need", "tokens").mapInArrow(_posting_rows(percent, bits), _POSTINGS)
-    pairs = postings.groupBy("bucket").applyInArrow(_candidate_rows(percent, (bits + 1) // 2), _PAIRS)
-    pairs = stored(pairs.groupBy("part").applyInArrow(_required_pairs, "part int, a array<bigint>, b array<bigint>"), "pairs")
-
-    sides = pairs.select(F.col("part").alias("to_part"), F.explode(F.array_distinct(F.concat("a", "b"))).alias("node")).distinct()
-    wanted = sides.select("node").distinct().join(classes.select("node", "id"), "node")
-    h = F.shiftrightunsigned(F.xxhash64("id"), 64 - FILTER_BITS)
-    bit_words = wanted.withColumn("h", h).selectExpr("h >> 6 AS w", "shiftleft(1L, CAST(h & 63 AS INT)) AS b")
-    bit_words = bit_words.groupBy("w").agg(F.bit_or("b").alias("b")).collect()  # 2**FILTER_BITS / 64 rows at most
-    table = np.zeros(1 << FILTER_BITS >> 6, np.uint64)
-    for w, b in bit_words:
-        table[w] = b & 0xFFFFFFFFFFFFFFFF
-    live = spark.sparkContext.broadcast(table.tobytes())
-    sets = base.select("id", "text").mapInArrow(_wanted_sets(shingle, live), "id bigint, node bigint, shingles binary")
-    sets = sets.join(wanted.select("node", "id"), ["node", "id"]).select("node", "shingles").dropDuplicates(["node"])
-    sent = sides.join(stored(sets, "sets"), "node")
-    links = pairs.groupBy("part").cogroup(sent.groupBy("to_part")).applyInArrow(_verified(percent), "a bigint, b bigint")
-
+    def candidates(joined: DataFrame | None, flags=None) -> DataFrame:
+        sets = classes.select("n", "node", "need", "tokens")
+        sets = sets.withColumn("comp", F.col("node")) if joined is None else sets.join(joined.select("node", F.col("root").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        postings = sets.mapInArrow(_posting_rows(percent, bits, flags), _POSTINGS)
+        pairs = postings.groupBy("bucket").applyInArrow(_candidate_rows(percent, (bits + 1) // 2, DENSE if flags else 0), _PAIRS)
+        return stored(pairs.groupBy("part").applyInArrow(_required_pairs, "part int, a array<bigint>, b array<bigint>"), "pairs")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        sides = pairs.select(F.col("part").alias("to_part"), F.explode(F.array_distinct(F.concat("a", "b"))).alias("node")).distinct()
+        wanted = sides.select("node").distinct().join(classes.select("node", "id"), "node")
+        h = F.shiftrightunsigned(F.xxhash64("id"), 64 - FILTER_BITS)
+        bit_words = wanted.withColumn("h", h).selectExpr("h >> 6 AS w", "shiftleft(1L, CAST(h & 63 AS INT)) AS b")
+        bit_words = bit_words.groupBy("w").agg(F.bit_or("b").alias("b")).collect()  # 2**FILTER_BITS / 64 rows at most
+        table = np.zeros(1 << FILTER_BITS >> 6, np.uint64)
+        for w, b in bit_words:
+            table[w] = b & 0xFFFFFFFFFFFFFFFF
+        live = spark.sparkContext.broadcast(table.tobytes())
+        sets = base.select("id", "text").mapInArrow(_wanted_sets(shingle, live), "id bigint, node bigint, shingles binary")
+        sets = sets.join(wanted.select("node", "id"), ["node", "id"]).select("node", "shingles").dropDuplicates(["node"])
+        sent = sides.join(stored(sets, "sets"), "node")
+        return pairs.groupBy("part").cogroup(sent.groupBy("to_part")).applyInArrow(_verified(percent), "a bigint, b bigint")
+
+    lists = classes.select("tokens").mapInArrow(_list_rows, "slice int, counts binary").groupBy("slice").applyInArrow(_sketch_sum, "slice int, counts binary").collect()
+    count = np.frombuffer(b"".join(bytes(r[1]) for r in sorted(lists)) or empty, np.uint32)
+    dense = count > DENSE + 2 * count.mean()
+    flags = spark.sparkContext.broadcast(dense.tobytes())  # a byte for each of 2**SKETCH_BITS classes
+    joined = None
+    for _ in range(ROUNDS if dense.any() else 0):
+        pairs = candidates(joined, flags)
+        if pairs.isEmpty():
+            break
+        links = stored(verified(pairs), "links")
+        if links.isEmpty():
+            break
+        joined = stored(components(links if joined is None else links.union(joined.select(F.col("node").alias("a"), F.col("root").alias("b")))), "joined")
+    links = verified(candidates(joined))
+    if joined is not None:
+        links = links.union(joined.select(F.col("node").alias("a"), F.col("root").alias("b")))
     of_node = components(links)
     root = of_node.join(classes.select("node", F.col("id").alias("least")), "node")
     least = root.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -118,6 +118,30 @@ def test_jaccard_groups(spark, odd, k, percent):
     assert Counter(map(tuple, jaccard.jaccard_groups(docs, shingle=k, percent=percent).collect())) == expected
 
 
+def test_a_dense_group_costs_about_its_size(spark, monkeypatch):
+    r = random.Random(14)
+    rows = []
+    for f in range(2):
+        template = [f"t{f}x{i}" for i in range(100)]
+        for i in range(500):
+            v = list(template)
+            v[r.randrange(100)] = f"n{f}x{i}"
+            rows.append((len(rows), " ".join(v), "en", "s"))
+    rows += [(5000 + i, prose(r, 60, 5000), "en", "s") for i in range(50)]
+    sizes, keep = [], jaccard.stored
+
+    def counted(df, name):
+        out = keep(df, name)
+        if name == "pairs":
+            sizes.append(out.agg(F.sum(F.size("a"))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", counted)
+    got = {x.doc_id: x.component_id for x in jaccard.jaccard_groups(table(spark, rows)).collect()}
+    assert all(got[i] == i // 500 * 500 for i in range(1000)) and all(got[5000 + i] == 5000 + i for i in range(50))
+    assert sum(sizes) < 20 * len(rows)
+
+
 def test_one_row_of_each_group_stays(spark):
     r = random.Random(13)
     a, b, c, d = (prose(r, 60, 5000) for _ in range(4))
