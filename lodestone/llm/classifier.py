@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,9 +12,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK, CHUNKS_PER_ROW, DICTIONARY, LEVEL = 1024, 16, 1 << 16, 3
-#: Labelled rows of each label for the dictionaries and for the calibration.
-DICTIONARY_ROWS, CALIBRATION_ROWS = 2000, 3000
+CHUNK, DICTIONARY, LEVEL = 256, 1 << 16, 3
+#: Labelled rows of each label for the dictionaries, as many whole texts as have so many bytes, and rows for the calibration.
+DICTIONARY_ROWS, DICTIONARY_BYTES, CALIBRATION_ROWS = 2000, 16 << 20, 3000
+N_DIFFERENCES = 4
 
 
 @dataclass(frozen=True)
@@ -44,18 +46,19 @@ class Sizes:
             self.pair.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
 
     def features(self, text: bytes) -> tuple[float, ...]:
+        """Compressed-size differences, bad less good: of the whole text by compressed size and by byte, and the least of a chunk by each. An empty text has none."""
         good, bad = self.pair
         total = spread = 0
-        least, packed = 1.0, 1.0
+        least, thin = math.inf, math.inf
         for at in range(0, len(text), CHUNK):
             part = text[at : at + CHUNK]
             g, b = len(good(part)), len(bad(part))
             total += max(g, b)
             spread += b - g
-            if len(part) >= 128 or not at:
+            if len(part) >= CHUNK // 2 or not at:
                 least = min(least, (b - g) / max(g, b))
-                packed = min(packed, g / len(part))
-        return (spread / max(total, 1), least if text else 0.0, packed, total / max(len(text), 1), float(np.log1p(len(text))))
+                thin = min(thin, (b - g) / len(part))
+        return (spread / total, spread / len(text), least, thin) if text else (0.0,) * N_DIFFERENCES
 
 
 def _features(good: bytes, bad: bytes):
@@ -68,18 +71,6 @@ def _features(good: bytes, bad: bytes):
     return run
 
 
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        label, chunk = [], []
-        for y, t in zip(batch.column("label").to_pylist(), batch.column("text")):
-            raw = (t.as_py() or "").encode()
-            starts = range(0, len(raw), CHUNK)
-            for at in starts[:: max(1, len(starts) // CHUNKS_PER_ROW)][:CHUNKS_PER_ROW]:
-                label.append(y)
-                chunk.append(raw[at : at + CHUNK])
-        yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(chunk, pa.binary())], names=["label", "chunk"])
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     x = np.hstack([np.ones((len(x), 1)), x])
     w = np.zeros(x.shape[1])
@@ -96,32 +87,47 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 
 def _expanded(x: np.ndarray) -> np.ndarray:
-    return np.hstack([x, x[:, :3] * x[:, :3], x[:, :3] * x[:, 4:5]])
+    """The differences and their products by pairs, so that the curve need not be straight."""
+    return np.hstack([x, *(x[:, [i]] * x[:, i:] for i in range(x.shape[1]))])
+
+
+_FLAT = (0.0,) * (1 + N_DIFFERENCES + N_DIFFERENCES * (N_DIFFERENCES + 1) // 2)
+_UNFIT = ((0.0,) * N_DIFFERENCES, (1.0,) * N_DIFFERENCES, _FLAT)
 
 
-def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", dictionary_rows: int = DICTIONARY_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
+def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", dictionary_rows: int = DICTIONARY_ROWS, calibration_rows: int = CALIBRATION_ROWS, dictionary_bytes: int = DICTIONARY_BYTES) -> Model:
     """A model from labelled(id, label 0/1): dictionaries from one bounded part of the rows of each label, in the order of a hash of the id, and the calibration from another.
 
-    At most CHUNKS_PER_ROW chunks of a row go into a dictionary. Calibration is
-    logistic, on the whole texts' features, weighted to the labels' own shares.
-    Without rows of one label the scores are 0.5.
+    Whole texts go into a dictionary, as long as they have dictionary_bytes
+    together. Calibration is logistic, on the whole texts' normalised
+    compressed-size differences and on nothing else, weighted to the labels' own
+    shares. Without rows of one label the scores are 0.5.
     """
     known = labelled.where(F.col("label").isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, F.col("label").cast("int").alias("label")).dropDuplicates([id_col])
     share = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     if len(share) < 2:
-        return Model(b"\n" * 8, b"\n" * 8, (0.0,) * 5, (1.0,) * 5, (0.0,) * 12)
+        return Model(b"\n" * 8, b"\n" * 8, *_UNFIT)
     h = F.xxhash64(id_col)
     of = lambda y, lo, n: known.where(F.col("label") == y).orderBy(h, id_col).offset(lo).limit(n)
     first = {y: min(dictionary_rows, (share[y] + 1) // 2) for y in (0, 1)}
-    text = lambda ids: docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), id_col).select("label", "text")  # noqa: E731  a bounded number of ids
+    text = lambda ids: docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), id_col).select("label", h.alias("h"), "text")  # noqa: E731  a bounded number of ids
+    learned = text(of(0, 0, first[0]).union(of(1, 0, first[1])))
+    used, last = {0: 0, 1: 0}, {0: -(1 << 63), 1: -(1 << 63)}
+    for y, place, n in sorted(map(tuple, learned.select("label", "h", F.coalesce(F.octet_length("text"), F.lit(0))).collect())):
+        if used[y] and used[y] + n > dictionary_bytes:
+            used[y] = dictionary_bytes + 1  # the order ends here
+        else:
+            used[y], last[y] = used[y] + n, place
+    chosen = learned.where(F.col("h") <= F.when(F.col("label") == 0, last[0]).otherwise(last[1])).where("text is not null")
     chunks: dict[int, list[bytes]] = {0: [], 1: []}
-    for y, c in text(of(0, 0, first[0]).union(of(1, 0, first[1]))).mapInArrow(_chunk_rows, "label int, chunk binary").collect():
-        chunks[y].append(bytes(c))
-    good, bad = _dictionary(sorted(chunks[1])), _dictionary(sorted(chunks[0]))
+    for y, _, t in sorted(map(tuple, chosen.collect())):
+        raw = t.encode()
+        chunks[y] += [raw[at : at + CHUNK] for at in range(0, len(raw), CHUNK)]
+    good, bad = _dictionary(chunks[1]), _dictionary(chunks[0])
     rest = of(0, first[0], calibration_rows).union(of(1, first[1], calibration_rows))
-    got = text(rest).mapInArrow(_features(good, bad), "label int, x array<double>").collect()
+    got = text(rest).select("label", "text").mapInArrow(_features(good, bad), "label int, x array<double>").collect()
     if len({r[0] for r in got}) < 2:
-        return Model(good, bad, (0.0,) * 5, (1.0,) * 5, (0.0,) * 12)
+        return Model(good, bad, *_UNFIT)
     y, x = np.array([r[0] for r in got], float), np.array([r[1] for r in got])
     order = np.lexsort((*x.T, y))
     y, x = y[order], x[order]

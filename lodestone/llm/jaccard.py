@@ -11,18 +11,23 @@ from pyspark.sql import functions as F
 
 from .graph import Forest, components
 from .packed import column, cut, planes, unplanes, xxhash64
-from .shared import bucket_bits, shuffle_partitions, stored
+from .shared import bucket_bits, stored, with_values
 from .words import mix, ngrams, row_firsts, text_slices, words
 
 SHINGLE, SIMILARITY = 5, 80
 SKETCH_BITS, SKETCH_SLICES = 20, 16
 MATCHES = 4
-FILTER_BITS = 24
+#: log2 of the bits that say which sets are wanted: 16 for each set, between these.
+FILTER_BITS = (16, 27)
 FLUSH_TOKENS, FLUSH_PAIRS = 1 << 20, 2 << 20
 #: Work for a candidate that is verified, as against one posting that is counted.
 VERIFY_COST = 40
 #: A token list of more components than DENSE is first joined through PIVOTS of its sets, in so many rounds at most.
 DENSE, PIVOTS, ROUNDS = 256, 4, 3
+#: A longer token list is cut into blocks of about so many sets, and every two of its blocks meet in a task of their own.
+BLOCK = 8192
+#: Postings that a bucket of tokens has about.
+BUCKET = 1 << 20
 
 
 def _sets(batch: pa.RecordBatch, k: int, wanted: np.ndarray | None = None):
@@ -127,22 +132,48 @@ def _prefix_rows(k: int, percent: int, sketch):
     return keyed
 
 
-_POSTINGS = "bucket int, tokens binary, nodes binary, sizes binary, levels binary, needs binary, comps binary"
+_POSTINGS = "bucket int, cell bigint, tokens binary, nodes binary, sizes binary, levels binary, needs binary, comps binary"
 
 
-def _posting_rows(percent: int, bits: int, dense=None):
-    """Prefix tokens by bucket of their hash; with `dense`, a flag for each class of tokens, only flagged ones. comps is empty where each set is its own component."""
+def _side(node: np.ndarray, many: np.ndarray, turn: int) -> np.ndarray:
+    """The block of a set in a list of `many` blocks; each turn deals them anew."""
+    return (mix(node.view(np.uint64) + np.uint64(turn)) % many.astype(np.uint64)).astype(np.int64)
+
+
+def _posting_rows(percent: int, bits: int, blocks, dense=None, turn: int = 0):
+    """Prefix tokens by bucket of their hash and cell of their list; blocks: how many each class of tokens has.
+
+    A list of one block is cell 0; of a longer one, every two blocks are a cell.
+    With `dense`, a flag for each class of tokens, only flagged ones, and each block
+    alone. comps is empty where each set is its own component.
+    """
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
         token, node, size, level, need, comp = (np.concatenate(x) for x in zip(*held))
         bucket = (mix(token) >> np.uint64(64 - bits)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        at = cut(bucket[order], 1 << bits)
+        many = np.frombuffer(blocks.value, np.int32)[_list_class(token)].astype(np.int64)
+        at, cell = np.arange(len(token)), np.zeros(len(token), np.int64)
+        split = np.flatnonzero(many > 1)
+        if len(split):
+            mine = _side(node[split], many[split], turn)
+            if dense is not None:
+                cell[split] = 1 + mine
+            else:
+                each = many[split]
+                copy = np.repeat(split, each)
+                other = np.arange(len(copy)) - np.repeat(np.cumsum(each) - each, each)
+                own = np.repeat(mine, each)
+                at = np.concatenate([np.flatnonzero(many == 1), copy])
+                cell = np.concatenate([np.zeros(len(at) - len(copy), np.int64), 1 + np.minimum(own, other) * many[copy] + np.maximum(own, other)])
+        key = bucket[at]
+        order = np.lexsort((cell, key))
+        at, cell, key = at[order], cell[order], key[order]
+        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]))
         rows = []
-        for b in np.flatnonzero(np.diff(at)):
-            x = order[at[b] : at[b + 1]]
-            rows.append((int(b), token[x].tobytes(), node[x].tobytes(), planes(size[x]), level[x].tobytes(), need[x].tobytes(), b"" if np.array_equal(comp[x], node[x]) else comp[x].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 6))], names=["bucket", "tokens", "nodes", "sizes", "levels", "needs", "comps"])
+        for lo, hi in zip(new, np.append(new[1:], len(at))):
+            x = at[lo:hi]
+            rows.append((int(key[lo]), int(cell[lo]), token[x].tobytes(), node[x].tobytes(), planes(size[x]), level[x].tobytes(), need[x].tobytes(), b"" if np.array_equal(comp[x], node[x]) else comp[x].tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), *[pa.binary()] * 6))], names=["bucket", "cell", "tokens", "nodes", "sizes", "levels", "needs", "comps"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -171,8 +202,8 @@ def _posting_rows(percent: int, bits: int, dense=None):
 _PAIRS = "part int, a binary, b binary, matches binary, needs binary"
 
 
-def _candidate_rows(percent: int, bits: int, dense: int = 0):
-    """Of one bucket of tokens: pairs of sets of different components whose prefixes hold the same token and whose sizes allow the similarity, with the count.
+def _candidate_rows(percent: int, bits: int, blocks, dense: int = 0):
+    """Of one cell: pairs of sets of different components whose prefixes hold the same token and whose sizes allow the similarity, with the count.
 
     With `dense`: of token lists of more components than that, the pairs of PIVOTS sets with all others.
     """
@@ -199,6 +230,7 @@ def _candidate_rows(percent: int, bits: int, dense: int = 0):
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [[], [], [], [], [], []]
+        cell = key[1].as_py()
         for t in batches:
             for c, name, kind in zip(cols, ("tokens", "nodes", "sizes", "levels", "needs"), (np.uint64, np.int64, None, np.uint8, np.uint8)):
                 c += [unplanes(x, np.uint32) if kind is None else np.frombuffer(x, kind) for x in t.column(name).to_pylist()]
@@ -224,6 +256,10 @@ def _candidate_rows(percent: int, bits: int, dense: int = 0):
                     if len(y):
                         yield from merged([(np.full(len(y), node[x]), node[y], np.ones(len(y), np.uint8))])
             return
+        side = None
+        if cell:  # two blocks meet: sets of one of them meet in a cell of their own
+            many = np.frombuffer(blocks.value, np.int32)[_list_class(token)].astype(np.int64)
+            side = np.where((cell - 1) // many == (cell - 1) % many, -1 - np.arange(len(token)), _side(node, many, 0))
         # every posting meets those of later components in its list: the 1st, 2nd, ... of them over all lists at once
         held, total = [], 0
         at = np.arange(len(token))
@@ -233,6 +269,8 @@ def _candidate_rows(percent: int, bits: int, dense: int = 0):
             x, y = at, end[at] + step
             ell = np.maximum(need[x], need[y])
             ok = (level[x] <= ell) & (level[y] <= ell) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
+            if side is not None:
+                ok &= side[x] != side[y]
             x, y = x[ok], y[ok]
             held.append((node[x], node[y], ell[ok]))
             total += len(x)
@@ -304,13 +342,13 @@ def _verified(percent: int):
     return run
 
 
-def _wanted_sets(k: int, bits_words):
-    """Sets of the texts whose id may be one of the wanted: a filter of 2**FILTER_BITS bits, whose false positives a join removes."""
+def _wanted_sets(k: int, bits_words, filter_bits: int):
+    """Sets of the texts whose id may be one of the wanted: a filter of bits, whose false positives a join removes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bits_words.value, np.uint64)
         for batch in batches:
-            h = xxhash64(batch.column("id").to_numpy(zero_copy_only=False)) >> np.uint64(64 - FILTER_BITS)
+            h = xxhash64(batch.column("id").to_numpy(zero_copy_only=False)) >> np.uint64(64 - filter_bits)
             wanted = (bits[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
             if not wanted.any():
                 continue
@@ -343,9 +381,12 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     verified against whole sets, and a pair already in one group is not compared
     again. Long token lists are joined first through a few of their sets: what
     these verify is one component, and pairs are made between components only,
-    so that a group of near copies costs about its size. Pairs travel packed, by a grid of the hashes of both sides: a large
-    group of near copies spreads over all tasks, and each of its sets goes to one
-    row and one column of the grid.
+    so that a group of near copies costs about its size. What is left of a list is
+    dealt in blocks: no task holds a whole list that is longer. Pairs travel
+    packed, by a grid of the hashes of both sides: a large group of near copies
+    spreads over all tasks, and each of its sets goes to one row and one column of
+    the grid. Buckets grow in number with the postings, the filter of wanted sets
+    with those.
 
     A null id counts as the largest id and stays null in doc_id; it never is
     another row's component_id. Repeated ids are allowed: each row has its own
@@ -382,37 +423,41 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, row: Column, shingle:
     empty = bytes(4 << SKETCH_BITS)
     sketch = spark.sparkContext.broadcast(b"".join(bytes(r[1]) for r in sorted(slices)) or empty)  # 4 bytes for each of 2**SKETCH_BITS classes
     rows = stored(base.withColumn("hash", F.xxhash64("text")).mapInArrow(_prefix_rows(shingle, percent, sketch), "id bigint, n bigint, node bigint, need int, tokens binary, hash bigint, row bigint"), "prefixes")
-    classes = stored(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("need").alias("need"), F.first("tokens").alias("tokens")), "classes")
-
-    def candidates(joined: DataFrame | None, flags=None) -> DataFrame:
+    classes = stored(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("many"), F.first("n").alias("n"), F.first("need").alias("need"), F.first("tokens").alias("tokens")), "classes")
+    lists = classes.select("tokens").mapInArrow(_list_rows, "slice int, counts binary").groupBy("slice").applyInArrow(_sketch_sum, "slice int, counts binary").collect()
+    count = np.frombuffer(b"".join(bytes(r[1]) for r in sorted(lists)) or empty, np.uint32).astype(np.int64)
+    usual = 2 * count.mean()
+    dense = count > DENSE + usual
+    bits = max(bits, min(20, int(count.sum() // BUCKET).bit_length()))
+    many = np.maximum(1, -(-(count - int(usual)) // BLOCK)).astype(np.int32)
+    blocks = spark.sparkContext.broadcast(many.tobytes())  # 4 bytes for each of 2**SKETCH_BITS classes
+    flags = spark.sparkContext.broadcast(dense.tobytes())  # a byte for each
+
+    def candidates(joined: DataFrame | None, turn: int | None = None) -> DataFrame:
         sets = classes.select("n", "node", "need", "tokens")
         sets = sets.withColumn("comp", F.col("node")) if joined is None else sets.join(joined.select("node", F.col("root").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        postings = sets.mapInArrow(_posting_rows(percent, bits, flags), _POSTINGS)
-        pairs = postings.groupBy("bucket").applyInArrow(_candidate_rows(percent, (bits + 1) // 2, DENSE if flags else 0), _PAIRS)
+        only = {} if turn is None else {"dense": flags, "turn": turn}
+        postings = sets.mapInArrow(_posting_rows(percent, bits, blocks, **only), _POSTINGS)
+        pairs = postings.groupBy("bucket", "cell").applyInArrow(_candidate_rows(percent, (bits + 1) // 2, blocks, DENSE if only else 0), _PAIRS)
         return stored(pairs.groupBy("part").applyInArrow(_required_pairs, "part int, a array<bigint>, b array<bigint>"), "pairs")
 
     def verified(pairs: DataFrame) -> DataFrame:
         sides = pairs.select(F.col("part").alias("to_part"), F.explode(F.array_distinct(F.concat("a", "b"))).alias("node")).distinct()
-        wanted = sides.select("node").distinct().join(classes.select("node", "id"), "node")
-        h = F.shiftrightunsigned(F.xxhash64("id"), 64 - FILTER_BITS)
-        bit_words = wanted.withColumn("h", h).selectExpr("h >> 6 AS w", "shiftleft(1L, CAST(h & 63 AS INT)) AS b")
-        bit_words = bit_words.groupBy("w").agg(F.bit_or("b").alias("b")).collect()  # 2**FILTER_BITS / 64 rows at most
-        table = np.zeros(1 << FILTER_BITS >> 6, np.uint64)
-        for w, b in bit_words:
-            table[w] = b & 0xFFFFFFFFFFFFFFFF
+        wanted = stored(sides.select("node").distinct().join(classes.select("node", "id"), "node"), "wanted")
+        filter_bits = min(max((16 * wanted.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+        h = F.shiftrightunsigned(F.xxhash64("id"), 64 - filter_bits)
+        words = wanted.withColumn("h", h).selectExpr("h >> 6 AS w", "shiftleft(1L, CAST(h & 63 AS INT)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # 2**filter_bits / 64 rows at most
+        table = np.zeros(1 << filter_bits >> 6, np.int64)
+        table[words.column("w").to_numpy()] = words.column("b").to_numpy()
         live = spark.sparkContext.broadcast(table.tobytes())
-        sets = base.select("id", "text").mapInArrow(_wanted_sets(shingle, live), "id bigint, node bigint, shingles binary")
+        sets = base.select("id", "text").mapInArrow(_wanted_sets(shingle, live, filter_bits), "id bigint, node bigint, shingles binary")
         sets = sets.join(wanted.select("node", "id"), ["node", "id"]).select("node", "shingles").dropDuplicates(["node"])
         sent = sides.join(stored(sets, "sets"), "node")
         return pairs.groupBy("part").cogroup(sent.groupBy("to_part")).applyInArrow(_verified(percent), "a bigint, b bigint")
 
-    lists = classes.select("tokens").mapInArrow(_list_rows, "slice int, counts binary").groupBy("slice").applyInArrow(_sketch_sum, "slice int, counts binary").collect()
-    count = np.frombuffer(b"".join(bytes(r[1]) for r in sorted(lists)) or empty, np.uint32)
-    dense = count > DENSE + 2 * count.mean()
-    flags = spark.sparkContext.broadcast(dense.tobytes())  # a byte for each of 2**SKETCH_BITS classes
     joined = None
-    for _ in range(ROUNDS if dense.any() else 0):
-        pairs = candidates(joined, flags)
+    for turn in range(1, ROUNDS + 1 if dense.any() else 0):
+        pairs = candidates(joined, turn)
         if pairs.isEmpty():
             break
         links = stored(verified(pairs), "links")
@@ -426,9 +471,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, row: Column, shingle:
     root = of_node.join(classes.select("node", F.col("id").alias("least")), "node")
     least = root.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = root.join(least, "root").select("node", "root", F.col("component_id").alias("linked_id"))
-    of_class = classes.select("node", "id").join(linked, "node", "left").select("node", "root", F.coalesce("linked_id", "id").alias("component_id"))
+    of_class = stored(classes.select("node", "id", "many").join(linked, "node", "left").select("node", "many", "root", F.coalesce("linked_id", "id").alias("component_id")), "of-class")
     out = rows.select("id", "hash", "row", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
-    return out.join(of_class, "node", "left")
+    return with_values(out, of_class, "node", "many", F.struct("id", "hash", "row"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 BUCKETS, TRAIN_ROWS, SMOOTHING, EVIDENCE = 4096, 20_000, 0.5, 60.0
-STEPS, CLOSE = 40, 2e-4
+STEPS, CLOSE, KEPT_STEPS = 40, 2e-4, 6
+NO_LIMIT = 1e9
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -84,12 +85,17 @@ def with_posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text")
     return rows.withColumn("_posterior", F.transform("_raised", lambda x: x / whole)).drop("_scores", "_raised")
 
 
-def rate(posterior: Column, history: list[list[float]], low: float | Column, high: float) -> Column:
-    """A document's rate after the steps so far: each moves it by its posterior and then back into low..high; low can differ by row."""
+def first_rate(low: float | Column, high: float) -> Column:
     low = low if isinstance(low, Column) else F.lit(float(low))
-    one = F.least(F.lit(float(high)), F.greatest(low, F.lit(1.0)))
+    return F.least(F.lit(float(high)), F.greatest(low, F.lit(1.0)))
+
+
+def rate(posterior: Column, history: list[list[float]], low: float | Column, high: float, start: Column | None = None) -> Column:
+    """A document's rate after these steps from `start`: each moves it by its posterior and then back into low..high; low can differ by row."""
+    low = low if isinstance(low, Column) else F.lit(float(low))
+    start = first_rate(low, high) if start is None else start
     if not history:
-        return one
+        return start
     steps = F.from_json(F.lit(repr(history)), "array<array<double>>")
     k = len(history[0])
 
@@ -97,10 +103,10 @@ def rate(posterior: Column, history: list[list[float]], low: float | Column, hig
         move = sum((F.get(posterior, F.lit(i)) * F.get(residual, F.lit(i)) for i in range(k)), F.lit(0.0))
         return F.greatest(low, F.least(F.lit(float(high)), r - move))
 
-    return F.aggregate(steps, one, step)
+    return F.aggregate(steps, start, step)
 
 
-def fit(rows: DataFrame, targets: list[float], low: float | Column = 0.0, high: float = 1e9, steps: int = STEPS) -> tuple[list[list[float]], list[float], list[float]]:
+def fit(rows: DataFrame, targets: list[float], low: float | Column = 0.0, high: float = NO_LIMIT, steps: int = STEPS) -> tuple[list[list[float]], list[float], list[float]]:
     """(moves of all steps, reached and target shares) of projected-gradient least squares on rows(_tokens, _posterior).
 
     Minimises the misfit of the expected token shares with every rate in
@@ -108,7 +114,8 @@ def fit(rows: DataFrame, targets: list[float], low: float | Column = 0.0, high:
     moments, and gradients are measured per token: every curvature is then 1, a
     step has length 1, and bounds that don't bind are met in one. A step is one
     aggregate over the table; a document's rate is the fold of its posterior over
-    the moves, so no state is written.
+    the moves. Every KEPT_STEPS steps the rates so far are written beside the
+    posteriors, so that no step folds more than those few moves.
     """
     k = len(targets)
     p = [F.get("_posterior", F.lit(i)) for i in range(k)]
@@ -118,11 +125,16 @@ def fit(rows: DataFrame, targets: list[float], low: float | Column = 0.0, high:
         return [], [0.0] * k, targets
     moments = np.array(first[1:], float).reshape(k, k) / total
     inverse = np.linalg.inv(moments + 1e-9 * np.eye(k))
+    state = rows.select("_tokens", "_posterior", first_rate(low, high).alias("_r"))
     history: list[list[float]] = []
+    kept = 0
     share, last = [], None
     for _ in range(steps):
-        r = rate(F.col("_posterior"), history, low, high)
-        got = rows.select("_tokens", "_posterior", F.explode(F.array(r)).alias("_r")).agg(*[F.sum(F.col("_tokens") * F.col("_r") * x) for x in p]).first()
+        if len(history) - kept == KEPT_STEPS:
+            state = stored(state.select("_tokens", "_posterior", rate(F.col("_posterior"), history[kept:], low, high, F.col("_r")).alias("_r")), "rates")
+            kept = len(history)
+        r = rate(F.col("_posterior"), history[kept:], low, high, F.col("_r"))
+        got = state.select("_tokens", "_posterior", F.explode(F.array(r)).alias("_now")).agg(*[F.sum(F.col("_tokens") * F.col("_now") * x) for x in p]).first()
         share = [x / total for x in got]
         if max(abs(s - t) for s, t in zip(share, targets)) < CLOSE:
             break
@@ -133,7 +145,7 @@ def fit(rows: DataFrame, targets: list[float], low: float | Column = 0.0, high:
     return history, share, targets
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", low: float = 0.0, high: float = 8.0, total: float = 1.0, keep: str | None = None, sure: float = 0.5) -> tuple[DataFrame, DomainModel]:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", low: float = 0.0, high: float = NO_LIMIT, total: float = 1.0, keep: str | None = None, sure: float = 0.5) -> tuple[DataFrame, DomainModel]:
     """(docs with _tokens, _posterior, _rate and _copies, the model with the target and reached shares).
 
     targets: share of each domain in the mixture; domains without one get 0, and
@@ -144,12 +156,13 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
     `total` is the mixture's size as a multiple of all tokens. A document's
     whole copies are its rate, rounded down or up by a hash of id and text so
     that the expected tokens are met. Null text has no words and the prior as its
-    membership; repeated rows get equal rates; extra columns stay, but names
-    that begin with an underscore are the operator's.
+    membership; repeated rows get equal rates, and a null or repeated id is no
+    matter: each row stands for itself. Extra columns stay, but names that begin
+    with an underscore are the operator's. Texts are scored once: the rows are
+    written with their posteriors.
     """
     model = train(docs, labelled, id_col, text_col)
-    rows = with_posteriors(docs, model, text_col)
-    small = stored(rows.select("_tokens", "_posterior"), "posteriors")
+    rows = stored(with_posteriors(docs, model, text_col), "posteriors")
     aims = [targets.get(d, 0.0) for d in model.domains]
     if model.domains == ("all",) and not sum(aims):
         aims = [1.0]
@@ -159,7 +172,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
     if keep in model.domains:
         held = F.get("_posterior", F.lit(model.domains.index(keep))) >= sure
         least = F.when(held, F.lit(max(1.0, low))).otherwise(F.lit(float(low)))
-    history, shares, _ = fit(small, [total * a for a in aims], least, high)
+    history, shares, _ = fit(rows, [total * a for a in aims], least, high)
     model = replace(model, targets=tuple(aims), reached=tuple(x / (sum(shares) or 1) for x in shares))
     out = rows.withColumn("_rate", rate(F.col("_posterior"), history, least, high))
     chance = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 20)) / float(1 << 20)
@@ -176,13 +189,14 @@ TARGETS = {"clean": 0.90, "poor": 0.06, "toxic": 0.04}
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """(doc_id, tokens, p_clean, p_poor, p_toxic, rate, copies): rates that mix the label table's domains to TARGETS at the same number of tokens."""
+    """(doc_id, tokens, p_clean, p_poor, p_toxic, rate, copies, reached_clean, reached_poor, reached_toxic): rates that mix the label table's domains to TARGETS at the same number of tokens, and the shares that they reach."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labelled = domains_of_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     model = train(docs, labelled)
     rows = stored(with_posteriors(docs, model).select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "_tokens", "_posterior"), "posteriors")
-    history, _, _ = fit(rows, [TARGETS.get(d, 0.0) for d in model.domains], 0.0, 8.0)
-    out = rows.withColumn("rate", rate(F.col("_posterior"), history, 0.0, 8.0))
+    history, shares, _ = fit(rows, [TARGETS.get(d, 0.0) for d in model.domains])
+    out = rows.withColumn("rate", rate(F.col("_posterior"), history, 0.0, NO_LIMIT))
     p = {d: F.get("_posterior", F.lit(i)) for i, d in enumerate(model.domains)}
+    reached = {d: F.lit(x / (sum(shares) or 1)) for d, x in zip(model.domains, shares)}
     copies = F.floor(F.col("rate") + F.pmod("h", F.lit(1 << 20)) / float(1 << 20)).cast("int")
-    return out.select("doc_id", F.col("_tokens").alias("tokens"), *[p.get(d, F.lit(0.0)).alias(f"p_{d}") for d in TARGETS], "rate", copies.alias("copies"))
+    return out.select("doc_id", F.col("_tokens").alias("tokens"), *[p.get(d, F.lit(0.0)).alias(f"p_{d}") for d in TARGETS], "rate", copies.alias("copies"), *[reached.get(d, F.lit(0.0)).alias(f"reached_{d}") for d in TARGETS])

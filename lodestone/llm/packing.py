@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
@@ -26,19 +27,21 @@ def ranks_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(f"{name}.tiktoken")
 
 
+# Fixed value: the vocabulary's one special token, which a text can hold.
+SPECIAL = {"<|endoftext|>": 50256}
 _encodings: dict[str, object] = {}
 
 
-def encoding(path: str):
-    """The byte-level BPE of a rank file; its ids are those of the same vocabulary's JSON file, whose merges have that order. Loaded once in a process."""
+def encoder(path: str):
+    """Text to ids, by the byte-level BPE of a rank file: those of the same vocabulary's JSON file, whose merges have that order. Loaded once in a process."""
     if path not in _encodings:
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encodings[path] = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[path]
+        _encodings[path] = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+    return functools.partial(_encodings[path].encode, allowed_special="all")
 
 
 _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, task int, nth bigint"
@@ -46,7 +49,7 @@ _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tok
 
 def _piece_rows(path: str, window: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = encoding(path).encode_ordinary, TaskContext.get().partitionId()
+        encode, task = encoder(path), TaskContext.get().partitionId()
         seen = np.zeros(window + 1, np.int64)  # pieces of each length so far in this task
         for batch in batches:
             for at in range(0, len(batch), BATCH):
@@ -143,7 +146,8 @@ def best_fit_decreasing(counts: dict[int, int], window: int = WINDOW) -> list[tu
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) of every piece of every row.
 
-    A row is its token ids and an end id. What is longer than a window is first
+    A row is its token ids and an end id. The special token's string in a text
+    is that token, as in the tokenizer's own file. What is longer than a window is first
     cut into full windows; best-fit decreasing then places the remainders.
     Tasks number their pieces of each length; the numbers of pieces by length,
     at most `window` of them, are all that the plan needs, and its steps say

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,8 +13,10 @@ from pyspark.sql import functions as F
 from .words import SLICE_BYTES, _BYTES, _hash_block, _spans, ngrams, row_firsts, text_slices, words
 
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW, CONTENT_SHARE = 20, 30, 8, 0.5
-#: Labelled rows of each label, and lines of each, that the CRF learns from.
-TRAIN_ROWS, TRAIN_LINES = 1500, 60
+#: Labelled rows of each label that the CRF learns from: whole texts, as many as have so many lines.
+TRAIN_ROWS, TRAIN_LINES = 1500, 60_000
+#: Lines in a run: longer texts are learned as several runs.
+RUN = 64
 N_FEATURES = 18
 
 _ALL = np.arange(256)
@@ -29,9 +30,14 @@ _END = np.isin(_ALL, list(b".!?:\"'"))
 
 
 def _line_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    if len(buf) <= 4 * SLICE_BYTES:
-        return _hash_block(buf, starts, ends, _BYTES)
-    return np.array([int.from_bytes(hashlib.blake2b(buf[s:e].tobytes(), digest_size=8).digest(), "little") for s, e in zip(starts, ends)], np.uint64)
+    """Hashes of lines, taken some lines at a time, so that a long text needs no large table of powers."""
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(starts):
+        end = max(at + 1, int(np.searchsorted(ends, starts[at] + SLICE_BYTES, "right")))
+        lo, hi = starts[at], ends[end - 1]
+        out.append(_hash_block(buf[lo:hi], starts[at:end] - lo, ends[at:end] - lo, _BYTES))
+        at = end
+    return np.concatenate(out)
 
 
 @dataclass
@@ -145,14 +151,20 @@ def fit_chain(texts: list[tuple[int, np.ndarray]], rounds: int = 2, steps: int =
 
     Lines of good texts are content. Lines of bad texts start as boilerplate;
     after each round those that the chain takes for content are left to it, as
-    bad texts hold clean lines too. Gradients by forward-backward over all texts
+    bad texts hold clean lines too. Texts of more than RUN lines are learned as
+    runs of that many, all of them. Gradients by forward-backward over all runs
     at once, steps by Adam.
     """
-    n, most, k = len(texts), max(len(f) for _, f in texts), texts[0][1].shape[1]
+    runs = [(i, at) for i, (_, f) in enumerate(texts) for at in range(0, len(f), RUN)]
+    n, most, k = len(runs), min(RUN, max(len(f) for _, f in texts)), texts[0][1].shape[1]
     x, mask, y = np.zeros((n, most, k), np.float32), np.zeros((n, most), bool), np.zeros((n, most), np.int8)
-    for i, (label, f) in enumerate(texts):
-        x[i, : len(f)], mask[i, : len(f)], y[i, : len(f)] = f, True, label
-    bad = np.array([label == 0 for label, _ in texts])
+    of_text: list[list[int]] = [[] for _ in texts]
+    for j, (i, at) in enumerate(runs):
+        label, f = texts[i]
+        part = f[at : at + RUN]
+        x[j, : len(part)], mask[j, : len(part)], y[j, : len(part)] = part, True, label
+        of_text[i].append(j)
+    bad = [i for i, (label, _) in enumerate(texts) if label == 0]
     theta = np.zeros(2 + 4 + 2 * k)
     lines = mask.sum()
     chain = None
@@ -189,33 +201,40 @@ def fit_chain(texts: list[tuple[int, np.ndarray]], rounds: int = 2, steps: int =
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
             theta = theta - 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         chain = unpack(theta)
-        for i in np.flatnonzero(bad):
-            found = viterbi(chain, x[i, mask[i]])
-            y[i, mask[i]] = found if not found.all() else 0
+        for i in bad:
+            found = viterbi(chain, texts[i][1])
+            found = found if not found.all() else np.zeros_like(found)
+            for nth, j in enumerate(of_text[i]):
+                y[j, mask[j]] = found[nth * RUN : nth * RUN + RUN]
     return chain
 
 
 def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        labels = batch.column("label").to_pylist()
+        labels, hashes = batch.column("label").to_pylist(), batch.column("h").to_pylist()
         out = []
         for row, end, buf, offsets in text_slices(batch.column("text")):
             found = lines_of(buf, offsets)
             at = row_firsts(found.row, end - row)
-            out += [(labels[row + i], found.features[at[i] : at[i + 1]][:TRAIN_LINES].astype(np.uint8).tobytes()) for i in range(end - row) if at[i + 1] > at[i]]
-        yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in out], pa.int32()), pa.array([f for _, f in out], pa.binary())], names=["label", "features"])
+            out += [(labels[row + i], hashes[row + i], found.features[at[i] : at[i + 1]].astype(np.uint8).tobytes()) for i in range(end - row) if at[i + 1] > at[i]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 3, (pa.int32(), pa.int64(), pa.binary()))], names=["label", "h", "features"])
 
 
-def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Chain:
-    """A chain from labelled(id, label 0/1), at most `rows` of each label in the order of a hash of the id, TRAIN_LINES lines of each at most.
+def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, lines: int = TRAIN_LINES) -> Chain:
+    """A chain from labelled(id, label 0/1): whole texts of at most `rows` rows of each label, in the order of a hash of the id, as long as they have `lines` lines together.
 
-    Without rows of both labels every line is content.
+    The first text of a label counts whatever its length. Without rows of both labels every line is content.
     """
     known = labelled.where(F.col("label").isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, F.col("label").cast("int").alias("label")).dropDuplicates([id_col])
     one = lambda y: known.where(F.col("label") == y).orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    texts = docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(F.broadcast(one(0).union(one(1))), id_col).select("label", "text")  # 2 * rows ids at most
-    got = sorted((r[0], bytes(r[1])) for r in texts.mapInArrow(_sample_rows, "label int, features binary").collect())
-    if len({y for y, _ in got}) < 2:
+    texts = docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(F.broadcast(one(0).union(one(1))), id_col).select("label", F.xxhash64(id_col).alias("h"), "text")  # 2 * rows ids at most
+    got, used = [], {0: 0, 1: 0}
+    for y, _, f in sorted((r[0], r[1], bytes(r[2])) for r in texts.mapInArrow(_sample_rows, "label int, h bigint, features binary").toLocalIterator()):
+        n = len(f) // N_FEATURES
+        if not used[y] or used[y] + n <= lines:
+            got.append((y, f))
+            used[y] += n
+    if not all(used.values()):
         return Chain(np.zeros(2), np.zeros((2, 2)), np.tile([0.0, 1.0], (N_FEATURES, 1)))
     return fit_chain([(y, np.frombuffer(f, np.uint8).reshape(-1, N_FEATURES).astype(np.float32)) for y, f in got])
 

@@ -13,8 +13,8 @@ SLOTS, SHARDS, ROW_BYTES = 8192, 40, 16
 
 
 def slot_of(id_col: Column, text_col: Column, slots: int = SLOTS) -> Column:
-    """A row's slot, from its id alone; from its text where the id is null."""
-    return F.pmod(F.when(id_col.isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(id_col)), F.lit(slots)).cast("int")
+    """A row's slot, from its id and its text, so that an id in many rows fills no slot of its own."""
+    return F.pmod(F.xxhash64(id_col, text_col), F.lit(slots)).cast("int")
 
 
 def rebalanced(shard_of: list[int], sizes: list[int], shards: int) -> list[int]:
@@ -63,31 +63,34 @@ def rebalanced(shard_of: list[int], sizes: list[int], shards: int) -> list[int]:
 def slot_map(spark, sizes: DataFrame, shards: int, slots: int = SLOTS, earlier: DataFrame | None = None) -> DataFrame:
     """(version, slot, shard), stored: the earlier map's latest version, or an even deal, edited for sizes(slot, bytes) and this number of shards.
 
-    One row for each of the fixed slots reaches the driver, at any size of the data.
+    One row for each of the fixed slots reaches the driver, at any size of the
+    data; older versions are carried on as they are.
     """
     by_slot = {r[0]: r[1] for r in sizes.select("slot", "bytes").collect()}
     weight = [by_slot.get(s, 0) for s in range(slots)]
     if earlier is None:
-        old, version, rows = [s % shards for s in range(slots)], 0, []
-        rows = [(0, s, x) for s, x in enumerate(old)]
+        old, version = [s % shards for s in range(slots)], 0
+        earlier = spark.createDataFrame([(0, s, x) for s, x in enumerate(old)], "version int, slot int, shard int")
     else:
-        rows = [tuple(r) for r in earlier.select("version", "slot", "shard").collect()]
-        version = max(r[0] for r in rows)
-        old = [x for _, x in sorted((s, x) for v, s, x in rows if v == version)]
-    rows += [(version + 1, s, x) for s, x in enumerate(rebalanced(old, weight, shards))]
-    return stored(spark.createDataFrame(rows, "version int, slot int, shard int").coalesce(1), "slot-map")
+        newest = earlier.join(earlier.agg(F.max("version").alias("version")), "version").select("version", "slot", "shard").collect()
+        version = newest[0][0]
+        old = [x for _, x in sorted((r[1], r[2]) for r in newest)]
+    rows = [(version + 1, s, x) for s, x in enumerate(rebalanced(old, weight, shards))]
+    return stored(earlier.select("version", "slot", "shard").union(spark.createDataFrame(rows, "version int, slot int, shard int")).coalesce(1), "slot-map")
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, slots: int = SLOTS, earlier: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """((doc_id, size, text_crc32, virtual_slot, shard, slot) of every row, the map with all its versions).
 
-    A row's virtual slot is a hash of its id; bytes are summed by slot, and the
+    A row's virtual slot is a hash of its id and text; bytes are summed by slot, and the
     map is edited until the shards' bytes are near equal. `slot` numbers the
     rows of a shard without gaps: by virtual slot and, in it, by id. The
     numbering sorts each virtual slot by itself, so no task sorts a whole shard.
 
-    Null text has no bytes but the row's own; a null id goes by its text. Rows
-    that repeat an id share its slot. Other columns are ignored. Empty table:
+    Null text has no bytes but the row's own; a null id goes by its text. Equal
+    texts under different ids are rows like any others and can go to different
+    shards: sizes near equal is the law, and a group of copies may hold a third of
+    all bytes. Only rows equal in id and text share a slot. Other columns are ignored. Empty table:
     empty result and an even map.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

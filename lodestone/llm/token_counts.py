@@ -1,27 +1,37 @@
-"""Token counts that follow edits: a segment tree of pre-token runs for each text, re-encoded only where an edit touches it."""
+"""Token counts that follow edits: a stored segment tree of pre-token runs for each text, re-encoded only where an edit touches it."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .packing import encoding, ranks_path
+from .packing import encoder, ranks_path
+from .shared import stored
 
 LEAF = 256
-#: Between two characters that aren't white space, a single space begins a pre-token whatever stands around.
-_BREAK = re.compile(r"(?<=[^\s]) (?=[^\s])")
+#: Where a pre-token begins whatever stands further away: a single space between two characters that aren't white space,
+#: and punctuation behind a letter, except inside the special token's string.
+_BREAK = regex.compile(r"(?<=\S) (?=\S)|(?<=\p{L})(?<!<\|endoftext)(?=\p{P})")
+#: Characters around an edit that decide where pre-tokens begin: the special token's string can grow together over so many.
+_MARGIN = 14
 
 
 class TokenTree:
     """A text as leaves, each a run of whole pre-tokens of about LEAF characters, under a tree of their characters and tokens."""
 
-    def __init__(self, text: str, encode, leaf: int = LEAF):
+    def __init__(self, text: str, encode, leaf: int = LEAF, chars: list[int] | None = None, tokens: list[int] | None = None):
+        """A new tree, or a stored one of these leaves' characters and tokens, for which nothing is encoded."""
         self.encode, self.leaf, self.encoded = encode, leaf, 0
-        self._build(self._leaves(text))
+        if chars:
+            ends = list(accumulate(chars))
+            self._build([text[e - n : e] for n, e in zip(chars, ends)], tokens)
+        else:
+            self._build(self._leaves(text))
 
     def _leaves(self, text: str) -> list[str]:
         out, at = [], 0
@@ -92,9 +102,8 @@ class TokenTree:
         """
         start = min(max(start, 0), self.n_chars)
         stop = min(start + max(removed, 0), self.n_chars)
-        # one character before and two behind decide whether a border stays one
-        lo, _ = self.find(max(start - 2, 0))
-        hi, _ = self.find(min(stop + 2, self.n_chars))
+        lo, _ = self.find(max(start - _MARGIN, 0))
+        hi, _ = self.find(min(stop + _MARGIN, self.n_chars))
         before = self._chars_before(lo)
         whole = "".join(self.texts[lo : hi + 1])
         whole = whole[: start - before] + inserted + whole[stop - before :]
@@ -117,43 +126,78 @@ class TokenTree:
         return total
 
 
-_COUNTS = "doc_id bigint, n_tokens bigint, n_edits bigint, n_tokens_after bigint, n_chars_after bigint, chars_encoded bigint, chars_reencoded bigint, leaf_tokens array<int>"
+_TREES = "doc_id bigint, version int, text string, n_tokens bigint, leaf_chars array<int>, leaf_tokens array<int>, chars_encoded bigint"
+_EDITED = _TREES + ", n_edits bigint, n_tokens_before bigint"
+
+
+def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(list(zip(*rows)) or [[]] * len(fields), fields)], names=[n for n, _ in fields])
+
 
+def _leaves_of(tree: TokenTree) -> tuple[list[int], list[int]]:
+    """Characters and tokens of the leaves that hold something."""
+    held = range(tree.size, tree.size + len(tree.texts))
+    return [tree.chars[i] for i in held if tree.chars[i]], [tree.tokens[i] for i in held if tree.chars[i]]
 
-def edited_counts(docs: DataFrame, edits: Column, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, n_edits, n_tokens_after, n_chars_after, chars_encoded, chars_reencoded, leaf_tokens) of every row.
 
-    edits: array<struct<start, removed, inserted>>, applied in order, in
-    characters of the text as the earlier ones left it; places beyond the text
-    are cut to it, null numbers are 0 and null texts empty. chars_encoded went
-    through the tokenizer at first, chars_reencoded for all edits together;
-    leaf_tokens are the tree's leaves at the end, whose sum is n_tokens_after.
+def trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, version, text, n_tokens, leaf_chars, leaf_tokens, chars_encoded) of every row: its segment tree as the leaves' characters and tokens, version 0.
 
-    A null text is empty; null edits are none. Null and repeated ids are kept,
-    each row by itself. Empty table: empty result.
+    To be stored by document; edited() takes such a table and gives the next one.
+    A null text is empty. Null and repeated ids are kept, each row by itself.
+    Empty table: empty result.
     """
     path = tokenizer or ranks_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
-        names = [x.split()[0] for x in _COUNTS.split(", ")]
+        encode = encoder(path)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
                 rows = []
-                for doc_id, text, changes in zip(part.column("doc_id").to_pylist(), part.column("text"), part.column("edits").to_pylist()):
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text")):
                     tree = TokenTree(text.as_py() or "", encode)
-                    first, encoded = tree.n_tokens, tree.encoded
+                    rows.append((doc_id, 0, tree.text, tree.n_tokens, *_leaves_of(tree), tree.encoded))
+                yield _rows(_TREES, rows)
+
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _TREES)
+
+
+def edited(table: DataFrame, edits: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """A table of trees after edits(doc_id, edits): its columns, n_edits and n_tokens_before; chars_encoded are those of these edits.
+
+    edits: array<struct<start, removed, inserted>>, one row for each document,
+    applied in order, in characters of the text as the earlier ones left it;
+    places beyond the text are cut to it, null numbers are 0, null texts empty
+    and null edits none. Trees are read back from their leaves; only the leaves
+    that an edit touches are encoded. Rows of documents without edits stay as they
+    are, with their version. Edits of a repeated id go to all its rows, those of a
+    null id to none.
+    """
+    path = tokenizer or ranks_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path)
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                rows = []
+                for doc_id, version, text, n, chars, tokens, changes in zip(*(part.column(c).to_pylist() for c in ("doc_id", "version", "text", "n_tokens", "leaf_chars", "leaf_tokens", "edits"))):
                     changes = [c for c in changes or [] if c]
+                    if not changes:
+                        rows.append((doc_id, version, text, n, chars, tokens, 0, 0, n))
+                        continue
+                    tree = TokenTree(text, encode, chars=chars, tokens=tokens)
                     for c in changes:
                         tree.replace(c["start"] or 0, c["removed"] or 0, c["inserted"] or "")
-                    leaves = tree.tokens[tree.size : tree.size + len(tree.texts)]
-                    rows.append((doc_id, first, len(changes), tree.n_tokens, tree.n_chars, encoded, tree.encoded - encoded, leaves))
-                cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.list_(pa.int32()))], names=names)
+                    rows.append((doc_id, version + 1, tree.text, tree.n_tokens, *_leaves_of(tree), tree.encoded, len(changes), n))
+                yield _rows(_EDITED, rows)
 
-    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), edits.cast("array<struct<start:int,removed:int,inserted:string>>").alias("edits"))
-    return base.mapInArrow(run, _COUNTS)
+    changes = edits.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("edits").cast("array<struct<start:int,removed:int,inserted:string>>").alias("edits")).where("doc_id is not null")
+    rows = table.select("doc_id", "version", "text", "n_tokens", "leaf_chars", "leaf_tokens").join(changes, "doc_id", "left")
+    return rows.mapInArrow(run, _EDITED)
 
 
 def derived_edits(id_col: str = "doc_id", text_col: str = "text") -> Column:
@@ -165,5 +209,9 @@ def derived_edits(id_col: str = "doc_id", text_col: str = "text") -> Column:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    out = edited_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), derived_edits())
-    return out.withColumn("n_leaves", F.size("leaf_tokens")).drop("leaf_tokens")
+    """Trees of all documents, stored, and the counts after three edits of each."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    table = stored(trees(docs), "trees")
+    edits = docs.where("doc_id is not null").select("doc_id", derived_edits().alias("edits")).dropDuplicates(["doc_id"])
+    out = edited(table, edits)
+    return out.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), "n_edits", F.col("n_tokens").alias("n_tokens_after"), F.length("text").cast("bigint").alias("n_chars_after"), F.col("chars_encoded").alias("chars_reencoded"), F.size("leaf_chars").alias("n_leaves"))
