@@ -6,27 +6,49 @@ result as Parquet in the shared folder and gives it to the next stage.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard, mixing, packing, rules, secrets
-from lodestone.llm.shared import stored
+from lodestone.llm.shared import drop_tables, stored, tables_made
 
 #: Shares of the mixture, over a corpus that grows by a fifth. Domains that earlier stages leave no labelled text of drop out,
 #: and the others take their shares in proportion; a document that is clean rather than not has one copy at least.
 TARGETS, GROWTH = {"clean": 0.80, "poor": 0.12, "toxic": 0.08}, 1.2
 
 
+_left: list[str] = []
+
+
+def _stage(f):
+    """The stage, which first removes the tables of the one before it: that one's result has been written and is this one's docs."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_tables(spark, _left)
+        with tables_made() as made:
+            out = f(spark, docs, sf_dir)
+        _left[:] = made
+        return out
+
+    return run
+
+
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or whose lines are mostly boilerplate, go."""
     return rules.keep(docs, rules.train(docs, rules.labels_of(spark, sf_dir)))
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one row stays: the smallest by id, nulls last, then by text."""
     return jaccard.first_of_groups(docs)
 
 
+@_stage
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; n_chars follows the text."""
     out = secrets.redact(docs)
@@ -35,18 +57,19 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> tuple[DataFrame, mixing.DomainModel]:
-    """(documents as `row` with their copies towards TARGETS, the model with target and reached shares)."""
+    """(documents as `_row` with their copies towards TARGETS, the model with target and reached shares)."""
     labelled = mixing.domains_of_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))  # whatever the columns are called
-    return mixing.mix(rows, labelled, TARGETS, low=0.0, high=2.0, total=GROWTH, keep="clean")
+    return mixing.mix(docs, labelled, TARGETS, total=GROWTH, keep="clean", nested=True)
 
 
+@_stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document in as many copies as its rate towards TARGETS gives; none of a domain over its target is possible."""
     rows, _ = mixed(spark, docs, sf_dir)
-    return rows.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
+    return rows.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of 2048 tokens: one row for each piece."""
     return packing.pack(docs)

@@ -145,7 +145,7 @@ def _posting_rows(percent: int, bits: int, blocks, dense=None, turn: int = 0):
 
     A list of one block is cell 0; of a longer one, every two blocks are a cell.
     With `dense`, a flag for each class of tokens, only flagged ones, and each block
-    alone. comps is empty where each set is its own component.
+    alone. comps is what tells the component from the set, nothing for most.
     """
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
@@ -172,7 +172,7 @@ def _posting_rows(percent: int, bits: int, blocks, dense=None, turn: int = 0):
         rows = []
         for lo, hi in zip(new, np.append(new[1:], len(at))):
             x = at[lo:hi]
-            rows.append((int(key[lo]), int(cell[lo]), token[x].tobytes(), node[x].tobytes(), planes(size[x]), level[x].tobytes(), need[x].tobytes(), b"" if np.array_equal(comp[x], node[x]) else comp[x].tobytes()))
+            rows.append((int(key[lo]), int(cell[lo]), token[x].tobytes(), node[x].tobytes(), planes(size[x]), level[x].tobytes(), need[x].tobytes(), planes(comp[x] ^ node[x])))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), *[pa.binary()] * 6))], names=["bucket", "cell", "tokens", "nodes", "sizes", "levels", "needs", "comps"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +234,7 @@ def _candidate_rows(percent: int, bits: int, blocks, dense: int = 0):
         for t in batches:
             for c, name, kind in zip(cols, ("tokens", "nodes", "sizes", "levels", "needs"), (np.uint64, np.int64, None, np.uint8, np.uint8)):
                 c += [unplanes(x, np.uint32) if kind is None else np.frombuffer(x, kind) for x in t.column(name).to_pylist()]
-            cols[5] += [np.frombuffer(x or y, np.int64) for x, y in zip(t.column("comps").to_pylist(), t.column("nodes").to_pylist())]
+            cols[5] += [unplanes(x, np.int64) ^ np.frombuffer(y, np.int64) for x, y in zip(t.column("comps").to_pylist(), t.column("nodes").to_pylist())]
         token, node, size, level, need, comp = (np.concatenate(c) for c in cols)
         order = np.lexsort((node, comp, token))
         token, node, size, level, need, comp = (x[order] for x in (token, node, size, level, need, comp))
@@ -352,10 +352,13 @@ def _wanted_sets(k: int, bits_words, filter_bits: int):
             wanted = (bits[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
             if not wanted.any():
                 continue
-            node, sets = [], []
+            node, sets, seen = [], [], set()
             for row, x in _sets(batch, k, wanted):
-                node.append(int(mix(np.array([np.bitwise_xor.reduce(mix(x)) + np.uint64(len(x))], np.uint64)).view(np.int64)[0]))
-                sets.append((int(batch.column("id")[row].as_py()), x.tobytes()))
+                key = int(mix(np.array([np.bitwise_xor.reduce(mix(x)) + np.uint64(len(x))], np.uint64)).view(np.int64)[0]), int(batch.column("id")[row].as_py())
+                if key not in seen:  # of repeated rows, one in a batch
+                    seen.add(key)
+                    node.append(key[0])
+                    sets.append((key[1], x.tobytes()))
             if node:
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in sets], pa.int64()), pa.array(node, pa.int64()), pa.array([s for _, s in sets], pa.binary())], names=["id", "node", "shingles"])
 
@@ -442,8 +445,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, row: Column, shingle:
         return stored(pairs.groupBy("part").applyInArrow(_required_pairs, "part int, a array<bigint>, b array<bigint>"), "pairs")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        sides = pairs.select(F.col("part").alias("to_part"), F.explode(F.array_distinct(F.concat("a", "b"))).alias("node")).distinct()
-        wanted = stored(sides.select("node").distinct().join(classes.select("node", "id"), "node"), "wanted")
+        sides = pairs.select("part", F.explode(F.array_distinct(F.concat("a", "b"))).alias("node")).groupBy("node").agg(F.collect_set("part").alias("parts"))  # a row and a column of the grid at most
+        wanted = stored(sides.join(classes.select("node", "id"), "node"), "wanted")
         filter_bits = min(max((16 * wanted.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
         h = F.shiftrightunsigned(F.xxhash64("id"), 64 - filter_bits)
         words = wanted.withColumn("h", h).selectExpr("h >> 6 AS w", "shiftleft(1L, CAST(h & 63 AS INT)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # 2**filter_bits / 64 rows at most
@@ -451,8 +454,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, row: Column, shingle:
         table[words.column("w").to_numpy()] = words.column("b").to_numpy()
         live = spark.sparkContext.broadcast(table.tobytes())
         sets = base.select("id", "text").mapInArrow(_wanted_sets(shingle, live, filter_bits), "id bigint, node bigint, shingles binary")
-        sets = sets.join(wanted.select("node", "id"), ["node", "id"]).select("node", "shingles").dropDuplicates(["node"])
-        sent = sides.join(stored(sets, "sets"), "node")
+        sent = sets.join(wanted, ["node", "id"]).select(F.explode("parts").alias("to_part"), "node", "shingles")
         return pairs.groupBy("part").cogroup(sent.groupBy("to_part")).applyInArrow(_verified(percent), "a bigint, b bigint")
 
     joined = None

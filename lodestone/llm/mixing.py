@@ -145,7 +145,7 @@ def fit(rows: DataFrame, targets: list[float], low: float | Column = 0.0, high:
     return history, share, targets
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", low: float = 0.0, high: float = NO_LIMIT, total: float = 1.0, keep: str | None = None, sure: float = 0.5) -> tuple[DataFrame, DomainModel]:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", low: float = 0.0, high: float = NO_LIMIT, total: float = 1.0, keep: str | None = None, sure: float = 0.5, nested: bool = False) -> tuple[DataFrame, DomainModel]:
     """(docs with _tokens, _posterior, _rate and _copies, the model with the target and reached shares).
 
     targets: share of each domain in the mixture; domains without one get 0, and
@@ -158,11 +158,12 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
     that the expected tokens are met. Null text has no words and the prior as its
     membership; repeated rows get equal rates, and a null or repeated id is no
     matter: each row stands for itself. Extra columns stay, but names that begin
-    with an underscore are the operator's. Texts are scored once: the rows are
+    with an underscore are the operator's; with `nested`, a row stays whole in
+    _row, whatever its columns are called. Texts are scored once: the rows are
     written with their posteriors.
     """
     model = train(docs, labelled, id_col, text_col)
-    rows = stored(with_posteriors(docs, model, text_col), "posteriors")
+    rows = stored(with_posteriors(docs.select(F.struct(*docs.columns).alias("_row")), model, f"_row.{text_col}"), "posteriors")
     aims = [targets.get(d, 0.0) for d in model.domains]
     if model.domains == ("all",) and not sum(aims):
         aims = [1.0]
@@ -175,8 +176,9 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
     history, shares, _ = fit(rows, [total * a for a in aims], least, high)
     model = replace(model, targets=tuple(aims), reached=tuple(x / (sum(shares) or 1) for x in shares))
     out = rows.withColumn("_rate", rate(F.col("_posterior"), history, least, high))
-    chance = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 20)) / float(1 << 20)
-    return out.withColumn("_copies", F.floor(F.col("_rate") + chance).cast("int")), model
+    chance = F.pmod(F.xxhash64(F.col(f"_row.{id_col}"), F.col(f"_row.{text_col}")), F.lit(1 << 20)) / float(1 << 20)
+    out = out.withColumn("_copies", F.floor(F.col("_rate") + chance).cast("int"))
+    return out if nested else out.select("_row.*", "_tokens", "_posterior", "_rate", "_copies"), model
 
 
 def domains_of_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

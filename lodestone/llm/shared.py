@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -11,6 +12,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_watched: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def tables_made():
+    """The paths of the tables that are stored meanwhile."""
+    made: list[str] = []
+    _watched.append(made)
+    try:
+        yield made
+    finally:
+        _watched.remove(made)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Remove stored tables that nothing needs any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where that is unset, as in tests, a temporary one that goes at exit."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -27,6 +50,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _watched:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -419,7 +419,7 @@ def test_pipeline_mixture_reaches_its_targets(spark, tmp_path):
     out, model = corpus_pipeline.mixed(spark, docs, str(tmp_path))
     assert model.domains == ("clean", "toxic")
     assert model.targets == pytest.approx([0.80 / 0.88, 0.08 / 0.88]) and model.reached == pytest.approx(model.targets, abs=2e-3)
-    copies = {x.doc_id: x._copies for x in out.collect()}
+    copies = {x._row.doc_id: x._copies for x in out.collect()}
     assert all(copies[i] >= 1 for i in range(300) if not toxic(i)) and min(copies.values()) == 0
     after = Counter(x.doc_id for x in corpus_pipeline.mixture(spark, docs, str(tmp_path)).collect())
     assert after == {i: n for i, n in copies.items() if n}
