@@ -126,8 +126,8 @@ class TokenTree:
         return total
 
 
-_TREES = "doc_id bigint, version int, text string, n_tokens bigint, leaf_chars array<int>, leaf_tokens array<int>, chars_encoded bigint"
-_EDITED = _TREES + ", n_edits bigint, n_tokens_before bigint"
+_TREES = "doc_id bigint, key bigint, version int, n_tokens bigint, leaf_chars array<int>, leaf_tokens array<int>, chars_encoded bigint"
+_EDITED = "doc_id bigint, text string, version int, n_tokens bigint, leaf_chars array<int>, leaf_tokens array<int>, chars_encoded bigint, n_edits bigint, n_tokens_before bigint"
 
 
 def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
@@ -142,12 +142,16 @@ def _leaves_of(tree: TokenTree) -> tuple[list[int], list[int]]:
     return [tree.chars[i] for i in held if tree.chars[i]], [tree.tokens[i] for i in held if tree.chars[i]]
 
 
+def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+
+
 def trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, version, text, n_tokens, leaf_chars, leaf_tokens, chars_encoded) of every row: its segment tree as the leaves' characters and tokens, version 0.
+    """(doc_id, key, version, n_tokens, leaf_chars, leaf_tokens, chars_encoded) of every row: its segment tree as the leaves' characters and tokens, version 0.
 
-    To be stored by document; edited() takes such a table and gives the next one.
-    A null text is empty. Null and repeated ids are kept, each row by itself.
-    Empty table: empty result.
+    To be stored by document; key is a hash of the text. A null text is empty.
+    Null and repeated ids are kept, each row by itself. Empty table: empty result.
     """
     path = tokenizer or ranks_path()
 
@@ -157,24 +161,29 @@ def trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
                 rows = []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text")):
-                    tree = TokenTree(text.as_py() or "", encode)
-                    rows.append((doc_id, 0, tree.text, tree.n_tokens, *_leaves_of(tree), tree.encoded))
+                for doc_id, key, text in zip(part.column("doc_id").to_pylist(), part.column("key").to_pylist(), part.column("text")):
+                    tree = TokenTree(text.as_py(), encode)
+                    rows.append((doc_id, key, 0, tree.n_tokens, *_leaves_of(tree), tree.encoded))
                 yield _rows(_TREES, rows)
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _TREES)
+    return _base(docs, id_col, text_col).mapInArrow(run, _TREES)
+
 
+def edited(docs: DataFrame, table: DataFrame, edits: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, text, version, n_tokens, leaf_chars, leaf_tokens, chars_encoded, n_edits, n_tokens_before) of docs, whose stored trees are `table`, after edits(doc_id, edits).
 
-def edited(table: DataFrame, edits: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """A table of trees after edits(doc_id, edits): its columns, n_edits and n_tokens_before; chars_encoded are those of these edits.
+    The result holds the new texts and, with their key, their trees: with
+    stored_trees() it is the table for the next edits. chars_encoded are those of
+    these edits.
 
     edits: array<struct<start, removed, inserted>>, one row for each document,
     applied in order, in characters of the text as the earlier ones left it;
-    places beyond the text are cut to it, null numbers are 0, null texts empty
-    and null edits none. Trees are read back from their leaves; only the leaves
-    that an edit touches are encoded. Rows of documents without edits stay as they
-    are, with their version. Edits of a repeated id go to all its rows, those of a
-    null id to none.
+    places beyond the text are cut to it, null numbers are 0 and null edits none.
+    Trees are read back from their leaves; only the leaves that an edit touches
+    are encoded. Rows of documents without edits stay as they are, with their
+    version. Edits of a repeated id go to all its rows, those of a null id to none.
+    Trees meet edits first, so texts are shuffled once. Every row of docs needs
+    its tree in the table.
     """
     path = tokenizer or ranks_path()
 
@@ -184,22 +193,30 @@ def edited(table: DataFrame, edits: DataFrame, tokenizer: str | None = None) ->
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
                 rows = []
-                for doc_id, version, text, n, chars, tokens, changes in zip(*(part.column(c).to_pylist() for c in ("doc_id", "version", "text", "n_tokens", "leaf_chars", "leaf_tokens", "edits"))):
+                for doc_id, text, version, n, chars, tokens, changes in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "version", "n_tokens", "leaf_chars", "leaf_tokens", "edits"))):
                     changes = [c for c in changes or [] if c]
                     if not changes:
-                        rows.append((doc_id, version, text, n, chars, tokens, 0, 0, n))
+                        rows.append((doc_id, text, version, n, chars, tokens, 0, 0, n))
                         continue
                     tree = TokenTree(text, encode, chars=chars, tokens=tokens)
                     for c in changes:
                         tree.replace(c["start"] or 0, c["removed"] or 0, c["inserted"] or "")
-                    rows.append((doc_id, version + 1, tree.text, tree.n_tokens, *_leaves_of(tree), tree.encoded, len(changes), n))
+                    rows.append((doc_id, tree.text, version + 1, tree.n_tokens, *_leaves_of(tree), tree.encoded, len(changes), n))
                 yield _rows(_EDITED, rows)
 
     changes = edits.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("edits").cast("array<struct<start:int,removed:int,inserted:string>>").alias("edits")).where("doc_id is not null")
-    rows = table.select("doc_id", "version", "text", "n_tokens", "leaf_chars", "leaf_tokens").join(changes, "doc_id", "left")
+    kept = table.select("doc_id", "key", "version", "n_tokens", "leaf_chars", "leaf_tokens").dropDuplicates(["doc_id", "key"]).join(changes, "doc_id", "left")
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "version", "n_tokens", "leaf_chars", "leaf_tokens", "edits")
+    base = _base(docs, id_col, text_col)
+    rows = base.join(kept, base.doc_id.eqNullSafe(kept._id) & (base.key == kept._key)).select("doc_id", "text", "version", "n_tokens", "leaf_chars", "leaf_tokens", "edits")
     return rows.mapInArrow(run, _EDITED)
 
 
+def stored_trees(result: DataFrame) -> DataFrame:
+    """The trees of a stored result of edited(), as a table for the next."""
+    return result.withColumn("key", F.xxhash64("text")).select(*[c.split()[0] for c in _TREES.split(", ")])
+
+
 def derived_edits(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """Three edits of every text that follow from the row: a word is put in, a stretch goes, and another is replaced by the row's source."""
     n = F.length(F.coalesce(F.col(text_col), F.lit("")))
@@ -213,5 +230,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     table = stored(trees(docs), "trees")
     edits = docs.where("doc_id is not null").select("doc_id", derived_edits().alias("edits")).dropDuplicates(["doc_id"])
-    out = edited(table, edits)
+    out = edited(docs, table, edits)
     return out.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), "n_edits", F.col("n_tokens").alias("n_tokens_after"), F.length("text").cast("bigint").alias("n_chars_after"), F.col("chars_encoded").alias("chars_reencoded"), F.size("leaf_chars").alias("n_leaves"))

@@ -500,15 +500,16 @@ def test_token_trees(texts, encode):
 def test_stored_trees_take_later_edits(spark, odd, encode):
     docs, rows = odd
     table = stored(token_counts.trees(docs), "trees")
-    assert Counter((r.doc_id, r.text, r.n_tokens, sum(r.leaf_chars), sum(r.leaf_tokens)) for r in table.collect()) == Counter((i, t or "", len(encode(t or "")), len(t or ""), len(encode(t or ""))) for i, t, *_ in rows)
+    assert Counter((r.doc_id, r.n_tokens, sum(r.leaf_chars), sum(r.leaf_tokens)) for r in table.collect()) == Counter((i, len(encode(t or "")), len(t or ""), len(encode(t or ""))) for i, t, *_ in rows)
     schema = "doc_id long, edits array<struct<start:int,removed:int,inserted:string>>"
     some = {i for i, *_ in rows if i is not None and i % 2}
     state = [(i, t or "") for i, t, *_ in rows]
     for cut, new in ((2, " new"), (9, "")):
         edits = spark.createDataFrame([(i, [(cut, 5, new), None]) for i in some] + [(None, [(0, 1, "x")]), (999_999, [(0, 0, "y")]), (next(i for i, *_ in rows if i is not None and not i % 2), None)], schema)
-        table = stored(token_counts.edited(table, edits), "trees")
+        result = stored(token_counts.edited(docs, table, edits), "edited")
+        docs, table = result.select("doc_id", "text"), token_counts.stored_trees(result)
         state = [(i, t[:cut] + new + t[cut + 5 :] if i in some else t) for i, t in state]
-        got = table.collect()
+        got = result.collect()
         assert Counter((r.doc_id, r.text, r.n_tokens, sum(r.leaf_tokens)) for r in got) == Counter((i, t, len(encode(t)), len(encode(t))) for i, t in state)
         assert all((r.n_edits == 1) == (r.doc_id in some) and (r.chars_encoded == 0 or r.doc_id in some) for r in got)
 
@@ -516,9 +517,10 @@ def test_stored_trees_take_later_edits(spark, odd, encode):
 def test_edits_of_a_long_text_touch_little(spark):
     r = random.Random(1)
     long, cjk = prose(r, 50_000), "".join(r.choice("漢字仮名交文章。、") for _ in range(180_000))
-    table = stored(token_counts.trees(spark.createDataFrame([(1, long), (2, cjk)], "doc_id long, text string")), "trees")
+    docs = spark.createDataFrame([(1, long), (2, cjk)], "doc_id long, text string")
+    table = stored(token_counts.trees(docs), "trees")
     edits = spark.createDataFrame([(i, [(100_000, 3, "x"), (5, 0, "y")]) for i in (1, 2)], "doc_id long, edits array<struct<start:int,removed:int,inserted:string>>")
-    assert all(r.chars_encoded < 0.02 * len(r.text) for r in token_counts.edited(table, edits).collect())
+    assert all(r.chars_encoded < 0.02 * len(r.text) for r in token_counts.edited(docs, table, edits).collect())
 
 
 def test_empty_tables(spark):
@@ -531,7 +533,7 @@ def test_empty_tables(spark):
     assert sharding.shard(docs)[0].count() == 0
     assert rules.judge(docs, rules.train(docs, labels)).count() == 0
     assert classifier.score(docs, classifier.train(docs, labels)).count() == 0
-    assert token_counts.edited(token_counts.trees(docs), docs.select("doc_id", token_counts.derived_edits().alias("edits"))).count() == 0
+    assert token_counts.edited(docs, token_counts.trees(docs), docs.select("doc_id", token_counts.derived_edits().alias("edits"))).count() == 0
     assert mixing.mix(docs, spark.createDataFrame([], "doc_id long, domain string"), {"all": 1.0})[0].count() == 0
     assert neighbors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
