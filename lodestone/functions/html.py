@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import text_of
+from .text import repaired_text, text_of
 
 # What is walked, what is dropped, and where the content begins.
 BLOCKS = ("h1", "h2", "h3", "p", "blockquote", "ul", "ol", "figure")
@@ -168,7 +168,7 @@ class _Walk(HTMLParser):
 
 
 def _joined(parts: list[str]) -> str:
-    return re.sub(r"\s+", " ", " ".join(parts)).strip()
+    return repaired_text(re.sub(r"\s+", " ", " ".join(parts)))
 
 
 def walk(html: str) -> list[tuple]:
@@ -191,6 +191,7 @@ def walk(html: str) -> list[tuple]:
 def blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page_id, pos, tag, text, items, quoted, images) of every block; text in dropped elements is left out.
 
+    Pages and the texts in them are put right where they are mis-decoded (text.repaired_text).
     A page that can't be parsed gives one row with tag "error" and the reason; a null or empty one gives none.
     """
     image = pa.struct([(k, pa.string()) for k in IMAGE_FIELDS])
@@ -202,7 +203,7 @@ def blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
             rows = []
             for i, h in zip(batch.column("id").to_pylist(), batch.column("html")):
                 try:
-                    found = walk(h.as_py() or "")
+                    found = walk(repaired_text(h.as_py() or ""))
                 except Exception as e:  # one bad page is a row, not a failed job
                     found = [("error", str(e), [], False, [])]
                 rows += [(i, n, *b) for n, b in enumerate(found)]
@@ -213,3 +214,10 @@ def blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     raw = ", ".join(f"{k}: string" for k in IMAGE_FIELDS)
     out = base.mapInArrow(run, f"page_id bigint, pos int, tag string, text string, items array<string>, quoted boolean, raw array<struct<{raw}>>")
     return out.withColumn("images", image_records(F.col("raw"))).drop("raw")
+
+
+def image_flags(images: Column) -> Column:
+    """(has_image, caption_len) of a JSON list of image records: whether it has one, and the length of the first one's text; false and 0 for what is no such list."""
+    rows = F.from_json(images, "array<struct<image_text: string>>")
+    first = F.get(rows, F.lit(0))["image_text"]
+    return F.struct((F.coalesce(F.size(rows), F.lit(0)) > 0).alias("has_image"), F.coalesce(F.length(first), F.lit(0)).alias("caption_len"))

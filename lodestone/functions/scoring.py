@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,9 +20,28 @@ TERMS = (
     "scalene", "scalenes", "trapezius", "levator", "pectoralis", "suboccipital", "longus", "sternocleidomastoid", "scm",
     "strength", "strengthen", "stretch", "posture", "kyphosis", "hinge", "dyskinesis", "breathing", "mechanics",
 )
-GOOD = ("Identification", "Assessment", "Evaluation", "Diagnosis", "Etiology", "Mechanism", "Biomechanics", "Pathomechanics", "Corrective strategies", "Treatment", "Treatment strategies")
-NARRATIVE = ("A little story", "Case report", "Case report #2", "Case example", "In training", "Psychological factors", "Stress levels", "In summary", "In conclusion")
-LOW = ("Conclusion", "Summary", "Other contributing factors", "The problem")
+GOOD = (
+    "Dysfunctional scapular movement", "Scapular depression", "Scapular dyskinesis", "Evaluation of scapular movement", "Optimal scapular movement",
+    "Proper scapular / clavicular resting position", "Proper structural habits", "Why improper scapular mechanics cause injury",
+    "The cause of scapular dyskinesis", "Identification", "Identification & correction", "Identification and correction", "Identification and treatment",
+    "Identification by provocative testing", "Assessment", "Evaluation", "Diagnosis", "Etiology", "Mechanism", "Biomechanics", "Pathomechanics",
+    "Scapuloclavicular depression", "Causes and consequences", "Common causes of misalignment", "Joint misalignment", "The cervical complex",
+    "Forward head posture", "Poor craniocervical posture with neck 'hinging'", "Swayback posture", "Anterior pelvic tilt",
+    "Functional varus & tibial internal rotation", "Anterior tibial glide", "Tibial posterior glide", "Anterior femoral glide", "Hip impingement",
+    "External (posterior) hip impingement", "Internal (anterior) hip impingement", "Lumbosacral plexus", "Lumbar plexus",
+    "Brachial plexus compression sites", "Entrapment sites", "Compression vs. entrapment", "The median nerve compression sites",
+    "The musculocutaneous nerve compression sites", "The radial & axillary nerve compression sites", "The ulnar nerve compression sites",
+    "Neurogenic TOS", "Arterial / Vascular TOS", "TOS and autonomic dysfunction", "Scapular resting position", "Corrective strategies", "Treatment",
+    "Treatment strategies", "Specific strengthening exercises", "Retraining the affected muscles",
+)
+NARRATIVE = (
+    "A little story", "Case report", "Case report #2", "Case example", "Case #2 – Positionally conditioned", "In training", "Psychological factors",
+    "Stress levels", "Stress and neck pain", "In summary", "In conclusion",
+)
+LOW = (
+    "Conclusion", "Summary", "Other contributing factors", "What does the common sense say?", "What does the research show?", "The problem",
+    "The postural common denominator", "Additional research on scapular dysfunction", "Proper atlantal measurements & identification",
+)
 NARRATIVE_PARTS = ("case report", "case-report", "case series", "case study", "a little story", "patient story")
 GOOD_PARTS = ("definition", "anatomy", "mechanism", "pathomechan", "biomechan", "assessment", "diagnosis", "evaluation", "treatment", "exercise", "management", "summary", "conclusion")
 
@@ -37,7 +56,8 @@ class Lexicon:
     topic_bonus: float = 0.30
     term_bonus: float = 0.15
     story_penalty: float = 0.20
-    extra: dict = field(default_factory=dict)
+    good_parts: tuple[str, ...] = GOOD_PARTS
+    narrative_parts: tuple[str, ...] = NARRATIVE_PARTS
 
 
 def any_part(text: Column, parts) -> Column:
@@ -52,7 +72,7 @@ def section_bias(section: Column, lexicon: Lexicon = Lexicon()) -> Column:
     s, low = F.trim(text_of(section)), F.lower(F.trim(text_of(section)))
     return (
         F.when(s.isin(*lexicon.good), -0.50).when(s.isin(*lexicon.narrative), 0.75).when(s.isin(*lexicon.low), 0.20)
-        .when(any_part(low, GOOD_PARTS), -0.35).when(any_part(low, NARRATIVE_PARTS), 0.50).otherwise(0.0)
+        .when(any_part(low, lexicon.good_parts), -0.35).when(any_part(low, lexicon.narrative_parts), 0.50).otherwise(0.0)
     )
 
 

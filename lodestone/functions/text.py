@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 
@@ -9,10 +11,11 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import citations
+
 SPACE = r"[ \t\n\r\f\x0B]+"
 
-# Patterns of reference lists, captions, citations and debris. Repeats of whole words have bounds,
-# as the JVM's matcher takes a stack frame for each.
+# Patterns of reference lists, captions and debris.
 REFERENCE_BLOCK = r"(?i)(?:\b(?:19|20)\d{2}\b.*?(?:;|\(|:).{0,40}?\b\d{1,4}\b)|(?:\bet al\.\b)|(?:\bdoi\s*[:=]\s*\S+)|(?:\bpmid\s*[:=]\s*\d+)|(?:[A-Z][a-z]+\s+[A-Z][a-z]+,\s*\b(?:19|20)\d{2}\b)"
 CAPTION = r"(?i)\bfig(?:ure)?\b|\bsource:|click|©"
 INDEX_CAPTION = r"(?i)\b(fig|figure|source|click|image|photo|credit)\b"
@@ -22,20 +25,19 @@ ODD_NUMBERS = r"(^\s*\(?\d+(?:\s*,\s*\d+){1,}\)?\s*)|(\b\d{1,2}\s*,\s*\d{1,2}\s*
 PATIENT_PHRASES = ("the patient ", "this patient ", "our patient ", "she had been diagnosed", "he had been diagnosed", "she was diagnosed", "he was diagnosed")
 PATIENT_AGE = r"\b\d{1,2}\s*(year[- ]old|years old|year[- ])"
 SIMPLE_QUESTION = r"(?i)\b(exercise|exercises|when to|how often|how long|frequency|reps?|sets?|timing|dose|doseing)\b"
-NUMBER_CLUSTERS = (r"\b(?:\d+\s*,\s*){1,200}\d+\b", r"\b(?:(?<!\d\d)(?<!\d\.)\d{1,2}\s+){1,6}\d{1,2}\b")
-PAREN_CITATION = r"(?i)\([^)]{0,200}?(?:et al\.|doi|pmid|\b(?:19|20)\d{2}\b|[A-Z][a-z]+)[^)]*?\)"
-INLINE_CITATION = r"(?i)\bdoi\s*[:=]\s*\S+|\bpmid\s*[:=]\s*\d+|\bpmcid\s*[:=]\s*\S+|\(\s*[A-Z][a-z]+(?:\s+et\s+al\.)?,?\s*(?:,?\s*(?:19|20)\d{2})\s*\)|–\s*[A-Z][a-z]+(?:\s+et\s+al\.)?,?\s*(?:,?\s*(?:19|20)\d{2})|(?<![A-Za-z])[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,12}\s*(?:et\s+al\.)?,?\s*(?:,?\s*(?:19|20)\d{2})"
-#: What a text must hold for INLINE_CITATION or TAIL_PATTERN to match: found in one quick pass, where those look ahead from every word.
-INLINE_MARK = r"(?i)(?:doi|pmc?id)\s*[:=]|(?:19|20)\d{2}"
-TAIL_MARK = r"(?:19|20)\d{2}|et al\.|Elsevier|Springer|Wiley|Oxford|Lippincott|References"
-TAIL_PATTERN = r"(?:[A-Z][a-z]+(?:\s+[A-Z]\.){0,2},?\s*){2,12}(?:19|20)\d{2}|(?:19|20)\d{2};\d+\(\d+\):\d+(?:-\d+)?|\b(et al\.|Elsevier|Springer|Wiley|Oxford|Lippincott)\b|–\s*[A-Z][a-z]+,\s*(?:19|20)\d{2}|\bReferences\b.*$|\s*\([^)]*?(?:19|20)\d{2}[^)]*?\)\s*$"
 MOJIBAKE = ("â", "Â", "�", "‚Ä", "√")
-# Mis-decoded sequences and what they stood for, in the order of use.
+# Mis-decoded sequences and what they stood for, in the order of use; leftover pairs that are deleted; then letters.
 REPAIRS = (
-    ("â€“", "–"), ("â€”", "—"), ("â€˜", "'"), ("â€™", "'"),
-    ("â€œ", '"'), ("â€\u009d", '"'), ("â€¦", "…"), ("Â ", ""), ("Â", ""),
-    ("â€¢", "•"), ("�", ""), ("√©", "é"), ("√®", "è"), ("¬", ""),
+    ("â€“", "–"), ("â€”", "—"), ("â€˜", "'"), ("â€™", "'"), ("â€œ", '"'), ("â€\u009d", '"'), ("â€¦", "…"), ("Â ", ""), ("Â", ""),
+    ("â€¢", "•"), ("â€ ", "– "), ("‚Ä´", "'"), ("‚Ä¬", "–"), ("‚Ä®", "–"), ("‚Äº", '"'), ("‚Ä¹", '"'), ("\ufffd", ""),
+    ("√©", "é"), ("√®", "è"), ("√¢", "â"), ("√ª", "ê"), ("√±", "ñ"), ("‚Ä´s", "'s"), ("¬", ""), ("\u0301", ""),
+    ("’Â", "’"), ("Â’", "’"), ("Â«", "«"), ("Â»", "»"),
+)
+LEFTOVERS = r"(?:Ã.|â.|Â.|√.|\ufffd|‚Ä.|â€¦|â€¢)+"
+LETTERS = (
+    ("√¶", "ö"), ("√ö", "ö"), ("√õ", "ö"), ("√ñ", "Ñ"), ("√ò", "ò"), ("√ó", "ó"), ("√ú", "ú"), ("√ü", "ü"), ("√à", "à"), ("√á", "á"),
 )
+LAST_LETTERS = (("√", ""), ("Ä\ucb06", "Á"), ("Ä", "A"))
 
 
 def text_of(c: Column) -> Column:
@@ -124,45 +126,40 @@ def sanitized(c: Column, placeholder: str = "[EMPTY]") -> Column:
 
 
 def without_citations(c: Column) -> Column:
-    """Number clusters, parentheses that hold little but a citation, and inline citations go; white space is tidied.
-
-    A parenthesis goes if at most three characters are left of it without digits, punctuation and spaces.
-    """
-    t = text_of(c)
-    for p in NUMBER_CLUSTERS:
-        t = F.regexp_replace(t, p, "")
-    t = F.regexp_replace(t, r"^\s*[–\-]\s*\p{Lu}\p{L}*(?:\s*&)?\s*", "")
-    found = F.regexp_extract_all(t, F.lit(PAREN_CITATION), F.lit(0))
-    empty = F.filter(found, lambda p: F.length(F.regexp_replace(p, r"[\s;:,&0-9\-.'()]", "")) <= 3)
-    t = F.aggregate(F.array_distinct(empty), t, lambda acc, p: F.replace(acc, p, F.lit("")))
-    return once(t, lambda t: F.trim(F.regexp_replace(F.when(t.rlike(INLINE_MARK), F.regexp_replace(t, INLINE_CITATION, "")).otherwise(t), r"\s{2,}", " ")))
+    """Number clusters, citing parentheses and inline citations go; see citations.without_citations, which matches backwards from years as no built-in function can."""
+    return _per_text(citations.without_citations)(text_of(c))
 
 
 def without_bibliography(c: Column, min_words: int = 50) -> Column:
     """The text up to the first bibliographic pattern; empty if under half of min_words are left; texts under 60 characters as they are."""
-    t = text_of(c)
-    head = F.regexp_extract(t, rf"(?s)^(.*?)(?:{TAIL_PATTERN})", 1)
-    cut = F.when(t.rlike(TAIL_MARK) & t.rlike(TAIL_PATTERN), F.regexp_replace(head, r"[ ,;.:–-]+$", "")).otherwise(t)
-    return F.when(F.length(t) < 60, t).otherwise(F.when(word_count(cut) < int(min_words * 0.5), "").otherwise(cut))
-
+    return _per_text(functools.partial(citations.without_bibliography, min_words=min_words))(text_of(c))
 
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
+def repaired_text(text: str, aggressive: bool = False) -> str:
+    """Mis-decoded text put right, in compatibility normal form, white space tidied.
 
-def nfkc(c: Column) -> Column:
-    """Compatibility normal form, which no built-in function gives."""
-    return F.pandas_udf(_nfkc, "string")(c)
+    aggressive also deletes leftover pairs and lone signs and turns Ä into A,
+    which harms texts that hold those letters rightly.
+    """
+    for bad, good in REPAIRS:
+        text = text.replace(bad, good)
+    if aggressive:
+        text = re.sub(LEFTOVERS, "", text)
+    for bad, good in LETTERS + (LAST_LETTERS if aggressive else ()):
+        text = text.replace(bad, good)
+    return re.sub(r"\s{2,}", " ", unicodedata.normalize("NFKC", text)).strip()
 
 
 def repaired(c: Column, aggressive: bool = False) -> Column:
-    """Mis-decoded text put right. aggressive also deletes leftover pairs, which harms texts that hold those letters rightly."""
-    t = text_of(c)
-    for bad, good in REPAIRS:
-        t = F.replace(t, F.lit(bad), F.lit(good))
-    if aggressive:
-        t = F.regexp_replace(t, "(?:Ã.|â.|Â.|√.|‚Ä.)+", "")
-    return F.trim(F.regexp_replace(nfkc(t), r"\s{2,}", " "))
+    """repaired_text of each text, which needs a normal form that no built-in function gives; a null is empty."""
+    return _per_text(functools.partial(repaired_text, aggressive=aggressive))(text_of(c))
+
+
+def _per_text(f: Callable[[str], str]):
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(f, na_action="ignore")
+
+    return F.pandas_udf(run, "string")
 
 
 def first_tokens(c: Column, most: int, tokenizer: str) -> Column:
@@ -194,6 +191,28 @@ def html_escaped(c: Column) -> Column:
     return t
 
 
+def words_to_tokens(n: Column) -> Column:
+    """Tokens of a number of words, half to even."""
+    return F.bround(n * F.lit(1.33)).cast("int")
+
+
+def metadata_value(c: Column, dtype: str) -> Column:
+    """A value fit for an index: arrays joined by ", ", NaN as null, other scalars as they are."""
+    if dtype.startswith("array"):
+        return F.array_join(F.transform(c, lambda x: x.cast("string")), ", ", "None")
+    return F.nanvl(c, F.lit(None).cast(dtype)) if dtype in ("float", "double") else c
+
+
+def two_lines(c: Column, width: int = 120) -> Column:
+    """The first two lines of a text, each cut to a width."""
+    return F.array_join(F.transform(F.slice(F.split(text_of(c), "\n"), 1, 2), lambda x: F.substring(x, 1, width)), "\n")
+
+
+def texts_of_ids(c: Column) -> Column:
+    """A list of ids as texts; none for a null."""
+    return F.transform(F.coalesce(c.cast("array<string>"), F.array().cast("array<string>")), lambda x: x)
+
+
 def snippet(c: Column, most: int = 800) -> Column:
     t = text_of(c)
     return F.when(F.length(t) > most, F.concat(F.substring(t, 1, most), F.lit(" …"))).otherwise(t)

@@ -54,6 +54,7 @@ def runs(blocks: DataFrame, min_words: int = 50) -> DataFrame:
     out = rows.groupBy("page_id", "part", "section", "_q").agg(F.array_sort(F.collect_list(F.struct("pos", "i", "item", "images"))).alias("_t"))
     text = F.array_join(F.filter(F.transform("_t", lambda x: x["item"]), lambda x: x != ""), " ")
     out = out.select("page_id", "section", F.struct("part", "_q").alias("run"), text.alias("text"), F.flatten(F.transform("_t", lambda x: x["images"])).alias("images"))
+    out = out.withColumn("text", F.explode(F.array(T.repaired(F.col("text")))))
     return _clean(out, "text", min_words).where(T.word_count(F.col("text")) >= min_words)
 
 

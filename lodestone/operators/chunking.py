@@ -146,7 +146,12 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def dedup_near_exact(docs: DataFrame, text_col: str, order: list[str]) -> DataFrame:
-    """The first row, by `order`, of each normalised text; the smallest order values are found by a combining aggregate, so a text in many rows gathers nowhere."""
-    keyed = docs.withColumn("_fp", T.fingerprint(F.col(text_col)))
-    first = keyed.groupBy("_fp").agg(F.min(F.struct(*order)).alias("_first"))
-    return keyed.join(first, (keyed._fp == first._fp) & (F.struct(*order) == F.col("_first")), "left_semi").drop("_fp")
+    """The first row, by `order` and then by a hash of the row, of each normalised text, found by a combining aggregate: a text in many rows gathers nowhere.
+
+    Null texts count as empty. Of rows equal in all columns one stays. Columns named _fp, _row or _first are not allowed.
+    """
+    columns = [F.col(c) for c in docs.columns]
+    keyed = docs.withColumn("_fp", T.fingerprint(F.col(text_col))).withColumn("_row", F.struct(*[c.isNull() for c in (F.col(o) for o in order)], *order, F.xxhash64(*columns, *[c.isNull() for c in columns])))
+    first = keyed.groupBy("_fp").agg(F.min("_row").alias("_first"))
+    kept = keyed.join(first.select("_fp", F.col("_first").alias("_row")), ["_fp", "_row"], "left_semi")
+    return kept.dropDuplicates(["_fp"]).select(*docs.columns)

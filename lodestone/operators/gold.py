@@ -76,3 +76,27 @@ def question_table(gold: DataFrame, id_col: str, text_col: str, ids_col: str) ->
     start = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(id_col, "question", "first_id", "n_ids"))
     return rows.withColumn("_row", inside).join(F.broadcast(start), "_part").select(id_col, (F.col("_start") + F.col("_row")).alias("number"), "question", "first_id", "n_ids")  # at most 64 rows
+
+
+def with_topics(gold: DataFrame, known: DataFrame) -> DataFrame:
+    """gold with topic and bucket from known(question, topic, bucket) by the question's text, trimmed; blank ones only, and "" where nothing is known.
+
+    Of several known rows of a question the smallest topic and bucket count.
+    """
+    one = known.select(F.trim("question").alias("_q"), F.struct("topic", "bucket").alias("_k")).groupBy("_q").agg(F.min("_k").alias("_k"))
+    out = gold.withColumn("_q", F.trim("question")).join(one, "_q", "left")
+    for c in ("topic", "bucket"):
+        out = out.withColumn(c, F.coalesce(F.nullif(F.trim(c), F.lit("")), F.col("_k").getField(c), F.lit("")))
+    return out.select(*gold.columns)
+
+
+def dangling(ids: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(key, id) of ids(key, id) that no row of chunks(id) has."""
+    return ids.where("id is not null").select("key", "id").distinct().join(chunks.select("id").distinct(), "id", "left_anti").select("key", "id")
+
+
+def added_in_order(ids: DataFrame, new: DataFrame, index: DataFrame) -> DataFrame:
+    """ids(key, pos, id) with new(key, pos, id) behind them, each id once, in the order of index(id, idx): (key, ids)."""
+    both = ids.select("key", F.lit(0).alias("_of"), "pos", "id").union(new.select("key", F.lit(1).alias("_of"), "pos", "id"))
+    first = both.groupBy("key", "id").agg(F.min(F.struct("_of", "pos")).alias("pos"))
+    return ordered_by_index(first, index)

@@ -58,3 +58,15 @@ def last_by_id(rows: DataFrame, order: str) -> DataFrame:
     rest = [c for c in keyed.columns if c not in (order, "article_id")]
     last = keyed.groupBy("article_id").agg(F.max(F.struct(order, *rest)).alias("_last"))
     return last.select("article_id", "_last.*")
+
+
+def empty_texts(rows: DataFrame, text_col: str) -> DataFrame:
+    """Rows whose text counts as empty for an encoder."""
+    return rows.where(T.sanitized(F.col(text_col)) == "[EMPTY]")
+
+
+def chunk_view(rows: DataFrame, id_col: str, section_col: str, source_col: str, index_col: str) -> DataFrame:
+    """(chunk_id, section, source, text, n_words, idx): the first of the columns embed_text and text, nulls as "", the index as a whole number or -1."""
+    text = next(c for c in ("embed_text", "text") if c in rows.columns)
+    filled = lambda c: T.text_of(F.col(c))
+    return rows.select(filled(id_col).alias("chunk_id"), filled(section_col).alias("section"), filled(source_col).alias("source"), filled(text).alias("text"), T.word_count(F.col(text)).alias("n_words"), T.plain_index(F.col(index_col)).alias("idx"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as T
+from . import vectors as V
 
 
 def confidence(hits: DataFrame, k: int = 5) -> DataFrame:
@@ -134,3 +135,22 @@ def traces(hits: DataFrame) -> DataFrame:
     """(query_id, trace): the ids of a query's hits in order, as JSON."""
     ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"])
     return hits.groupBy("query_id").agg(ids.alias("hits")).select("query_id", F.to_json(F.struct("query_id", "hits")).alias("trace"))
+
+
+def unbiased(hits: DataFrame) -> DataFrame:
+    """hits in the order of their raw distances: the scores off."""
+    return hits.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "rank")))
+
+
+def history_similarity(turns: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """turns with similarity, the product of the unit vectors of a turn and of its conversation's question: vectors(conv_id, turn, vec), queries(conv_id, vec); 0 where one is missing."""
+    unit = lambda df: df.withColumn("vec", V.normalized(F.col("vec")))
+    rows = turns.join(unit(vectors).withColumnRenamed("vec", "_t"), ["conv_id", "turn"], "left").join(unit(queries).withColumnRenamed("vec", "_q"), "conv_id", "left")
+    return rows.withColumn("similarity", F.coalesce(V.dot(F.col("_t"), F.col("_q")), F.lit(0.0))).drop("_t", "_q")
+
+
+def citation_previews(labels: DataFrame, context: DataFrame, most: int = 200, default: str = "No preview available.") -> DataFrame:
+    """labels(query_id, citation) with the start of the last picked text under that "source — section", or the default."""
+    label = F.concat_ws(" — ", F.coalesce(F.nullif("source", F.lit("")), F.lit("unknown")), F.coalesce("section", F.lit("n/a")))
+    last = context.groupBy("query_id", label.alias("citation")).agg(F.max(F.struct("pick_pos", "text")).alias("_l"))
+    return labels.join(last, ["query_id", "citation"], "left").select("query_id", "citation", F.coalesce(F.substring("_l.text", 1, most), F.lit(default)).alias("preview"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,13 +37,18 @@ def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return table.column("id").to_numpy(), vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vec), -1)
 
 
+def _sizes(table: pa.Table) -> np.ndarray:
+    return np.diff(table.column("vec").combine_chunks().offsets.to_numpy()) if len(table) else np.zeros(0, np.int32)
+
+
 def _nearest(k: int, metric: str):
     """The k nearest of one cell of the corpus for each query of one block: products find the candidates, exact distances rank them."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(left) and len(right):
-            (ids, q), (names, x) = _matrix(left), _matrix(right)
+        have, sizes = _sizes(left), _sizes(right)
+        for size in np.intersect1d(have, sizes):  # only vectors of one length have a distance
+            (ids, q), (names, x) = _matrix(left.filter(pa.array(have == size))), _matrix(right.filter(pa.array(sizes == size)))
             xx, n = (x * x).sum(axis=1), min(k, len(x))
             for at in range(0, len(q), 128):
                 part = q[at : at + 128]
@@ -64,9 +72,19 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 50, id_col: str = "vec_i
     Both sides are dealt to a grid of blocks of about QUERY_BLOCK queries and cells
     of about CELL vectors; a task holds one block and one cell. Nothing but the two
     counts comes to the driver, and k rows of each query and cell are shuffled.
+    Vectors that are null, empty or hold null or non-finite components, and rows
+    with a null id, are left out on both sides; so are zero vectors by cosine.
+    Vectors of different lengths are never neighbours: a query can have fewer than
+    k. A repeated id of the corpus is a row of its own; queries' ids must differ.
     """
     spark = corpus.sparkSession
-    side = lambda df: df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("vec")).where("id is not null")
+
+    def side(df: DataFrame) -> DataFrame:
+        vec = F.col(vector_col)
+        finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+        sound = finite & (F.exists(vec, lambda x: x != 0) if metric != "l2sq" else (F.size(vec) > 0))
+        return df.where(sound & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), vec.alias("vec"))
+
     q, c = side(queries), side(corpus)
     blocks = -(-q.count() // QUERY_BLOCK) or 1
     cells = max(-(-c.count() // CELL), spark.sparkContext.defaultParallelism)
@@ -94,3 +112,33 @@ def alignment(rows: DataFrame, vectors: DataFrame, row_key: str, vector_key: str
     both = r.join(v, "k", "full")
     n = lambda c: F.count_if(c).cast("bigint")
     return both.agg(n(F.col("r").isNotNull() & F.col("v").isNotNull()).alias("matched"), n(F.col("v").isNull()).alias("rows_without_vector"), n(F.col("r").isNull()).alias("vectors_without_row"))
+
+
+def encoded(rows: DataFrame, text_col: str, encoder: Callable[[], Callable[[list[str]], np.ndarray]], out: str = "embedding") -> DataFrame:
+    """rows with a unit vector of each text, empty ones as "[EMPTY]": the place where a model goes.
+
+    `encoder` is called once in a task and gives a function from texts to a
+    matrix of one row for each; questions go through the same one.
+    """
+    if text_col not in rows.columns:
+        raise ValueError(f"no column {text_col}; there are {', '.join(rows.columns)}")
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = encoder()
+        for s in batches:
+            x = np.asarray(encode(s.tolist()), np.float64).reshape(len(s), -1)
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            yield pd.Series(list(x.astype(np.float32)))
+
+    return rows.withColumn(out, F.pandas_udf(run, "array<float>")(T.sanitized(F.col(text_col))))
+
+
+def replied(rows: DataFrame, prompt: Column, model: Callable[[], Callable[[list[str]], list[str]]], out: str = "reply") -> DataFrame:
+    """rows with a model's reply to each prompt, trimmed: for classifiers, rewriters, scorers and generators. `model` is called once in a task."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ask = model()
+        for s in batches:
+            yield pd.Series([(x or "").strip() for x in ask(s.tolist())])
+
+    return rows.withColumn(out, F.pandas_udf(run, "string")(T.text_of(prompt)))

@@ -69,7 +69,7 @@ def _items(spark, d) -> DataFrame:
     docs = _docs(spark, d)
     labels = parquet(spark, d, "embeddings").select(F.col("vec_id").alias("id"), _section(F.col("label")).alias("section"))
     hits = _hits(spark, d).join(labels, "id").join(docs.select(F.col("doc_id").alias("id"), "source", "text"), "id")
-    hits = hits.join(docs.select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 80).alias("question")), "query_id")
+    hits = hits.join(docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("question")), "query_id")
     return R.biased(hits.withColumn("token_len", T.query_tokens(F.col("text"))), LEXICON)
 
 
@@ -89,7 +89,7 @@ STORY = rf"(regexp_matches(lower(text), '{T.PATIENT_AGE}') OR {_sql_parts(T.PATI
 ITEMS = (
     KNN
     + f""",
-j AS (SELECT k.*, list_extract({list(SECTIONS)}, CAST(e.label AS INT) + 1) AS section, c.source, c.text, substr(q.text, 1, 80) AS question,
+j AS (SELECT k.*, list_extract({list(SECTIONS)}, CAST(e.label AS INT) + 1) AS section, c.source, c.text, q.text AS question,
   CAST(round_even({WORDS.format('c.text')} * 1.33, 0) AS INT) AS token_len FROM k JOIN e ON e.vec_id = k.id JOIN documents c ON c.doc_id = k.id JOIN documents q ON q.doc_id = k.query_id),
 b AS (SELECT * REPLACE (round(dist - CASE WHEN {" OR ".join(f"(contains(lower(question), '{a}') AND contains(lower(source), '{h}'))" for a, h in LEXICON.topics)} THEN 0.30 ELSE 0 END
   - CASE WHEN {_sql_parts(LEXICON.terms, 'lower(text)')} THEN 0.15 ELSE 0 END + {BIAS} + CASE WHEN {STORY} THEN 0.20 ELSE 0 END, 6) AS dist) FROM j),
@@ -159,7 +159,13 @@ def context_block(spark, d):
     return R.context_blocks(_picked(spark, d))
 
 
-@register()
+PROMPT = rf"""WITH RECURSIVE {_pick_sql(10000)}, bl AS (SELECT query_id, string_agg('[' || section || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY {PRIORITY}, pick_pos) AS block FROM c GROUP BY query_id)
+SELECT query_id, 'CONTEXT:' || chr(10) || '---' || chr(10) || block || chr(10) || '---' || chr(10) || chr(10)
+  || CASE WHEN regexp_matches(q.text, '(?i)\b(exercise|exercises|when to|how often|how long|frequency|reps?|sets?|timing|dose|doseing)\b') THEN 'Answer in a few numbered steps and say why. If the context does not suffice, say so.' ELSE 'Answer in Markdown with short sections. If the context does not suffice, say so.' END
+  || chr(10) || chr(10) || 'Question: ' || q.text AS prompt FROM bl JOIN documents q ON q.doc_id = query_id"""
+
+
+@register(PROMPT)
 def build_prompt(spark, d):
     items = _picked(spark, d)
     return R.prompts(R.context_blocks(items).join(items.select("query_id", "question").distinct(), "query_id")).select("query_id", "prompt")
@@ -170,14 +176,25 @@ def history_tail(spark, d):
     return R.recent_turns(parquet(spark, d, "conversations"), 3).select("conv_id", "turn", "i")
 
 
-@register("""WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations) WHERE b <= 10),
+HISTORY = """hv AS (SELECT c.conv_id, c.turn, coalesce(list_sum(list_transform(generate_series(1, len(a.v)), lambda i: a.v[i] * b.v[i])), 0.0) AS sim FROM conversations c
+  LEFT JOIN (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / greatest(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 1e-12)) AS v FROM embeddings) a ON a.vec_id = c.conv_id * 5 + c.turn
+  LEFT JOIN (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / greatest(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 1e-12)) AS v FROM embeddings) b ON b.vec_id = c.conv_id)"""
+
+
+def _turns(spark, d) -> DataFrame:
+    """The last turns with their similarity to the question of their conversation."""
+    turns, e = R.recent_turns(parquet(spark, d, "conversations")), parquet(spark, d, "embeddings")
+    of_turn = turns.select("conv_id", "turn", (F.col("conv_id") * 5 + F.col("turn")).alias("vec_id")).join(e, "vec_id").select("conv_id", "turn", F.col("embedding").alias("vec"))
+    return R.history_similarity(turns, of_turn, e.select(F.col("vec_id").alias("conv_id"), F.col("embedding").alias("vec")))
+
+
+@register("WITH " + HISTORY + """, t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations) WHERE b <= 10),
 w AS (SELECT *, pow(0.65, count(*) OVER (PARTITION BY conv_id) - 1 - i) AS weight FROM t WHERE trim(coalesce(text, '')) <> ''),
-s AS (SELECT *, round(least(length(text), 1000) / 1000.0 * weight * 0.30, 6) AS s FROM w),
+s AS (SELECT w.*, round(sim * weight * 0.30, 6) AS s FROM w JOIN hv ON hv.conv_id = w.conv_id AND hv.turn = w.turn),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY s DESC, turn) AS INT) AS memory_rank FROM s)
 SELECT conv_id, memory_rank, turn, '[' || upper(role) || '] ' || text AS entry, round(weight, 6) AS weight, round(1 - s + 0.20, 6) AS dist FROM r WHERE memory_rank <= 2""")
 def history_ranked(spark, d):
-    turns = R.recent_turns(parquet(spark, d, "conversations"))
-    return R.ranked_memory(turns, F.least(F.length("text"), F.lit(1000)) / 1000.0)
+    return R.ranked_memory(_turns(spark, d), F.col("similarity"))
 
 
 @register(rf"SELECT doc_id, CAST(len({SENTENCES.format('text')}) AS INT) AS n_sentences, array_to_string({SENTENCES.format('text')}, '|') AS sentences FROM documents")
@@ -264,6 +281,11 @@ def strip_citations(spark, d):
     return once.select("doc_id", T.without_bibliography(F.col("t")).alias("clean"))
 
 
+@register()
+def mojibake_repaired(spark, d):
+    return _docs(spark, d).select("doc_id", T.repaired(F.col("text")).alias("text"))
+
+
 @register("SELECT doc_id, CASE WHEN lower(trim(coalesce(text, ''))) IN ('', 'none', 'nan', 'null', '[]', '{}') THEN '[EMPTY]' ELSE trim(text) END AS text FROM documents")
 def sanitize_text(spark, d):
     return _docs(spark, d).select("doc_id", T.sanitized(F.col("text")).alias("text"))
@@ -456,9 +478,10 @@ def id_list_edits(spark, d):
     return s.select(F.col("conv_id").alias("key"), text(G.added(pick, own)).alias("added"), text(G.removed(cur, pick)).alias("removed"), text(G.saved(pick, cur, own)).alias("saved"))
 
 
-MEMORY = """t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations) WHERE b <= 10),
+MEMORY = HISTORY + """,
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations) WHERE b <= 10),
 w AS (SELECT *, pow(0.65, count(*) OVER (PARTITION BY conv_id) - 1 - i) AS weight FROM t WHERE trim(coalesce(text, '')) <> ''),
-s AS (SELECT *, round(least(length(text), 1000) / 1000.0 * weight * 0.30, 6) AS s FROM w),
+s AS (SELECT w.*, round(sim * weight * 0.30, 6) AS s FROM w JOIN hv ON hv.conv_id = w.conv_id AND hv.turn = w.turn),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY s DESC, turn) AS INT) AS m FROM s),
 g AS (SELECT query_id, avg(1 - dist) AS c FROM k WHERE rank <= 5 GROUP BY query_id),
 mm AS (SELECT r.conv_id AS query_id, m AS pos, 'memory_' || m AS source, CAST(-1 AS BIGINT) AS id, round(1 - s + 0.20, 6) AS dist FROM r JOIN g ON g.query_id = r.conv_id WHERE m <= 2 AND c < 0.99)"""
@@ -467,8 +490,7 @@ mm AS (SELECT r.conv_id AS query_id, m AS pos, 'memory_' || m AS source, CAST(-1
 @register(f"WITH {ITEMS}, {MEMORY} SELECT query_id, pos, source, id, dist FROM mm UNION ALL SELECT query_id, CAST(pos + coalesce((SELECT max(pos) FROM mm WHERE mm.query_id = i.query_id), 0) AS INT), source, id, dist FROM i")
 def gated_memory(spark, d):
     """Memory before the corpus, for questions whose confidence is low."""
-    turns = R.recent_turns(parquet(spark, d, "conversations"))
-    ranked = R.ranked_memory(turns, F.least(F.length("text"), F.lit(1000)) / 1000.0).withColumnRenamed("conv_id", "query_id")
+    ranked = R.ranked_memory(_turns(spark, d), F.col("similarity")).withColumnRenamed("conv_id", "query_id")
     memory = R.gated(ranked, R.confidence(_hits(spark, d)), 0.99).select("query_id", F.col("memory_rank").alias("pos"), F.concat(F.lit("memory_"), "memory_rank").alias("source"), "dist")
     return R.with_memory(_items(spark, d), memory).select("query_id", F.col("pos").cast("int").alias("pos"), "source", F.coalesce("id", F.lit(-1)).cast("bigint").alias("id"), "dist")
 
@@ -497,6 +519,81 @@ def article_metadata(spark, d):
     return Q.last_by_id(rows.withColumnRenamed("source", "id"), "doc_id").select("article_id", "text")
 
 
+@register("SELECT doc_id FROM documents WHERE lower(trim(coalesce(text, ''))) IN ('', 'none', 'nan', 'null', '[]', '{}') OR doc_id % 7 = 0")
+def empty_texts(spark, d):
+    """Rows that an encoder sees as empty; every seventh text is made one of the spellings of nothing."""
+    blank = F.element_at(F.array(F.lit(" None "), F.lit("[]"), F.lit("nan"), F.lit("")), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = _docs(spark, d).withColumn("text", F.when(F.col("doc_id") % 7 == 0, blank).otherwise(F.col("text")))
+    return Q.empty_texts(rows, "text").select("doc_id")
+
+
+@register(f"SELECT CAST(doc_id AS VARCHAR) AS chunk_id, coalesce(lang, '') AS section, coalesce(source, '') AS source, coalesce(text, '') AS text, CAST({WORDS.format('text')} AS INT) AS n_words, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS INT) ELSE -1 END AS idx FROM documents")
+def chunk_view(spark, d):
+    index = F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("doc_id").cast("string"), F.lit(".0"))).otherwise(F.lit("x"))
+    return Q.chunk_view(_docs(spark, d).withColumn("i", index), "doc_id", "lang", "source", "i")
+
+
+def _gold(spark, d) -> DataFrame:
+    rows = parquet(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"), F.concat(F.lit("t"), (F.col("item_id") % 3).cast("string")).alias("topic"), F.concat(F.lit("b"), (F.col("item_id") % 4).cast("string")).alias("bucket"))
+    return rows
+
+
+@register("SELECT item_id AS id FROM benchmark WHERE item_id % 3 = 1 AND item_id % 4 IN (0, 2) AND regexp_matches(text, '(?i)A|e')")
+def gold_filters(spark, d):
+    return G.searched(_gold(spark, d), "a|E", "t1", ["b0", "b2"]).select("id")
+
+
+@register("SELECT item_id AS id, CASE WHEN item_id % 3 = 0 THEN coalesce(k.topic, '') ELSE 't' || item_id % 3 END AS topic, coalesce(k.bucket, '') AS bucket FROM benchmark LEFT JOIN (SELECT trim(text) AS q, min('auto' || item_id % 5) AS topic, min('bucket') AS bucket FROM benchmark WHERE item_id % 2 = 0 GROUP BY trim(text)) k ON k.q = trim(text)")
+def auto_topics(spark, d):
+    known = parquet(spark, d, "benchmark").where("item_id % 2 = 0").select(F.col("text").alias("question"), F.concat(F.lit("auto"), (F.col("item_id") % 5).cast("string")).alias("topic"), F.lit("bucket").alias("bucket"))
+    gold = _gold(spark, d).withColumns({"topic": F.when(F.col("id") % 3 == 0, " ").otherwise(F.col("topic")), "bucket": F.lit(None).cast("string")})
+    return G.with_topics(gold, known).select("id", "topic", "bucket")
+
+
+@register("SELECT DISTINCT conv_id AS key, conv_id * 5 + turn AS id FROM conversations WHERE conv_id * 5 + turn NOT IN (SELECT vec_id FROM embeddings WHERE label < 7)")
+def dangling_ids(spark, d):
+    ids = parquet(spark, d, "conversations").select(F.col("conv_id").alias("key"), (F.col("conv_id") * 5 + F.col("turn")).alias("id"))
+    return G.dangling(ids, parquet(spark, d, "embeddings").where("label < 7").select(F.col("vec_id").alias("id")))
+
+
+@register("WITH i AS (SELECT c.conv_id AS key, c.conv_id * 5 + c.turn AS id, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS o, c.turn AS pos, e.label AS idx FROM conversations c LEFT JOIN (SELECT * FROM embeddings WHERE label < 7) e ON e.vec_id = c.conv_id * 5 + c.turn) SELECT key, string_agg(CAST(id AS VARCHAR), ',' ORDER BY idx IS NULL, coalesce(idx, 0), o, pos) AS ids FROM i GROUP BY key")
+def ids_added_in_order(spark, d):
+    ids = parquet(spark, d, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("pos"), (F.col("conv_id") * 5 + F.col("turn")).alias("id"), "role")
+    index = parquet(spark, d, "embeddings").where("label < 7").select(F.col("vec_id").alias("id"), F.col("label").alias("idx"))
+    out = G.added_in_order(ids.where("role <> 'user' or role is null").drop("role"), ids.drop("role"), index)
+    return out.select("key", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@register(f"WITH RECURSIVE {_pick_sql(10000)}, l AS (SELECT query_id, source || ' — ' || section AS citation, max_by(text, pick_pos) AS t FROM c GROUP BY ALL) SELECT query_id, citation, substr(t, 1, 200) AS preview FROM l UNION ALL SELECT DISTINCT query_id, 'nowhere' AS citation, 'No preview available.' AS preview FROM c")
+def citation_previews(spark, d):
+    context = _picked(spark, d)
+    labels = R.citations(context).select("query_id", F.explode(F.concat(F.split("citations", "\n"), F.array(F.lit("nowhere")))).alias("citation"))
+    return R.citation_previews(labels, context)
+
+
+@register("SELECT doc_id, doc_id % 4 = 0 OR doc_id % 4 = 1 AS has_image, CASE WHEN doc_id % 4 = 0 THEN CAST(length(source) AS INT) ELSE 0 END AS caption_len FROM documents")
+def image_flags(spark, d):
+    as_json = F.to_json(F.array(F.struct(F.lit("x.png").alias("src"), F.col("source").alias("image_text"))))
+    column = F.element_at(F.array(as_json, F.lit('[{"src": "y"}]'), F.lit("[]"), F.lit("no json")), (F.col("doc_id") % 4 + 1).cast("int"))
+    return _docs(spark, d).select("doc_id", H.image_flags(column).alias("f")).select("doc_id", "f.has_image", "f.caption_len")
+
+
+@register(f"SELECT doc_id, CAST(round_even({WORDS.format('text')} * 1.33, 0) AS INT) AS tokens, array_to_string(list_transform([lang, source], lambda x: coalesce(x, 'None')), ', ') AS value, CASE WHEN contains(text, chr(10)) THEN substr(string_split(text, chr(10))[1], 1, 120) || chr(10) || substr(string_split(text, chr(10))[2], 1, 120) ELSE substr(coalesce(text, ''), 1, 120) END AS lines FROM documents")
+def display_values(spark, d):
+    return _docs(spark, d).select("doc_id", T.words_to_tokens(T.word_count(F.col("text"))).alias("tokens"), T.metadata_value(F.array("lang", "source"), "array<string>").alias("value"), T.two_lines(F.col("text")).alias("lines"))
+
+
+@register(f"WITH {KNN} SELECT query_id, id, rank, CAST(rank AS INT) AS pos, dist FROM k")
+def unbiased(spark, d):
+    return R.unbiased(_hits(spark, d)).select("query_id", "id", "rank", "pos", "dist")
+
+
+@register("SELECT count(*) AS documents, count(DISTINCT source) AS sources, (SELECT count(*) FROM embeddings) AS vectors FROM documents")
+def collection_counts(spark, d):
+    n = parquet(spark, d, "embeddings").agg(F.count(F.lit(1)).alias("vectors"))
+    return _docs(spark, d).agg(F.count(F.lit(1)).alias("documents"), F.countDistinct("source").alias("sources")).join(F.broadcast(n), F.lit(True))  # one row each
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in _found.items()}
 

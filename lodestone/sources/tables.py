@@ -95,3 +95,55 @@ def log_answers(answers: DataFrame, path: str) -> None:
     """Answers appended to a session log, in its columns; those that they lack are null."""
     record = StructType.fromDDL(SESSION_RECORD)
     append_json(answers.select(*[(F.col(f.name) if f.name in answers.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in record]), path)
+
+
+def build_and_save(articles: DataFrame, chunks: DataFrame, folder: str, overwrite: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Articles and chunks checked, chunks deduplicated by body, articles without chunks dropped, both sorted and written; read back.
+
+    Chunks in order of source and place, of equal bodies the first; without any
+    chunk nothing is written and it is an error. Existing tables are one as well, unless overwritten.
+    """
+    from ..operators.chunking import dedup_near_exact
+
+    if chunks.isEmpty():
+        raise ValueError("no chunks")
+    spark = chunks.sparkSession
+    save(dedup_near_exact(chunks, "body", ["source_relpath", "article_seq"]).orderBy("source_relpath", "article_seq"), f"{folder}/chunks.parquet", overwrite)
+    kept = spark.read.parquet(f"{folder}/chunks.parquet")
+    with_chunks = articles.join(chunks.select("article_id").distinct(), "article_id", "left_semi")
+    save(with_chunks.orderBy("url"), f"{folder}/articles.parquet", overwrite)
+    return spark.read.parquet(f"{folder}/articles.parquet"), kept
+
+
+def create_index(docs: DataFrame, vectors: DataFrame, path: str, id_col: str, text_col: str, vector_col: str = "embedding", overwrite: bool = False) -> int:
+    """The rows fit for an index with their vectors, joined by id, as a table (id, document, metadata, embedding); how many there are."""
+    from ..operators.quality import index_rows
+
+    rows = index_rows(docs, id_col, text_col).join(vectors.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).alias("embedding")), "id")
+    save(rows, path, overwrite)
+    return rows.sparkSession.read.parquet(path).count()
+
+
+def open_index(spark: SparkSession, path: str, docs: DataFrame, vectors: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The index at a path, built there first where it isn't."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        create_index(docs, vectors, path, id_col, text_col)
+        return spark.read.parquet(path)
+
+
+def npy_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row, vec) of two-dimensional NPY matrices, one file to a task."""
+    import io
+
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                x = np.load(io.BytesIO(content.as_py()), allow_pickle=False).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(x)), pa.array(np.arange(len(x))), pa.array(list(x), pa.list_(pa.float32()))], names=["file", "row", "vec"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, row bigint, vec array<float>")
