@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -346,10 +347,8 @@ def _wanted_sets(k: int, bits_words, filter_bits: int):
     """Sets of the texts whose id may be one of the wanted: a filter of bits, whose false positives a join removes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bits_words.value, np.uint64)
         for batch in batches:
-            h = xxhash64(batch.column("id").to_numpy(zero_copy_only=False)) >> np.uint64(64 - filter_bits)
-            wanted = (bits[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
+            wanted = _held(bits_words, filter_bits, xxhash64(batch.column("id").to_numpy(zero_copy_only=False)))
             if not wanted.any():
                 continue
             node, sets, seen = [], [], set()
@@ -405,16 +404,50 @@ def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Groups are of rows, not of ids: of two unrelated texts under one id both
     stay. A row without words is no near duplicate; only rows with its id and
-    text are its copies.
+    text are its copies. Rows of groups of one stay where they are: only those
+    that a filter takes for rows of larger groups are joined with their groups.
     """
     columns = [F.col(c) for c in docs.columns]
     whole = F.xxhash64(*columns, *[c.isNull() for c in columns])
-    out = _grouped(docs, id_col, text_col, whole, shingle, percent)
-    alone = F.when(F.col("n") == 0, F.struct("id", "hash"))
-    first = out.groupBy(F.coalesce("root", "node").alias("_group"), alone.alias("_alone")).agg(F.min(F.struct("id", "hash", "row")).alias("_first"))
-    first = first.select(F.col("_first.id").alias("_id"), F.col("_first.row").alias("_row"))
-    rows = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL_ID))).withColumn("_row", whole)
-    return rows.join(first, ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"]).select(*docs.columns)
+    row = F.struct("id", "hash", "row")
+    group = F.coalesce("root", "node", F.xxhash64("id", "hash", F.lit("no words")))
+    keyed = stored(_grouped(docs, id_col, text_col, whole, shingle, percent).select("id", "hash", "row", group.alias("group")), "keyed")
+    firsts = stored(keyed.groupBy("group").agg(F.count(F.lit(1)).alias("many"), F.min(row).alias("first")).where("many > 1"), "firsts")
+    shared = with_values(keyed, firsts, "group", "many", row).where("first is not null")
+    shared = stored(shared.select(F.col("id").alias("_id"), F.col("row").alias("_row"), (row == F.col("first")).alias("_first")).distinct(), "shared")
+    perhaps = _perhaps(*_filter_of(shared, F.xxhash64("_id", "_row")))
+    rows = docs.select(F.struct(*columns).alias("_doc"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL_ID)).alias("_id"), whole.alias("_row"))
+    rows = rows.withColumn("_perhaps", perhaps(F.xxhash64("_id", "_row")))
+    # repeated rows fold before the shuffle; what the filter lets through without need is in no group of two or more
+    some = rows.where("_perhaps").dropDuplicates(["_id", "_row"]).join(shared, ["_id", "_row"], "left").where("coalesce(_first, true)")
+    return rows.where("not _perhaps").select("_doc.*").unionByName(some.select("_doc.*"))
+
+
+def _filter_of(rows: DataFrame, hashed: Column):
+    """(bits, log2 of their number) of a filter of these 64-bit hashes: 16 bits for each, up to a fixed number; beyond it, it lets more through."""
+    spark = rows.sparkSession
+    filter_bits = min(max((16 * rows.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    h = F.shiftrightunsigned(hashed, 64 - filter_bits)
+    words = rows.select(h.alias("h")).selectExpr("h >> 6 AS w", "shiftleft(1L, CAST(h & 63 AS INT)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # 2**filter_bits / 64 rows at most
+    table = np.zeros(1 << filter_bits >> 6, np.int64)
+    table[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return spark.sparkContext.broadcast(table.tobytes()), filter_bits
+
+
+def _held(bits_words, filter_bits: int, hashed: np.ndarray) -> np.ndarray:
+    bits = np.frombuffer(bits_words.value, np.uint64)
+    h = hashed >> np.uint64(64 - filter_bits)
+    return (bits[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _perhaps(bits_words, filter_bits: int):
+    """Whether the filter may hold a hash: only the hashes go to Python."""
+
+    @F.pandas_udf("boolean")
+    def perhaps(h: pd.Series) -> pd.Series:
+        return pd.Series(_held(bits_words, filter_bits, h.to_numpy(np.int64).view(np.uint64)))
+
+    return perhaps
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, row: Column, shingle: int, percent: int) -> DataFrame:
@@ -447,12 +480,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, row: Column, shingle:
     def verified(pairs: DataFrame) -> DataFrame:
         sides = pairs.select("part", F.explode(F.array_distinct(F.concat("a", "b"))).alias("node")).groupBy("node").agg(F.collect_set("part").alias("parts"))  # a row and a column of the grid at most
         wanted = stored(sides.join(classes.select("node", "id"), "node"), "wanted")
-        filter_bits = min(max((16 * wanted.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
-        h = F.shiftrightunsigned(F.xxhash64("id"), 64 - filter_bits)
-        words = wanted.withColumn("h", h).selectExpr("h >> 6 AS w", "shiftleft(1L, CAST(h & 63 AS INT)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # 2**filter_bits / 64 rows at most
-        table = np.zeros(1 << filter_bits >> 6, np.int64)
-        table[words.column("w").to_numpy()] = words.column("b").to_numpy()
-        live = spark.sparkContext.broadcast(table.tobytes())
+        live, filter_bits = _filter_of(wanted, F.xxhash64("id"))
         sets = base.select("id", "text").mapInArrow(_wanted_sets(shingle, live, filter_bits), "id bigint, node bigint, shingles binary")
         sent = sets.join(wanted, ["node", "id"]).select(F.explode("parts").alias("to_part"), "node", "shingles")
         return pairs.groupBy("part").cogroup(sent.groupBy("to_part")).applyInArrow(_verified(percent), "a bigint, b bigint")
