@@ -176,6 +176,10 @@ def test_one_row_of_each_group_stays(spark):
     assert Counter(x for x in got if x[0] is not None) == Counter([(1, a), (5, b), (7, c), (7, d), (9, None)])
     left = [t for i, t in got if i is None]
     assert len(left) == 2 and "" in left and set(left) <= {"", lone, near(lone)}
+    odd = docs.selectExpr("*", "1 AS _id", "2 AS _row", "'x' AS _first", "true AS _perhaps", "struct(3 AS z) AS _doc")
+    kept = corpus_pipeline.near_duplicates(spark, odd, "")
+    assert kept.columns == odd.columns and {(x._id, x._row, x._first, x._perhaps, x._doc.z) for x in kept.collect()} == {(1, 2, "x", True, 3)}
+    assert Counter((x.doc_id, x.text) for x in kept.collect() if x.doc_id is not None) == Counter(x for x in got if x[0] is not None)
 
 
 def test_base_rules(spark, odd):
