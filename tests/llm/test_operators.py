@@ -224,7 +224,7 @@ def test_chain_tells_junk_lines():
 def test_secrets(spark):
     import re
 
-    key, live, wide, part, fake = "AKIA" + "Q7XD2" * 4, *(f"ghp_{x}Kd93jfQ0sLmZ41xTbV7pWq28{x}" for x in "ABC"), "ghp_" + "Z1" * 20
+    key, live, wide, part, fake = "AKIA" + "Q7XD2" * 4, *(f"ghp_{x}Kd93jfQ0sLmZ41xTbV7pWq28Ty5Rc6Hn{x}" for x in "ABC"), "ghp_" + "Z1" * 20
     rows = [(1, f"x {key} password = 'abcdefghijkl12' deadbeefdeadbeef00", "en", "a"), (2, f"é {key}", "en", "b"), (3, f"{key} {live}", "en", "c"), (4, "secret=token:abcdefghijklmno TOKEN: short", "en", "a"), (5, None, None, None), (5, "", None, None), (None, "api_key:ABCDEFGHIJKLMNOP", "en", None)]
     rows += [(10 + i, f"{wide} {wide}", lang, source) for i, (lang, source) in enumerate((("en", "a"), ("en", "b"), ("en", "c"), ("fr", "c")))]  # three owners, four repositories: an example
     rows += [(20 + i, part, "en", source) for i, source in enumerate("abc")]  # three owners, three repositories: not yet
