@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, conversations, jaccard, mixing, neighbors, packing, rules, secrets, sharding, substring, token_counts, whitening
+from . import classifier, conversations, jaccard, mixing, neighbors, packing, personal, rules, secrets, sharding, substring, token_counts, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op9_token_counts": token_counts.query,
         "op10_substring_dedup": substring.query,
         "op11_embedding_whitening": whitening.query,
+        "op12_personal_data": personal.query,
         "op13_conversation_trie": conversations.query,
     }
 
