@@ -6,8 +6,6 @@ result as Parquet in the shared folder and gives it to the next stage.
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,36 +17,16 @@ from lodestone.llm.shared import drop_tables, stored, tables_made
 TARGETS, GROWTH = {"clean": 0.80, "poor": 0.12, "toxic": 0.08}, 1.2
 
 
-_left: list[str] = []
-
-
-def _stage(f):
-    """The stage, which first removes the tables of the one before it: that one's result has been written and is this one's docs."""
-
-    @functools.wraps(f)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_tables(spark, _left)
-        with tables_made() as made:
-            out = f(spark, docs, sf_dir)
-        _left[:] = made
-        return out
-
-    return run
-
-
-@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or whose lines are mostly boilerplate, go."""
     return rules.keep(docs, rules.train(docs, rules.labels_of(spark, sf_dir)))
 
 
-@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one row stays: the smallest by id, nulls last, then by text."""
     return jaccard.first_of_groups(docs)
 
 
-@_stage
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; n_chars follows the text."""
     out = secrets.redact(docs)
@@ -62,14 +40,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> tuple[DataFrame,
     return mixing.mix(docs, labelled, TARGETS, total=GROWTH, keep="clean", nested=True)
 
 
-@_stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document in as many copies as its rate towards TARGETS gives; none of a domain over its target is possible."""
     rows, _ = mixed(spark, docs, sf_dir)
     return rows.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
-@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of 2048 tokens: one row for each piece."""
     return packing.pack(docs)
@@ -88,10 +64,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces of all documents of sf_dir, through all stages."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The packed pieces of all documents of sf_dir, through all stages.
+
+    Once a stage's result is written, what this run wrote before it goes; the
+    tables behind the last stage's result stay, as it is read when it is used.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{i}")
+        with tables_made() as made:
+            docs = stage(spark, docs, sf_dir)
+            if i < len(STAGES) - 1:
+                docs = stored(docs, f"stage-{i}")
+                drop_tables(spark, before + made[:-1])
+                before = made[-1:]
     return docs
