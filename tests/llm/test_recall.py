@@ -5,6 +5,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+import corpus_pipeline
 from lodestone.llm import classifier, neighbors
 
 
@@ -55,3 +56,16 @@ def test_links_of_clustered_groups(spark, tmp_path, clusters, share):
     passes = neighbors.passes_of(x[::78], mean, n, 0.93, window)
     print(f"{clusters} clusters, share {share}: {kept} of {len(links)} links, {passes} passes by the sample")
     assert len(links) >= k / 2 and kept >= 0.97 * len(links)
+
+
+def test_results_of_two_runs_stay(spark):
+    folder = "/root/testdata/sf0.001"
+    one = corpus_pipeline.run(spark, folder)
+    n = one.count()
+    two = corpus_pipeline.run(spark, folder)
+    assert [two.count(), one.count(), two.count(), one.count()] == [n] * 4 and n > 0
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = [corpus_pipeline.secret_scan(spark, docs, folder), corpus_pipeline.packed(spark, docs, folder)]
+    counts = [d.count() for d in kept]
+    again = [corpus_pipeline.secret_scan(spark, docs, folder), corpus_pipeline.packed(spark, docs, folder)]
+    assert [d.count() for d in again] == counts == [d.count() for d in kept]
