@@ -15,6 +15,7 @@ from ..operators import chunking as C
 from ..operators import gold as G
 from ..operators import quality as Q
 from ..operators import retrieval as R
+from ..operators import token_chunks as K
 from ..operators import vectors as V
 from ..sources.tables import parquet
 
@@ -223,7 +224,14 @@ def token_windows(spark, d):
 
 @register()
 def chunk_pipeline(spark, d):
-    return C.chunks(_docs(spark, d), cues=CUES)
+    return K.chunks(_docs(spark, d), cues=CUES)
+
+
+@register()
+def token_chunk_pipeline(spark, d):
+    import public_tokenizers
+
+    return K.chunks(_docs(spark, d), cues=CUES, section_col="lang", tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @register(f"SELECT doc_id, CAST({WORDS.format('text')} AS INT) AS n_words, CAST(floor({WORDS.format('text')} / 0.75) AS INT) AS chunk_tokens, CAST(round_even({WORDS.format('text')} * 1.33, 0) AS INT) AS query_tokens FROM documents")
