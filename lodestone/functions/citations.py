@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 # Number clusters, an author after a leading dash, what makes a parenthesis a citation, inline citations and tails, each in order.
@@ -38,8 +39,14 @@ TAIL_EDGE = " ,;.:–-"
 _CLUSTERS = [re.compile(p) for p in NUMBER_CLUSTERS]
 _AUTHOR, _HINT, _SPACES = re.compile(LEADING_AUTHOR), re.compile(PAREN_HINT, re.I), re.compile(r"\s{2,}")
 _INLINE, _TAILS = [re.compile(p, re.I) for p in INLINE], [re.compile(p) for p in TAILS]
-_NAMED, _JOURNAL = 5, 6  # places in INLINE of words before a year and of a journal before four digits
-_AUTHORS, _PAREN = 0, 5  # places in TAILS of authors before a year and of a parenthesis at the end
+_NAMED, _JOURNAL, _LISTED = 5, 6, 7  # places in INLINE of words before a year, of a journal before four digits and of a list with pages
+_AUTHORS, _LIST, _PAREN, _PAGES = 0, 4, 5, 7  # places in TAILS of authors before a year and of what has to end the text
+_LIST_HEAD = re.compile(r"\bReferences?:(?=(\s+[A-Z]))", re.I)
+_LIST_JOURNAL = re.compile(rf"\b(?:{'|'.join(JOURNALS)})\b", re.I)
+_LIST_REACH = 160
+_RANGE = re.compile(r"(?=\d{1,4}[-–]\d{1,4})")
+_LAST_RANGE = re.compile(r"\d{1,4}[-–]\d{1,4}\.?$")
+_PAGES_HEAD = re.compile(r"\b[A-Z][a-z]{2,}\s(?:Opin|Orthop|Rheum|Neurol|Otol|Med|Ther)\b")
 _TAIL_YEAR = re.compile(r"(?:19|20)\d{2}")
 _MARK = re.compile(r"(?:doi|pmc?id)\s*[:=]|\d{4}|References?:", re.I)
 _YEAR, _FOUR = re.compile(r"(?=(?:19|20)\d{2})"), re.compile(r"(?<!\d)(?=\d{4})")
@@ -94,12 +101,31 @@ def _journal_starts(text: str, back: str) -> Iterator[tuple[int, int]]:
             yield name.start(), m.start() + 4
 
 
+def _listed_starts(text: str) -> Iterator[tuple[int, int]]:
+    """(where a reference list begins that names a journal nearby and then, without a full stop between, pages; where the pages begin)."""
+    heads = list(_LIST_HEAD.finditer(text))
+    if not heads:
+        return
+    ranges, stops = [m.start() for m in _RANGE.finditer(text)], [m.start() for m in re.finditer(r"\.", text)]
+    for m in heads:
+        most = m.end(1) + _LIST_REACH
+        line = text.find("\n", m.end(1), most)
+        most = most if line < 0 else line
+        for j in _LIST_JOURNAL.finditer(text, m.end(1), min(len(text), most + 8)):
+            if j.start() > most:
+                break
+            r, stop = bisect_left(ranges, j.end()), bisect_left(stops, j.end())
+            if r < len(ranges) and (stop == len(stops) or ranges[r] < stops[stop]):
+                yield m.start(), ranges[r]
+                break
+
+
 def _without_inline(text: str) -> str:
     if not _MARK.search(text):
         return text
     back = text[::-1]
-    found = {_NAMED: list(_named_starts(text, back)), _JOURNAL: list(_journal_starts(text, back))}
-    place = {_NAMED: 0, _JOURNAL: 0}
+    found = {_NAMED: list(_named_starts(text, back)), _JOURNAL: list(_journal_starts(text, back)), _LISTED: list(_listed_starts(text))}
+    place = dict.fromkeys(found, 0)
     ahead: dict[int, re.Match | None] = {}
     out, at = [], 0
 
@@ -146,10 +172,26 @@ def _last_paren(text: str) -> int | None:
     return len(text[:begin].rstrip())
 
 
+def _last_list(text: str) -> int | None:
+    """Where the word References stands in the last line."""
+    line = text.rfind("\n", 0, len(text) - text.endswith("\n")) + 1
+    m = re.compile(r"\bReferences\b").search(text, line)
+    return m.start() if m else None
+
+
+def _last_pages(text: str) -> int | None:
+    """Where a journal's name begins behind which, without a full stop, pages end the text."""
+    m = _LAST_RANGE.search(text, max(0, len(text) - 11))
+    if not m:
+        return None
+    dash = re.compile("[-–]").search(text, m.start()).start()
+    head = _PAGES_HEAD.search(text, text.rfind(".", 0, dash) + 1, dash)
+    return head.start() if head and head.end() < dash else None
+
+
 def _tail_start(text: str) -> int | None:
-    starts = [m.start() for k, p in enumerate(_TAILS) if k not in (_AUTHORS, _PAREN) and (m := p.search(text))]
-    if (paren := _last_paren(text)) is not None:
-        starts.append(paren)
+    starts = [m.start() for k, p in enumerate(_TAILS) if k not in (_AUTHORS, _LIST, _PAREN, _PAGES) and (m := p.search(text))]
+    starts += [at for f in (_last_paren, _last_list, _last_pages) if (at := f(text)) is not None]
     back = text[::-1]
     for m in _YEAR.finditer(text):
         found = _AUTHORS_BACK.match(back, len(text) - m.start())

@@ -37,7 +37,7 @@ LEFTOVERS = r"(?:Ã.|â.|Â.|√.|\ufffd|‚Ä.|â€¦|â€¢)+"
 LETTERS = (
     ("√¶", "ö"), ("√ö", "ö"), ("√õ", "ö"), ("√ñ", "Ñ"), ("√ò", "ò"), ("√ó", "ó"), ("√ú", "ú"), ("√ü", "ü"), ("√à", "à"), ("√á", "á"),
 )
-LAST_LETTERS = (("√", ""), ("Ä\ucb06", "Á"), ("Ä", "A"))
+LAST_LETTERS = (("√", ""), ("Ä쬆", "Á"), ("Ä", "A"))
 
 
 def text_of(c: Column) -> Column:
