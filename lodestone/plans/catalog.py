@@ -13,11 +13,12 @@ from ..functions import text as T
 from ..operators import articles as A
 from ..operators import chunking as C
 from ..operators import gold as G
+from ..operators import index as I
 from ..operators import quality as Q
 from ..operators import retrieval as R
 from ..operators import token_chunks as K
 from ..operators import vectors as V
-from ..sources.tables import parquet
+from ..sources.tables import parquet, work_folder
 
 SECTIONS = ("Treatment", "Case report", "Conclusion", "In summary", "Exercise plan", "Biomechanics", "Symptoms and pain", "Resting position", "Other", "Assessment")
 LEXICON = S.Lexicon(topics=(("the", "src1"), ("de", "src2"), ("re", "src3")), terms=("rest", "tion"))
@@ -57,6 +58,23 @@ def knn_batch(spark, d):
     return _hits(spark, d)
 
 
+@register(f"WITH {KNN} SELECT query_id, rank, id, dist FROM k")
+def index_search(spark, d):
+    e, path = parquet(spark, d, "embeddings"), work_folder(spark, "index")
+    I.build(e, path)
+    return I.Index(spark, path).search(e.where("vec_id % 100 = 0"))
+
+
+@register("""WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 1 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS v FROM embeddings WHERE vec_id % 7 <> 0),
+d AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_sum(list_transform(generate_series(1, len(c.v)), lambda i: (CAST(q.embedding[i] AS DOUBLE) - CAST(c.v[i] AS DOUBLE)) * (CAST(q.embedding[i] AS DOUBLE) - CAST(c.v[i] AS DOUBLE)))), 6) AS dist FROM embeddings q, e c WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank, id, dist FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS INT) AS rank FROM d) WHERE rank <= 10""")
+def index_upserts(spark, d):
+    e, path = parquet(spark, d, "embeddings"), work_folder(spark, "index")
+    I.build(e, path)
+    turned = e.where("vec_id % 7 = 1").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    return I.Index(spark, path).upsert(turned).remove(e.where("vec_id % 7 = 0")).search(e.where("vec_id % 100 = 0"), 10)
+
+
 @register(f"WITH {KNN} SELECT query_id, round(avg(1 - dist), 6) AS retrieval_confidence FROM k WHERE rank <= 5 GROUP BY query_id")
 def retrieval_confidence(spark, d):
     return R.confidence(_hits(spark, d))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +82,17 @@ def latest_version(spark: SparkSession, root: str) -> DataFrame:
     return rows.where(F.col("version") == newest).drop("version")
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that all machines share, as spark.checkpoint.dir names it; where that is unset, as in tests, in a temporary one that goes at exit."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        path = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        root = f"file://{path}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def table_or_none(spark: SparkSession, folder: str, *names: str) -> DataFrame | None:
     """The first of the named tables that Spark can open in a folder."""
     for n in names:
@@ -131,19 +147,3 @@ def open_index(spark: SparkSession, path: str, docs: DataFrame, vectors: DataFra
     except AnalysisException:
         create_index(docs, vectors, path, id_col, text_col)
         return spark.read.parquet(path)
-
-
-def npy_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(file, row, vec) of two-dimensional NPY matrices, one file to a task."""
-    import io
-
-    import numpy as np
-    import pyarrow as pa
-
-    def run(batches):
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                x = np.load(io.BytesIO(content.as_py()), allow_pickle=False).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(x)), pa.array(np.arange(len(x))), pa.array(list(x), pa.list_(pa.float32()))], names=["file", "row", "vec"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, row bigint, vec array<float>")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import chunking as C
 from lodestone.operators import gold as G
 from lodestone.operators import vectors as V
-from lodestone.sources import tables
+from lodestone.sources import npy, tables
 
 
 @pytest.mark.parametrize("metric", ["l2sq", "cosine"])
@@ -65,7 +65,7 @@ def test_index_and_matrices(spark, tmp_path):
     assert [(r.id, r.embedding) for r in tables.open_index(spark, path, docs, vectors, "doc_id", "text").collect()] == [("1", [1.0])]
     assert tables.create_index(docs, vectors, path, "doc_id", "text", overwrite=True) == 1
     np.save(tmp_path / "m.npy", np.arange(6, dtype=np.float64).reshape(3, 2))
-    assert {(r.row, tuple(r.vec)) for r in tables.npy_rows(spark, str(tmp_path / "m.npy")).collect()} == {(0, (0.0, 1.0)), (1, (2.0, 3.0)), (2, (4.0, 5.0))}
+    assert {(r.row, tuple(r.vec)) for r in npy.read(spark, str(tmp_path / "m.npy")).collect()} == {(0, (0.0, 1.0)), (1, (2.0, 3.0)), (2, (4.0, 5.0))}
 
 
 def test_topics_and_dangling_ids(spark):
