@@ -14,6 +14,7 @@ from ..operators import articles as A
 from ..operators import chunking as C
 from ..operators import gold as G
 from ..operators import index as I
+from ..operators import positions as P
 from ..operators import quality as Q
 from ..operators import retrieval as R
 from ..operators import token_chunks as K
@@ -335,6 +336,20 @@ def vector_diff(spark, d):
     return V.difference(e, turned, "vec_id")
 
 
+@register("""WITH d AS (SELECT row_number() OVER () - 1 AS position, doc_id, lang FROM documents), e AS (SELECT row_number() OVER () - 1 AS position, vec_id, label FROM embeddings)
+SELECT position, doc_id, lang, vec_id, label FROM d JOIN e USING (position)""")
+def positional_join(spark, d):
+    docs, vectors = (P.parquet_rows(spark, f"{d}/{t}.parquet") for t in ("documents", "embeddings"))
+    return P.joined(docs.select("position", "doc_id", "lang"), vectors.select("position", "vec_id", "label"), policy="truncate")
+
+
+@register("""WITH d AS (SELECT row_number() OVER () - 1 AS position, doc_id FROM documents), l AS (SELECT row_number() OVER () - 1 AS position, doc_id AS labelled FROM labels), b AS (SELECT * FROM d FULL JOIN l USING (position))
+SELECT count(*) AS rows, count(*) FILTER (doc_id = labelled) AS matched, count(*) FILTER (labelled IS NULL) AS left_only, count(*) FILTER (doc_id IS NULL) AS right_only, min(position) FILTER (doc_id <> labelled) AS first_mismatch FROM b""")
+def position_mismatches(spark, d):
+    docs, labels = (P.parquet_rows(spark, f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    return P.mismatches(docs, labels, "doc_id", "doc_id")
+
+
 @register("SELECT count(*) FILTER (d.doc_id IS NOT NULL AND e.vec_id IS NOT NULL) AS matched, count(*) FILTER (e.vec_id IS NULL) AS rows_without_vector, count(*) FILTER (d.doc_id IS NULL) AS vectors_without_row FROM documents d FULL JOIN embeddings e ON e.vec_id = d.doc_id")
 def alignment_check(spark, d):
     return V.alignment(_docs(spark, d), parquet(spark, d, "embeddings"), "doc_id", "vec_id")
