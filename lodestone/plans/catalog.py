@@ -11,6 +11,7 @@ from ..functions import html as H
 from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import articles as A
+from ..operators import borders as B
 from ..operators import chunking as C
 from ..operators import gold as G
 from ..operators import index as I
@@ -223,6 +224,49 @@ def sentences(spark, d):
     return _docs(spark, d).select("doc_id", F.size(s).alias("n_sentences"), F.array_join(s, "|").alias("sentences"))
 
 
+#: The counts of types, what they score, and the words that begin sentences, over one list of tokens.
+LEARNED = rf"""tok AS (SELECT grp, doc_id, i, lower(CASE WHEN regexp_matches(bare, '[^.]\.$') THEN left(bare, -1) ELSE bare END) AS type, regexp_matches(bare, '[^.]\.$') AS stop
+  FROM (SELECT coalesce(lang, '') AS grp, doc_id, i, regexp_replace(regexp_replace(w[i], '{B.OPENING.replace("'", "''")}', ''), '{B.CLOSING.replace("'", "''")}', '') AS bare FROM (SELECT doc_id, lang, {SPLIT.format('text')} AS w FROM documents), unnest(generate_series(1, len(w))) AS g(i))),
+kinds AS (SELECT grp, type, count(*) FILTER (stop) AS with_stop, count(*) FILTER (NOT stop) AS without FROM tok GROUP BY ALL),
+totals AS (SELECT grp, sum(with_stop) AS stops, sum(with_stop + without) AS total FROM kinds GROUP BY grp),
+parts AS (SELECT *, length(type) - length(replace(type, '.', '')) AS dots, stops / total AS p FROM kinds JOIN totals USING (grp)),
+scored AS (SELECT *, regexp_matches(type, '\pL') AND with_stop > 0 AND round(2 * (with_stop * ln(0.99) + without * ln(0.01) - CASE WHEN with_stop > 0 THEN with_stop * ln(p) ELSE 0 END - CASE WHEN without > 0 THEN without * ln(1 - p) ELSE 0 END)
+  * exp(-(length(type) - dots)) * (dots + 1) * pow(greatest(length(type) - dots, 1), -without), 6) >= {B.ABBREVIATION} AS abbreviation FROM parts),
+starts AS (SELECT b.grp, b.type, count(*) AS starts FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.i = a.i + 1 JOIN scored s ON s.grp = a.grp AND s.type = a.type WHERE a.stop AND NOT s.abbreviation GROUP BY ALL),
+breaks AS (SELECT grp, sum(starts) AS breaks FROM starts GROUP BY grp),
+told AS (SELECT s.*, coalesce(starts, 0) AS starts, coalesce(breaks, 0) AS breaks, with_stop + without AS n FROM scored s LEFT JOIN starts USING (grp, type) LEFT JOIN breaks USING (grp)),
+ratios AS (SELECT *, n / total AS q, starts / nullif(breaks, 0) AS q1, (n - starts) / greatest(total - breaks, 1) AS q2 FROM told),
+known AS (SELECT grp, type, with_stop, without, abbreviation, starts, coalesce(NOT abbreviation AND regexp_matches(type, '\pL') AND starts > 0 AND starts * total > n * breaks AND round(2 * (
+  starts * ln(q1) + CASE WHEN breaks > starts THEN (breaks - starts) * ln(1 - q1) ELSE 0 END + CASE WHEN n > starts THEN (n - starts) * ln(q2) ELSE 0 END + CASE WHEN total - breaks - n + starts > 0 THEN (total - breaks - n + starts) * ln(1 - q2) ELSE 0 END
+  - n * ln(q) - (total - n) * ln(1 - q)), 6) >= {B.STARTER}, false) AS starter FROM ratios)"""
+
+
+@register(f"WITH {LEARNED} SELECT grp, type, with_stop, without, abbreviation, starts, starter FROM known WHERE abbreviation OR starter")
+def learned_borders(spark, d):
+    return B.learned(_docs(spark, d), group_col="lang")
+
+
+def _bare_sql(word: str) -> str:
+    opening, closing = (p.replace("'", "''") for p in (B.OPENING, B.CLOSING))
+    return f"regexp_replace(regexp_replace({word}, '{opening}', ''), '{closing}', '')"
+
+
+LAST_WORD, FIRST_WORD = (_bare_sql(rf"regexp_extract(s[i], '{p}')") for p in (r"[^ \t\n\r\f\x0B]+$", r"^[^ \t\n\r\f\x0B]+"))
+
+
+@register(rf"""WITH {LEARNED},
+s AS (SELECT doc_id, coalesce(lang, '') AS grp, {SENTENCES.format('text')} AS s FROM documents),
+e AS (SELECT doc_id, grp, i, s[i] AS s, {LAST_WORD} AS last, {FIRST_WORD} AS first FROM s, unnest(generate_series(1, len(s))) AS g(i)),
+f AS (SELECT doc_id, grp, i, s, CASE WHEN regexp_matches(last, '[^.]\.$') THEN lower(left(last, -1)) END AS last, lower(CASE WHEN regexp_matches(first, '[^.]\.$') THEN left(first, -1) ELSE first END) AS first FROM e),
+j AS (SELECT f.*, coalesce(a.abbreviation, false) OR coalesce(regexp_matches(last, '^\pL$'), false) AS held, coalesce(b.starter, false) AS starts FROM f LEFT JOIN known a ON a.grp = f.grp AND a.type = f.last LEFT JOIN known b ON b.grp = f.grp AND b.type = f.first),
+n AS (SELECT *, CASE WHEN starts OR NOT coalesce(lag(held) OVER (PARTITION BY doc_id ORDER BY i), false) THEN 1 ELSE 0 END AS new FROM j),
+k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM n)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) - 1 AS INT) AS pos, string_agg(s, ' ' ORDER BY i) AS sentence FROM k GROUP BY doc_id, nth""")
+def learned_sentences(spark, d):
+    docs = _docs(spark, d)
+    return B.sentences(docs, B.learned(docs, group_col="lang"), group_col="lang")
+
+
 @register()
 def causal_groups(spark, d):
     g = C.causal_groups(T.sentences(F.col("text")), CUES)
