@@ -21,6 +21,7 @@ from ..operators import retrieval as R
 from ..operators import token_chunks as K
 from ..operators import vectors as V
 from ..sources.tables import parquet, work_folder
+from ..streaming.edit_log import EditLog
 
 SECTIONS = ("Treatment", "Case report", "Conclusion", "In summary", "Exercise plan", "Biomechanics", "Symptoms and pain", "Resting position", "Other", "Assessment")
 LEXICON = S.Lexicon(topics=(("the", "src1"), ("de", "src2"), ("re", "src3")), terms=("rest", "tion"))
@@ -404,6 +405,15 @@ def edit_log_lww(spark, d):
     return G.last_edits(parquet(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"]).select(F.col("user_id").alias("id"), F.col("event_type").alias("topic"), "event_id")
 
 
+@register("SELECT id, topic, event_id FROM (SELECT user_id AS id, event_type AS topic, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND topic <> 'error'")
+def edit_log_state(spark, d):
+    rows = parquet(spark, d, "events").select(F.col("user_id").alias("id"), "ts", "event_id", F.col("event_type").alias("topic"), (F.col("event_type") == "error").alias("gone"))
+    log = EditLog(spark, work_folder(spark, "edits"), "id long, ts timestamp, event_id long, topic string, gone boolean", order=("ts", "event_id"), deleted="gone", every=2)
+    for n, part in enumerate((2, 0, 3, 1, 4)):  # in any order: many of a batch's records are late
+        log.add(rows.where(F.pmod(F.xxhash64("event_id"), F.lit(5)) == part), n)
+    return log.current().select("id", "topic", "event_id")
+
+
 @register("SELECT b.item_id AS id, b.text AS question, coalesce(e.event_type, 'none') AS topic FROM benchmark b LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) e ON e.user_id = b.item_id AND e.n = 1")
 def gold_merge(spark, d):
     gold = parquet(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"), F.lit("none").alias("topic"))
