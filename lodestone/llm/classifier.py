@@ -114,9 +114,9 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     Whole texts go into a dictionary, as long as they have dictionary_bytes
     together. Calibration is logistic, on the whole texts' normalised
     compressed-size differences and on nothing else, weighted to the labels' own
-    shares. Without rows of one label the scores are 0.5.
+    shares. Without rows of one label the scores are 0.5. Of an id's different labels the least counts.
     """
-    known = labelled.where(F.col("label").isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, F.col("label").cast("int").alias("label")).dropDuplicates([id_col])
+    known = labelled.where(F.col("label").isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(F.col("label").cast("int")).alias("label"))
     share = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     if len(share) < 2:
         return Model(b"\n" * 8, b"\n" * 8, *_UNFIT)

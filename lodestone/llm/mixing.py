@@ -40,9 +40,9 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
 
     Only labels of rows in docs count: a domain none of whose texts is there, or
     has a word, is no domain. Rows without a domain are left out; without any,
-    there is one domain "all".
+    there is one domain "all". Of an id's different domains the first by name counts.
     """
-    named = labelled.where(F.col("domain").isNotNull() & F.col(id_col).isNotNull()).select(id_col, "domain").dropDuplicates([id_col])
+    named = labelled.where(F.col("domain").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("domain").alias("domain"))
     sample = named.join(docs.select(id_col), id_col, "left_semi").orderBy(F.xxhash64(id_col), id_col).limit(rows)
     texts = docs.select(id_col, text_col).join(F.broadcast(sample), id_col)  # `rows` rows at most
     counts: dict[str, dict[int, int]] = {}

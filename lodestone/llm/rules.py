@@ -223,9 +223,9 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, lines: int = TRAIN_LINES) -> Chain:
     """A chain from labelled(id, label 0/1): whole texts of at most `rows` rows of each label, in the order of a hash of the id, as long as they have `lines` lines together.
 
-    The first text of a label counts whatever its length. Without rows of both labels every line is content.
+    The first text of a label counts whatever its length. Without rows of both labels every line is content. Of an id's different labels the least counts.
     """
-    known = labelled.where(F.col("label").isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, F.col("label").cast("int").alias("label")).dropDuplicates([id_col])
+    known = labelled.where(F.col("label").isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(F.col("label").cast("int")).alias("label"))
     one = lambda y: known.where(F.col("label") == y).orderBy(F.xxhash64(id_col), id_col).limit(rows)
     texts = docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(F.broadcast(one(0).union(one(1))), id_col).select("label", F.xxhash64(id_col).alias("h"), "text")  # 2 * rows ids at most
     got, used = [], {0: 0, 1: 0}

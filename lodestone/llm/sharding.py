@@ -12,9 +12,20 @@ from .shared import stored
 SLOTS, SHARDS, ROW_BYTES = 8192, 40, 16
 
 
-def slot_of(id_col: Column, text_col: Column, slots: int = SLOTS) -> Column:
-    """A row's slot, from its id and its text, so that an id in many rows fills no slot of its own."""
-    return F.pmod(F.xxhash64(id_col, text_col), F.lit(slots)).cast("int")
+#: A row that is there more than once is dealt copy by copy if it has more than one in so many of a slot's share of all rows.
+SHARE = 4
+
+
+def dealt(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """rows(key, at, ...), where key is a hash of id and text, with their virtual slot: by key, so that an id in many rows fills no slot of its own.
+
+    Rows equal in id and text that would fill one are dealt by their place `at`;
+    there are fewer than SHARE * slots such keys, which bounds the broadcast.
+    """
+    total = rows.count()
+    many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > 1) & (F.col("_n") * SHARE * slots > total)).select("key", F.lit(True).alias("_many"))
+    place = F.when(F.col("_many"), F.xxhash64("key", "at")).otherwise(F.col("key"))
+    return rows.join(F.broadcast(many), "key", "left").withColumn("virtual_slot", F.pmod(place, F.lit(slots)).cast("int")).drop("_many", "key", "at")
 
 
 def rebalanced(shard_of: list[int], sizes: list[int], shards: int) -> list[int]:
@@ -90,13 +101,13 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     Null text has no bytes but the row's own; a null id goes by its text. Equal
     texts under different ids are rows like any others and can go to different
     shards: sizes near equal is the law, and a group of copies may hold a third of
-    all bytes. Only rows equal in id and text share a slot. Other columns are ignored. Empty table:
-    empty result and an even map.
+    all bytes. Rows equal in id and text share a slot, or are spread where they would
+    fill it (`dealt`). Other columns are ignored. Empty table: empty result and an even map.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     ident = F.col(id_col).cast("bigint")
-    rows = docs.select(ident.alias("doc_id"), (F.octet_length(text) + ROW_BYTES).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), slot_of(ident, text, slots).alias("virtual_slot"))
-    rows = stored(rows, "sized")
+    rows = docs.select(ident.alias("doc_id"), (F.octet_length(text) + ROW_BYTES).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(ident, text).alias("key"), F.monotonically_increasing_id().alias("at"))
+    rows = stored(dealt(stored(rows, "keyed"), slots), "sized")
     sums = stored(rows.groupBy(F.col("virtual_slot").alias("slot")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "slot-bytes")
     maps = slot_map(docs.sparkSession, sums, shards, slots, earlier)
     newest = maps.join(maps.agg(F.max("version").alias("version")), "version")
