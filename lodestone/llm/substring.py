@@ -265,7 +265,13 @@ def _owners(part_bits: int):
     return run
 
 
-_KEPT = "doc_id bigint, n_words bigint, n_removed bigint, repeats array<struct<start: int, end: int>>, kept string"
+_KEPT = "doc_id bigint, n_words bigint, n_removed bigint, repeats array<struct<start: int, end: int>>, stretches array<struct<start: int, end: int>>, kept string"
+
+
+def _runs(at: np.ndarray, window: int, gap: int) -> list[tuple[int, int]]:
+    """(start, end) in words of windows that begin at most `gap` apart."""
+    far = np.flatnonzero(np.diff(at) > gap)
+    return list(zip(at[np.append(0, far + 1)].tolist(), (at[np.append(far, len(at) - 1)] + window).tolist()))
 
 
 def _kept(window: int):
@@ -282,28 +288,26 @@ def _kept(window: int):
             of_row = _row_code(*(table.column(c).combine_chunks().to_numpy() for c in ("id", "key")))
             lows, highs = np.searchsorted(code, of_row), np.searchsorted(code, of_row, "right")
             for doc_id, text, lo, hi in zip(table.column("doc_id").to_pylist(), table.column("text"), lows.tolist(), highs.tolist()):
-                w, runs = (text.as_py() or b"").split(), []
+                w, runs, stretches = (text.as_py() or b"").split(), [], []
                 kept = w
                 if hi > lo:
                     at = np.unique(p[lo:hi].astype(np.int64))
-                    far = np.flatnonzero(np.diff(at) > window)
-                    starts, ends = at[np.append(0, far + 1)], at[np.append(far, len(at) - 1)] + window
-                    runs = [{"start": s, "end": e} for s, e in zip(starts.tolist(), ends.tolist())]
+                    runs, stretches = ([{"start": s, "end": e} for s, e in _runs(at, window, gap)] for gap in (window, 1))
                     kept, begin = [], 0
                     for r in runs:
                         kept += w[begin : r["start"]]
                         begin = r["end"]
                     kept += w[begin:]
-                out.append((doc_id, len(w), len(w) - len(kept), runs, b" ".join(kept).decode()))
-        cols = list(zip(*out)) or [[]] * 5
+                out.append((doc_id, len(w), len(w) - len(kept), runs, stretches, b" ".join(kept).decode()))
+        cols = list(zip(*out)) or [[]] * 6
         run_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 3, run_type, pa.string()))], names=["doc_id", "n_words", "n_removed", "repeats", "kept"])
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 3, run_type, run_type, pa.string()))], names=["doc_id", "n_words", "n_removed", "repeats", "stretches", "kept"])
 
     return run
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_removed, repeats, kept): each text without the words that lie in a window of `window` words which a document with a smaller id also has.
+    """(doc_id, n_words, n_removed, repeats, stretches, kept): each text without the words that lie in a window of `window` words which a document with a smaller id also has.
 
     Reference blocks are the non-overlapping runs of `block` = (window + 1) // 2
     words of every text, so each window of any text holds a whole one at some
@@ -311,7 +315,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reference block that equals another window. Hits go back to the part of the
     documents that they come from, and are extended there to all windows around
     them; these are compared by the hash of all their words. The union of a text's
-    equal windows are its maximal exact repeats, `repeats` in words.
+    equal windows are its `repeats`, in words; `stretches` are the maximal ones in which
+    every window recurs earlier: two that overlap or touch stay two there, as no
+    window over their border recurs.
 
     Documents travel packed and compressed, dealt by a hash of id and text, in
     parts whose number grows with the bytes; probes as sorted hash fragments, one

@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from lodestone.llm import classifier, mixing, rules, sharding
+from lodestone.llm import classifier, mixing, rules, sharding, substring
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, at int, virtual_slot int, shard int"
 
@@ -44,3 +44,16 @@ def test_the_least_of_different_labels_counts(spark):
     a = mixing.train(docs, named([(i, "ab"[y]) for i, y in once]))
     b = mixing.train(docs, named([(i, "ab"[y]) for i, y in once] + [(i, "b") for i in range(0, 80, 2)]).repartition(5))
     assert str(a) == str(b)
+
+
+def test_repeats_end_where_a_window_does_not_recur(spark):
+    word = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    a, b = word("a", 20), word("b", 15)
+    rows = [(1, a), (2, f"{word('x', 4)} {b} {word('y', 3)}"), (3, f"{a} {b} end"), (4, f"{word('z', 2)} {a} of {b}"), (5, f"{word('a', 16)} b3 b4")]
+    got = {r.doc_id: r for r in substring.substring_dedup(table(spark, rows)).collect()}
+    assert {i: [(x.start, x.end) for x in r.stretches] for i, r in got.items()} == {1: [], 2: [], 3: [(0, 20), (20, 35)], 4: [(2, 22), (23, 38)], 5: [(0, 16)]}
+    assert got[3].kept == "end" and got[4].kept == "z0 z1 of" and got[5].kept == "b3 b4" and got[3].n_removed == 35
+    assert [(x.start, x.end) for x in got[3].repeats] == [(0, 35)]  # their union
+    over = [(1, word("c", 20)), (2, f"c17 c18 c19 {word('d', 20)}"), (3, f"{word('c', 20)} {word('d', 20)}")]
+    got = {r.doc_id: r for r in substring.substring_dedup(table(spark, over)).collect()}
+    assert [(x.start, x.end) for x in got[3].stretches] == [(0, 20), (17, 40)] and got[3].n_removed == 40
