@@ -41,6 +41,11 @@ def page(gold: DataFrame, order: list[str], size: int = 50, number: int = 1) ->
     return gold.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
 
 
+def of_article(chunks: DataFrame, source_col: str, source: str, order: list[str]) -> DataFrame:
+    """One article's chunks in order; rows of no source belong to none."""
+    return chunks.where(F.col(source_col) == source).orderBy(*order)
+
+
 def added(existing: Column, new: Column) -> Column:
     return F.array_union(existing, new)
 

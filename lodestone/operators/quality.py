@@ -65,6 +65,29 @@ def empty_texts(rows: DataFrame, text_col: str) -> DataFrame:
     return rows.where(T.sanitized(F.col(text_col)) == "[EMPTY]")
 
 
+def empty_count(rows: DataFrame, text_col: str) -> DataFrame:
+    """(rows, empty): how many there are, and how many texts count as empty."""
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(T.sanitized(F.col(text_col)) == "[EMPTY]").alias("empty"))
+
+
+def facet_values(rows: DataFrame, columns: list[str], with_empty: tuple[str, ...] = ()) -> DataFrame:
+    """(facet, value): each column's different values in order; blank ones only of the columns in with_empty, where a null is one."""
+    each = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("facet"), T.text_of(F.col(c)).alias("value")) for c in columns])).alias("x")).select("x.*")
+    return each.where((F.trim("value") != "") | F.col("facet").isin(list(with_empty))).distinct().orderBy("facet", "value")
+
+
+def odd_head(rows: DataFrame, text_col: str, order: list[str], n: int = 25) -> DataFrame:
+    """The first n rows, by `order`, whose text begins with number debris: a look at what a filter would take."""
+    return rows.where(T.looks_odd(F.col(text_col))).orderBy(*order).limit(n)
+
+
+def preview(rows: DataFrame, order: list[str], width: int = 120) -> DataFrame:
+    """(name, value) of the first row by `order`, one row a column, values cut to a width; null for nulls."""
+    first = rows.orderBy(*order).limit(1)
+    cells = [F.struct(F.lit(c).alias("name"), F.substring(F.col(c).cast("string"), 1, width).alias("value")) for c in rows.columns]
+    return first.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+
+
 def chunk_view(rows: DataFrame, id_col: str, section_col: str, source_col: str, index_col: str) -> DataFrame:
     """(chunk_id, section, source, text, n_words, idx): the first of the columns embed_text and text, nulls as "", the index as a whole number or -1."""
     text = next(c for c in ("embed_text", "text") if c in rows.columns)

@@ -437,6 +437,36 @@ def facets(spark, d):
     return _docs(spark, d).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("SELECT DISTINCT * FROM (SELECT 'lang' AS facet, coalesce(lang, '') AS value FROM documents WHERE trim(coalesce(lang, '')) <> '' UNION ALL SELECT 'source', coalesce(source, '') FROM documents) ORDER BY ALL")
+def facet_values(spark, d):
+    return Q.facet_values(_docs(spark, d), ["lang", "source"], with_empty=("source",))
+
+
+@register("SELECT count(*) AS rows, count(*) FILTER (lower(trim(coalesce(text, ''))) IN ('', 'none', 'nan', 'null', '[]', '{}')) AS empty FROM documents")
+def empty_count(spark, d):
+    return Q.empty_count(_docs(spark, d), "text")
+
+
+@register(rf"SELECT doc_id, source, lang FROM documents WHERE regexp_matches(substr(trim(text), 1, 80), '{T.ODD_NUMBERS}') ORDER BY doc_id LIMIT 25")
+def odd_head(spark, d):
+    return Q.odd_head(_docs(spark, d), "text", ["doc_id"]).select("doc_id", "source", "lang")
+
+
+@register("SELECT unnest(['doc_id', 'text', 'lang', 'source', 'n_chars']) AS name, unnest([CAST(doc_id AS VARCHAR), substr(text, 1, 120), lang, source, CAST(n_chars AS VARCHAR)]) AS value FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 1)")
+def first_row(spark, d):
+    return Q.preview(_docs(spark, d), ["doc_id"])
+
+
+@register("SELECT doc_id, n_chars FROM documents WHERE source = 'src1' ORDER BY n_chars, doc_id")
+def article_chunks(spark, d):
+    return G.of_article(_docs(spark, d), "source", "src1", ["n_chars", "doc_id"]).select("doc_id", "n_chars")
+
+
+@register("WITH a AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS u, CAST(embedding AS DOUBLE[])[2:] || [CAST(embedding[1] AS DOUBLE)] AS v FROM embeddings), c AS (SELECT vec_id, list_dot_product(u, v) / (sqrt(list_dot_product(u, u)) * sqrt(list_dot_product(v, v))) AS c FROM a) SELECT vec_id, round(c, 6) AS cos_sim, round(sqrt(greatest(2 - 2 * c, 0)), 4) AS l2_dist FROM c ORDER BY 2, 1")
+def diff_sorted(spark, d):
+    return vector_diff(spark, d).orderBy("cos_sim", "vec_id")
+
+
 @register(r"SELECT page_id, NOT regexp_matches(url, '(?i)/(feed|wp-admin|wp-includes|wp-content)/') AS wanted, contains(lower(substr(html, 1, 1024)), '<html') OR contains(lower(substr(html, 1, 1024)), '<!doctype html') AS is_html FROM pages")
 def page_discovery(spark, d):
     return parquet(spark, d, "pages").select("page_id", (~F.col("url").rlike(H.SKIPPED_PATHS)).alias("wanted"), H.sniffed(F.col("html")).alias("is_html"))

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+from .paths import exists
+
+
 def parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -34,6 +37,9 @@ def tolerant_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFram
 
 
 def strict_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of which one that can't be read fails the job; blank lines are none, and a missing file has none."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
