@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import charsets
 from ..functions import html as H
 from ..functions import scoring as S
 from ..functions import text as T
@@ -359,6 +360,25 @@ def mojibake_repaired(spark, d):
     return _docs(spark, d).select("doc_id", T.repaired(F.col("text")).alias("text"))
 
 
+@register("SELECT doc_id, text AS sound, text AS damaged FROM documents")
+def texts_redecoded(spark, d):
+    """Texts as they are, and after their UTF-8 was twice read as Latin-1."""
+    twice = F.col("text")
+    for _ in range(2):
+        twice = F.decode(F.encode(twice, "UTF-8"), "ISO-8859-1")
+    return _docs(spark, d).select("doc_id", charsets.redecoded_text(F.col("text")).alias("sound"), charsets.redecoded_text(twice).alias("damaged"))
+
+
+@register("SELECT page_id, sha256(html) AS digest FROM pages")
+def page_charsets(spark, d):
+    """Pages written in several charsets and read again by a guess; those that Latin-1 doesn't hold go as UTF-8 there."""
+    html = F.col("html")
+    latin = F.decode(F.encode(html, "UTF-8"), "UTF-8").rlike("^[\\x00-\\x7e\\xa0-\\xff]*$")
+    raw = F.when(F.col("page_id") % 4 == 0, F.encode(html, "UTF-16")).when(F.col("page_id") % 4 == 1, F.encode(html, "UTF-16LE"))
+    raw = raw.when((F.col("page_id") % 4 == 2) & latin, F.encode(F.when(latin, html), "ISO-8859-1")).otherwise(F.encode(html, "UTF-8"))
+    return parquet(spark, d, "pages").select("page_id", F.sha2(charsets.decoded(raw), 256).alias("digest"))
+
+
 @register("SELECT doc_id, CASE WHEN lower(trim(coalesce(text, ''))) IN ('', 'none', 'nan', 'null', '[]', '{}') THEN '[EMPTY]' ELSE trim(text) END AS text FROM documents")
 def sanitize_text(spark, d):
     return _docs(spark, d).select("doc_id", T.sanitized(F.col("text")).alias("text"))

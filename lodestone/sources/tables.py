@@ -49,12 +49,13 @@ def decoded(content: Column) -> Column:
     return F.when(F.is_valid_utf8(raw), F.regexp_replace(raw, "^\ufeff", "")).otherwise(F.decode(content, "ISO-8859-1"))
 
 
-def html_files(spark: SparkSession, root: str, pattern: str = "index*") -> DataFrame:
-    """(path, html) of the page files under a folder."""
+def html_files(spark: SparkSession, root: str, pattern: str = "index*", guess: bool = False) -> DataFrame:
+    """(path, html) of the page files under a folder; with guess, pages that are no UTF-8 are read in the charset that they seem to have."""
+    from ..functions import charsets
     from ..functions.html import SKIPPED_PATHS, sniffed
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    rows = files.where(~F.col("path").rlike(SKIPPED_PATHS)).select("path", decoded(F.col("content")).alias("html"))
+    rows = files.where(~F.col("path").rlike(SKIPPED_PATHS)).select("path", (charsets.decoded if guess else decoded)(F.col("content")).alias("html"))
     return rows.where(sniffed(F.col("html")))
 
 
