@@ -84,3 +84,20 @@ def test_heads_end_at_the_cap(path):
             head = measure.head(text, cap)
             assert text.startswith(head) and measure.measure([head])[0] <= cap
             assert head == text or measure.measure([text])[0] > cap
+
+
+def test_groups_and_caps_of_the_whole_table(spark):
+    import re
+
+    import __spark_entry__ as entry
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    cue = re.compile(r"\b(" + "|".join(catalog.CUES) + r")\b", re.IGNORECASE)
+    got: dict[int, list] = {}
+    for r in entry.queries()["causal_groups"](spark, SF).orderBy("doc_id", "pos").collect():
+        got.setdefault(r.doc_id, []).append(r.grp)
+    assert got == {i: g for i, t in texts.items() if (g := token_chunks._grouped(token_chunks.split_sentences(t), cue, 350))}
+    got = {}
+    for r in entry.queries()["hard_capped"](spark, SF).orderBy("doc_id", "pos").collect():
+        got.setdefault(r.doc_id, []).append(r.piece)
+    assert got == {i: p for i, t in texts.items() if (p := token_chunks.Cutter(token_chunks.WordRule()).capped(t, 128))}
