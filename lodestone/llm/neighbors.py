@@ -1,4 +1,4 @@
-"""Near duplicates among embeddings by sorted projection passes."""
+"""Near duplicates among embeddings: every pair of a group, in tiles whose blocks are skipped where none can link."""
 
 from __future__ import annotations
 
@@ -7,30 +7,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
 from .shared import shuffle_partitions, stored, with_values
-from .words import mix
 
-SIMILARITY, BITS, NEIGHBORS, TILE = 0.93, 32, 2048, 8192
-#: Rows of a sorted pass that a task holds at a time, and that a partition has about.
-HOLD = 1 << 16
-ROWS = 1 << 10
-#: The share of pairs just at the similarity that all passes together may miss.
+SIMILARITY, BITS, NEIGHBORS = 0.93, 32, 2048
+#: Components of vectors, about, on a side of a tile: 65,536 vectors of 64.
+SIDE = 1 << 22
+#: Vectors that a block meets at a time, and pairs that are told in double precision at a time.
+MEET, TELL = 1024, 1 << 16
+#: The share of pairs just at the similarity that the passes of `passes_of` may miss.
 MISS = 0.01
-#: Components of unit vectors travel as 16-bit integers.
-UNIT = 32767
-#: Vectors of a group, about, from which its passes are counted; more passes than MANY give way to comparing all of a group where that is less work.
-SAMPLE, MANY = 256, 8
-#: Vectors on a side of a tile of such a group.
-SIDE = 16384
 
 
 def passes_of(x: np.ndarray, mean: np.ndarray, n: int, similarity: float, neighbors: int, miss: float = MISS, most: int = 1 << 14) -> int:
-    """Passes over a group of n unit vectors, of which x are some, so that pairs just at the similarity are missed with that rate.
+    """Passes that a search in sorted windows would take over a group of n unit vectors, of which x are some, to miss pairs just at the similarity with that rate.
+
+    `near_duplicates` misses none and makes no such passes; this tells how a group lies.
 
     Hyperplanes go through the group's mean; two vectors at an angle as seen from
     there agree in a random one's sign with 1 - angle / pi. A vector's crowd, those
@@ -61,39 +56,6 @@ def passes_of(x: np.ndarray, mean: np.ndarray, n: int, similarity: float, neighb
     return many
 
 
-def _planned(similarity: float, neighbors: int, miss: float):
-    """(grp, size, mean, passes) of one large group, from its sampled vectors; no passes where comparing all is less work."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        n, mean = table.column("size")[0].as_py(), np.array(table.column("mean")[0].as_py())
-        passes = passes_of(_matrix(table.column("vec")), mean, n, similarity, neighbors, miss)
-        whole = passes > MANY and 2 * passes * neighbors >= n
-        return pa.table({"grp": [key[0].as_py()], "size": [n], "mean": pa.array([mean.tolist()], pa.list_(pa.float64())), "passes": pa.array([0 if whole else passes], pa.int32())})
-
-    return run
-
-
-def planes_of(passes: int, bits: int, dim: int) -> np.ndarray:
-    """Random hyperplanes of all passes, the same in every task: dim x (passes * bits)."""
-    u = mix(np.arange(2 * dim * passes * bits, dtype=np.uint64)).astype(np.float64) / 2**64
-    a, b = np.maximum(u[: len(u) // 2], 1e-12), u[len(u) // 2 :]
-    return (np.sqrt(-2 * np.log(a)) * np.cos(2 * np.pi * b)).reshape(dim, passes * bits)
-
-
-def _plain(column: pa.Array) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of one length, as unit vectors in double precision."""
-    x = _plain(column)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
 def _united(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """parent, a root for each place, after the links a-b."""
     while True:
@@ -110,226 +72,120 @@ def _united(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             parent = above
 
 
-def _spread(dim: int) -> float:
-    """How far the product of two unit vectors as 16-bit integers can be from their own."""
-    return math.sqrt(dim) / UNIT + dim / UNIT**2 + 2e-5
-
-
-def _key_rows(most: int, bits: int):
-    """Each vector once for every pass of its group, with that pass's hash bits as a sort key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for at in range(0, len(batch), 2048):
-                part = batch.slice(at, 2048)
-                dims = np.diff(part.column("vec").offsets.to_numpy())
-                for dim in np.unique(dims):
-                    same = part.filter(pa.array(dims == dim))
-                    if dim not in planes:
-                        planes[dim] = planes_of(most, bits, int(dim))
-                    x = _matrix(same.column("vec"))
-                    signs = ((x - _plain(same.column("mean"))) @ planes[dim] >= 0).reshape(len(same), most, bits)
-                    keys = (signs.astype(np.int64) << np.arange(bits - 1, -1, -1)).sum(axis=2)
-                    whole = np.round(x * UNIT).astype("<i2")
-                    unit = pa.array([v.tobytes() for v in whole], pa.binary())
-                    passes = same.column("passes").to_numpy()
-                    for p in range(passes.max()):
-                        some = np.flatnonzero(passes > p)
-                        take = pa.array(some)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), p, np.int32)), same.column("grp").take(take), pa.array(keys[some, p]), same.column("node").take(take), unit.take(take)], names=["pass", "grp", "key", "node", "unit"])
-
-    return run
-
-
-_LINKS = "a bigint, b bigint, sure boolean"
-_KEYED = "pass int, grp bigint, key bigint, node bigint, unit binary"
-_WINDOWS = _LINKS + ", border int, side int, nth int, " + _KEYED
-
-
-def _near(table: pa.Table, similarity: float, neighbors: int, across: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, sure) of sorted rows: links of each vector with the next `neighbors` of its pass and group, as a forest, and pairs too close to the similarity to tell; with `across`, only pairs over that place."""
-    node, grp, run = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("node", "grp", "pass"))
-    raw = table.column("unit").combine_chunks().cast(pa.binary())
-    bounds = np.flatnonzero(np.concatenate([[True], (grp[1:] != grp[:-1]) | (run[1:] != run[:-1]), [True]]))
-    parent = np.arange(len(node))
-    doubt_a, doubt_b = [], []
-    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        if across is not None and not lo < across < hi:
+def _blocks(x: np.ndarray, bits: int, most: int) -> list[np.ndarray]:
+    """Places of vectors in blocks of at most so many that lie close together: cut by hyperplanes through the mean, across the longest axis, up to `bits` times in a row."""
+    done, open_ = [], [(np.arange(len(x)), bits)]
+    while open_:
+        part, left = open_.pop()
+        if len(part) <= most or not left:
+            done += [part[k : k + most] for k in range(0, len(part), most)]
             continue
-        x = np.stack([np.frombuffer(v.as_py(), "<i2") for v in raw.slice(lo, hi - lo)]).astype(np.float32) / np.float32(UNIT)
-        n, slack = hi - lo, _spread(x.shape[1])
-        for at in range(0, n, ROWS):
-            part, rest = x[at : at + ROWS], x[at : at + ROWS + neighbors]
-            close = part @ rest.T
-            i, j = np.nonzero(close >= similarity - slack)
-            ok = (j > i) & (j - i <= neighbors)
-            if across is not None:
-                ok &= (i + at + lo < across) & (j + at + lo >= across)
-            i, j = i[ok], j[ok]
-            sure = close[i, j] >= similarity + slack
-            i, j = i + at + lo, j + at + lo
-            if len(i):
-                parent = _united(parent, i[sure], j[sure])
-                if not sure.all():
-                    doubt_a.append(i[~sure])
-                    doubt_b.append(j[~sure])
-    some = np.flatnonzero(parent != np.arange(len(parent)))
-    a, b, told = node[some], node[parent[some]], np.ones(len(some), bool)
-    if doubt_a:
-        i, j = np.concatenate(doubt_a), np.concatenate(doubt_b)
-        k = parent[i] != parent[j]
-        a, b, told = np.concatenate([a, node[i[k]]]), np.concatenate([b, node[j[k]]]), np.concatenate([told, np.zeros(int(k.sum()), bool)])
-    return a, b, told
-
-
-def _window_links(similarity: float, neighbors: int):
-    """Links in the sorted rows of one partition, and the rows at its two ends, for the pairs over its borders."""
-
-    def links(held: pa.Table) -> pa.RecordBatch:
-        a, b, sure = _near(held, similarity, neighbors)
-        none = lambda t: pa.nulls(len(a), t)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sure), *[none(pa.int32())] * 3, none(pa.int32()), *[none(pa.int64())] * 3, none(pa.binary())], names=[x.split()[0] for x in _WINDOWS.split(", ")])
-
-    def edge(rows: pa.Table, border: int, side: int) -> Iterator[pa.RecordBatch]:
-        for batch in rows.combine_chunks().to_batches():
-            n = len(batch)
-            cols = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.array(np.full(n, border, np.int32)), pa.array(np.full(n, side, np.int32)), pa.array(np.arange(n, dtype=np.int32))]
-            yield pa.RecordBatch.from_arrays(cols + [batch.column(c.split()[0]) for c in _KEYED.split(", ")], names=[x.split()[0] for x in _WINDOWS.split(", ")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, held, n, began = TaskContext.get().partitionId(), [], 0, False
-        for batch in batches:
-            held.append(batch)
-            n += len(batch)
-            if n >= HOLD:
-                table = pa.Table.from_batches(held)
-                if not began:
-                    yield from edge(table.slice(0, neighbors), place - 1, 1)
-                    began = True
-                yield links(table)
-                held = table.slice(n - neighbors).combine_chunks().to_batches()
-                n = neighbors
-        if n:
-            table = pa.Table.from_batches(held)
-            if not began:
-                yield from edge(table.slice(0, neighbors), place - 1, 1)
-            yield links(table)
-            yield from edge(table.slice(max(0, len(table) - neighbors)), place, 0)
-
-    return run
-
-
-def _border_links(similarity: float, neighbors: int):
-    """Links between the last rows of one partition and the first of the next."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("side", "ascending"), ("nth", "ascending")])
-        left = int((table.column("side").to_numpy() == 0).sum())
-        a, b, sure = _near(table, similarity, neighbors, left)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sure": pa.array(sure, pa.bool_())})
+        y = x[part] - x[part].mean(axis=0)
+        axis = y[np.argmax((y * y).sum(axis=1))]
+        for _ in range(4):
+            axis = y.T @ (y @ axis)
+            axis /= max(1e-30, np.linalg.norm(axis))
+        sign = y @ axis >= 0
+        open_ += [(part[~sign], left - 1), (part[sign], left - 1)] if sign.any() and not sign.all() else [(part, 0)]
+    return done
+
+
+def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of one length as they are, and as unit vectors in single precision."""
+    raw = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    unit = np.empty(raw.shape, np.float32)
+    for at in range(0, len(raw), MEET):
+        x = raw[at : at + MEET].astype(np.float64)
+        x /= np.abs(x).max(axis=1, keepdims=True)
+        unit[at : at + MEET] = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return raw, unit
+
+
+def _reached(u: np.ndarray, v: np.ndarray, similarity: float) -> np.ndarray:
+    """Which rows' cosines reach the similarity, in double precision.
+
+    Sums go by the order of components, so a pair has one answer whatever else is
+    asked with it. Scaling by powers of two keeps squares in range and is exact.
+    """
+    u, v = (np.ascontiguousarray(np.ldexp(w.T, -np.frexp(np.abs(w).max(axis=1))[1])) for w in (u.astype(np.float64), v.astype(np.float64)))
+    dot, uu, vv = np.zeros((3, u.shape[1]))
+    for a, b in zip(u, v):
+        dot, uu, vv = dot + a * b, uu + a * a, vv + b * b
+    return dot / (np.sqrt(uu) * np.sqrt(vv)) >= similarity
 
-    return run
 
+def _linked(raw: np.ndarray, x: np.ndarray, ends: list[int], inside: bool, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All linked pairs of places, each once: of the blocks that end there with all behind the last, or with `inside` all pairs.
 
-def _whole_links(similarity: float):
-    """Links of the groups that a window holds whole, as a forest."""
+    A block lies in a ball; vectors farther from its centre than radius and reach
+    together can't link with any of it and are left out. Products in single
+    precision that could be on either side of the similarity are told in double
+    precision.
+    """
+    slack = (x.shape[1] + 8) * 2.0**-23  # twice the bound of single precision's error in a product
+    reach = math.sqrt(max(0.0, 2 - 2 * similarity))
+    for at, end in zip([0, *ends], ends):
+        part, first = x[at:end], at if inside else ends[-1]
+        centre = part.mean(axis=0)
+        squares = lambda v: 1 + float(centre @ centre) - 2 * (v @ centre)
+        radius = math.sqrt(max(0.0, float(squares(part).max())) + 4 * slack)
+        others = first + np.flatnonzero(squares(x[first:]) <= (radius + reach) ** 2 + 4 * slack)
+        for to in range(0, len(others), MEET):
+            cols = others[to : to + MEET]
+            close = (part @ x[cols].T).ravel()
+            some = np.flatnonzero(close >= similarity - slack)
+            i, j = np.divmod(some, len(cols))
+            a, b, told = i + at, cols[j], close[some] >= similarity + slack
+            if inside:
+                once = a < b
+                a, b, told = a[once], b[once], told[once]
+            open_ = np.flatnonzero(~told)
+            for k in range(0, len(open_), TELL):
+                ask = open_[k : k + TELL]
+                told[ask] = _reached(raw[a[ask]], raw[b[ask]], similarity)
+            if told.any():
+                yield a[told], b[told]
+
+
+def _tile_links(similarity: float, bits: int, block: int):
+    """What the groups of one part, or two sides of one group, show: (node, links, up) of each vector with a link, its links counted in rows of the table, `up` one vector for all that are linked together."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("grp")
-        grp, node = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("grp", "node"))
+        table, i, j = table.sort_by("grp"), key[1].as_py(), key[2].as_py()
+        grp, node, many, side = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("grp", "node", "many", "side"))
         lists = table.column("vec").combine_chunks()
-        parent = np.arange(len(node))
+        up, links = node.copy(), np.zeros(len(node), np.int64)
         bounds = np.flatnonzero(np.concatenate([[True], grp[1:] != grp[:-1], [True]]))
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            if hi - lo > 1:
-                x = _matrix(lists.slice(lo, hi - lo))
-                i, j = np.nonzero(np.triu(x @ x.T >= similarity, 1))
-                if len(i):
-                    parent = _united(parent, i + lo, j + lo)
-        some = np.flatnonzero(parent != np.arange(len(parent)))
-        return pa.table({"a": pa.array(node[some], pa.int64()), "b": pa.array(node[parent[some]], pa.int64())})
-
-    return run
-
-
-def _tile_links(similarity: float):
-    """Links between two sides of one group, or inside one, as a forest."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        node, side = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("node", "side"))
-        i, j = key[1].as_py(), key[2].as_py()
-        x, parent = _matrix(table.column("vec")), np.arange(len(node))
-        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        other = x[right].T
-        for at in range(0, len(left), 256):
-            a, b = np.nonzero(x[left[at : at + 256]] @ other >= similarity)
-            if len(a):
-                parent = _united(parent, left[a + at], right[b])
-        some = np.flatnonzero(parent != np.arange(len(parent)))
-        return pa.table({"a": pa.array(node[some], pa.int64()), "b": pa.array(node[parent[some]], pa.int64())})
-
-    return run
-
-
-def _told_links(similarity: float):
-    """The pairs whose cosine, in double precision, reaches the similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = np.diff(batch.column("u").offsets.to_numpy())
-            for dim in np.unique(dims):
-                same = batch.filter(pa.array(dims == dim))
-                ok = np.einsum("ij,ij->i", _matrix(same.column("u")), _matrix(same.column("v"))) >= similarity
-                yield same.select(["a", "b"]).filter(pa.array(ok))
-
-    return run
-
-
-def _tile_counts(similarity: float):
-    """Links of each vector inside its component, by what one part or tile shows: (node, links), counted in rows of the table."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("root")
-        root, node, many, side = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("root", "node", "many", "side"))
-        lists = table.column("vec").combine_chunks()
-        i, j = key[1].as_py(), key[2].as_py()
-        count = np.zeros(len(node), np.int64)
-        bounds = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1], [True]]))
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
-            x = _matrix(lists.slice(lo, hi - lo))
-            left, right = (np.flatnonzero(side[lo:hi] == k) for k in (i, j)) if i != j else (np.arange(hi - lo),) * 2
-            other = x[right].T
-            for at in range(0, len(left), ROWS):
-                rows = left[at : at + ROWS]
-                near = x[rows] @ other >= similarity
-                if i == j:
-                    near[np.arange(len(rows)), rows] = False
-                else:
-                    count[lo + right] += near.T @ many[lo + rows]
-                count[lo + rows] += near @ many[lo + right]
-        return pa.table({"node": pa.array(node), "links": pa.array(count)})
+            raw, x = _vectors(lists.slice(lo, hi - lo))
+            left, right = np.flatnonzero(side[lo:hi] == i), np.flatnonzero(side[lo:hi] != i)
+            blocks = _blocks(x[left], bits, block)
+            order = np.concatenate([*(left[k] for k in blocks), right])
+            raw, x, at = raw[order], x[order], order + lo
+            parent, copies = np.arange(hi - lo), many[at]
+            for a, b in _linked(raw, x, np.cumsum([len(k) for k in blocks]).tolist(), i == j, similarity):
+                parent = _united(parent, a, b)
+                for s, t in ((a, b), (b, a)):
+                    links[at] += np.bincount(s, copies[t], hi - lo).astype(np.int64)
+            up[at] = node[at[parent]]
+        some = np.flatnonzero(links)
+        return pa.table({"node": node[some], "links": links[some], "up": up[some]})
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", group_col: str = "label", similarity: float = SIMILARITY, bits: int = BITS, neighbors: int = NEIGHBORS, miss: float = MISS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", group_col: str = "label", similarity: float = SIMILARITY, bits: int = BITS, neighbors: int = NEIGHBORS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row; only vectors of one group are compared, by cosine.
 
-    Equal vectors of a group are one class from the start. A group that a window
-    holds whole has all its pairs compared. Larger ones are ordered in passes, by
-    `bits` concatenated signs of random hyperplanes through the group's mean;
-    each vector meets the next `neighbors`, also over the borders of partitions,
-    and the verified pairs of all passes are united. What travels for a pass are
-    16-bit components: a pair that they can't tell is verified in double
-    precision. Then every pair inside a component is compared, in tiles of bounded
-    size, so that n_links has all links of a large group of near copies, whatever
-    the windows saw. A group's passes are counted from how some of its vectors
-    lie among each other (`passes_of`), so that `miss` stays about the share of pairs at
-    the similarity that no window sees. Where that takes many passes, as in a few
-    dense clusters, and their windows would hold more pairs than the group
-    has, all its pairs are compared, in tiles. A missed pair that nothing else
-    links can leave out a component or leave one in two parts.
+    Equal vectors of a group are one class from the start. All pairs of classes
+    of a group are compared, whatever its size: groups are dealt in sides of about
+    SIDE components, and every two sides meet in one task, small groups many in
+    one. There a side is cut in blocks of `neighbors` vectors at most, by up to
+    `bits` hyperplanes one after the other; a block meets the vectors that can
+    link with any of it. No link is lost and none is found below the similarity,
+    and neither sizes, `bits` nor `neighbors` change a result. The work
+    grows with the square of a group, less what blocks leave out; a vector
+    travels once for each side of its group.
 
     Vectors that are null, empty, zero or hold null or non-finite values, and
     rows with a null group, link with nothing. Vectors of different lengths are
@@ -343,54 +199,21 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = vectors.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(most_id)).alias("id"), F.when(sound, F.xxhash64(F.col(group_col), vec)).alias("node"), F.xxhash64(F.col(group_col), F.size(vec)).alias("grp"), F.when(sound, F.col(vector_col)).alias("vec"))
     rows = stored(rows, "vectors")
     classes = stored(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("many"), F.first("grp").alias("grp"), F.first("vec").alias("vec")), "classes")
-    sizes = stored(classes.groupBy("grp").agg(F.count(F.lit(1)).alias("size")), "sizes")
-    large = sizes.where(F.col("size") > neighbors + 1)
-    found = []
-
-    norm = F.sqrt(F.aggregate(F.col("vec").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))
-    whole = with_values(classes.select("grp", "node", "vec"), sizes, "grp", "size", F.col("node"))
-    small = whole.where((F.col("size") <= neighbors + 1) & (F.col("size") > 1))
-    total = sizes.where(F.col("size") <= neighbors + 1).agg(F.sum("size")).first()[0] or 0
-    parts = max(shuffle_partitions(spark), total // HOLD)
-    found.append(small.select(F.pmod(F.xxhash64("grp"), F.lit(parts)).alias("part"), "grp", "node", "vec").groupBy("part").applyInArrow(_whole_links(similarity), "a bigint, b bigint"))
-
-    if not large.isEmpty():
-        each = whole.where(F.col("size") > neighbors + 1).withColumn("norm", norm).select("grp", F.posexplode("vec").alias("i", "x"), "norm")
-        means = each.groupBy("grp", "i").agg(F.avg(F.col("x").cast("double") / F.col("norm")).alias("m")).groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("_m"))
-        means = means.select("grp", F.transform("_m", lambda e: e["m"]).alias("mean"))
-        means = stored(large.join(means, "grp"), "means")
-        some = whole.where(F.col("size") > neighbors + 1).where(F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("size") / SAMPLE)) == 0)
-        plan = stored(some.select("grp", "vec").join(means, "grp").groupBy("grp").applyInArrow(_planned(similarity, neighbors, miss), "grp bigint, size bigint, mean array<double>, passes int"), "plan")
-        most, keys = plan.agg(F.max("passes"), F.sum(F.col("size") * F.col("passes"))).first()
-        planned = with_values(classes.select("grp", "node", "vec"), plan, "grp", "size", F.col("node")).where("passes is not null")
-        tiles = F.ceil(F.col("size") / SIDE).cast("int")
-        all_pairs = planned.where("passes = 0").withColumn("side", F.pmod(F.xxhash64("node", F.lit(2)), tiles).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), tiles - 1)))
-        all_pairs = all_pairs.select("grp", F.least("side", "t").alias("i"), F.greatest("side", "t").alias("j"), "node", "side", "vec")
-        found.append(all_pairs.groupBy("grp", "i", "j").applyInArrow(_tile_links(similarity), "a bigint, b bigint"))
-        planned = planned.where("passes > 0")
-        keyed = planned.select("grp", "node", "vec", "mean", "passes").mapInArrow(_key_rows(most, bits), _KEYED)
-        dealt = keyed.repartitionByRange(max(1, -(-keys // HOLD)), "pass", "grp", "key", "node").sortWithinPartitions("pass", "grp", "key", "node")
-        windows = stored(dealt.mapInArrow(_window_links(similarity, neighbors), _WINDOWS), "windows")
-        over = windows.where("border is not null").groupBy("border").applyInArrow(_border_links(similarity, neighbors), _LINKS)
-        links = stored(windows.where("border is null").select("a", "b", "sure").union(over), "window-links")
-        doubt = links.where("not sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        told = doubt.join(classes.select(F.col("node").alias("a"), F.col("vec").alias("u")), "a").join(classes.select(F.col("node").alias("b"), F.col("vec").alias("v")), "b")
-        found += [links.where("sure").select("a", "b"), told.select("a", "b", "u", "v").mapInArrow(_told_links(similarity), "a bigint, b bigint")]
-    edges = found[0]
-    for f in found[1:]:
-        edges = edges.union(f)
-    of_node = stored(components(edges), "components")
-    counted = of_node.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    inside = of_node.join(counted, "root").join(classes, "node").withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int"))
-    inside = inside.withColumn("side", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    parts = 4 * shuffle_partitions(spark)
-    single = inside.where("tiles = 1").select(F.pmod(F.xxhash64("root"), F.lit(parts)).alias("p"), F.lit(0).alias("i"), F.lit(0).alias("j"), "root", "node", "many", "side", "vec")
-    tiled = inside.where("tiles > 1").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.select((F.lit(parts) + F.pmod(F.col("root"), F.lit(1 << 40))).alias("p"), F.least("side", "t").alias("i"), F.greatest("side", "t").alias("j"), "root", "node", "many", "side", "vec")
-    counts = single.union(tiled).groupBy("p", "i", "j").applyInArrow(_tile_counts(similarity), "node bigint, links bigint")
-    links = counts.groupBy("node").agg(F.sum("links").alias("links"))
-    least = of_node.join(classes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component"))
-    known = classes.select("node", "least", "many").join(links, "node", "left").join(of_node.join(least, "root").select("node", "component"), "node", "left")
+    sizes = stored(classes.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.first(F.size("vec")).alias("dim")), "sizes")
+
+    parts = 4 * max(shuffle_partitions(spark), (sizes.agg(F.sum(F.col("size") * F.col("dim"))).first()[0] or 0) // SIDE)
+    dealt = with_values(classes.select("grp", "node", "many", "vec"), sizes, "grp", "size", F.col("node")).where("size > 1")
+    dealt = dealt.withColumn("sides", F.ceil(F.col("size") * F.col("dim") / SIDE).cast("int"))
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    part = F.when(F.col("sides") > 1, parts + F.pmod(F.col("grp"), F.lit(1 << 40))).otherwise(F.pmod(F.xxhash64("grp"), F.lit(parts)))
+    dealt = dealt.select(part.alias("part"), F.least("side", "t").alias("i"), F.greatest("side", "t").alias("j"), "grp", "node", "many", "side", "vec")
+    shown = stored(dealt.groupBy("part", "i", "j").applyInArrow(_tile_links(similarity, bits, neighbors), "node bigint, links bigint, up bigint"), "links")
+
+    of_node = stored(components(shown.select(F.col("node").alias("a"), F.col("up").alias("b"))), "components")
+    least = of_node.join(classes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("m"))
+    linked = with_values(of_node, stored(least, "roots"), "root", "m", F.col("node")).select("node", "component")
+    links = shown.groupBy("node").agg(F.sum("links").alias("links"))
+    known = classes.select("node", "least", "many").join(links, "node", "left").join(linked, "node", "left")
     known = stored(known.select("node", "many", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "least").alias("component")), "known")
     out = with_values(rows.select("id", "node"), known, "node", "many", F.col("id")).select("id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component", "id").alias("component"))
     real = lambda c: F.when(F.col(c) != most_id, F.col(c))

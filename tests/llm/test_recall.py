@@ -58,6 +58,56 @@ def test_links_of_clustered_groups(spark, tmp_path, clusters, share):
     assert len(links) >= k / 2 and kept >= 0.97 * len(links)
 
 
+@pytest.mark.parametrize(("clusters", "copies"), [(0, 0), (3, 400)])
+def test_links_of_a_group_whatever_its_size(spark, monkeypatch, clusters, copies):
+    """The same rows in one large group of several sides and many blocks, and beside it pair by pair in groups of their own: every link, none more."""
+    monkeypatch.setattr(neighbors, "SIDE", 32 * 1000)
+    n, dim, k = 3000, 32, 300
+    r = np.random.default_rng(21)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = unit(r.standard_normal((n, dim)) + (3 * unit(r.standard_normal((clusters, dim)))[r.integers(0, clusters, n)] if clusters else 0))
+    c, noise = r.uniform(0.9301, 0.94, (k, 1)), r.standard_normal((k, dim))
+    x[k : 2 * k] = c * x[:k] + np.sqrt(1 - c**2) * unit(noise - (noise * x[:k]).sum(axis=1, keepdims=True) * x[:k])
+    x[n - copies :] = unit(x[n - 1] + 0.05 * r.standard_normal((copies, dim)))
+    x = x.astype(np.float32)
+    rows = [(i, x[i].tolist(), -1) for i in range(n)] + [(n + i, x[i].tolist(), i % k) for i in range(2 * k)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    u = unit(x.astype(float))
+    links = u @ u.T >= 0.93
+    component = np.arange(n)
+    while True:  # the least id among the linked, until it stays
+        lower = np.where(links, component, n).min(axis=1)
+        if (lower == component).all():
+            break
+        component = lower
+    expected = {i: (links[i].sum() - 1, component[i]) for i in range(n)}
+    expected |= {n + i: (int(links[i, (i + k) % (2 * k)]), n + i % k if links[i, (i + k) % (2 * k)] else n + i) for i in range(2 * k)}
+    for window in (16, 2048):
+        got = {v.vec_id: (v.n_links, v.component_id) for v in neighbors.near_duplicates(df, neighbors=window).collect()}
+        assert len(got) == len(rows) and {i: (got[i], e) for i, e in expected.items() if got[i] != e} == {}
+
+
+def test_a_cosine_at_the_similarity_has_one_answer():
+    """Alone or among others, either way round, at any length, as the SQL's formula has it."""
+    r = np.random.default_rng(5)
+    u = r.standard_normal((500, 64)).astype(np.float32)
+    v = (u + 0.4 * r.standard_normal((500, 64))).astype(np.float32)
+    for i in range(0, 500, 25):
+        a, b = u[i].astype(float).tolist(), v[i].astype(float).tolist()
+        dot, norm = 0.0, []
+        for w in (a, b):
+            norm.append(0.0)
+            for y in w:
+                norm[-1] += y * y
+        for y, z in zip(a, b):
+            dot += y * z
+        cosine = dot / (np.sqrt(norm[0]) * np.sqrt(norm[1]))
+        for at, answer in ((cosine, True), (np.nextafter(cosine, 2), False)):
+            many = neighbors._reached(u, v, at)[i]
+            one = neighbors._reached(v[i : i + 1].astype(float) * 2.0**600, u[i : i + 1], at)[0]
+            assert many == one == answer
+
+
 def test_results_of_two_runs_stay(spark):
     folder = "/root/testdata/sf0.001"
     one = corpus_pipeline.run(spark, folder)
