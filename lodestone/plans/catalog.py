@@ -371,11 +371,12 @@ def texts_redecoded(spark, d):
 
 @register("SELECT page_id, sha256(html) AS digest FROM pages")
 def page_charsets(spark, d):
-    """Pages written in several charsets and read again by a guess; those that Latin-1 doesn't hold go as UTF-8 there."""
+    """Pages written in several charsets and read again by a guess; those that Latin-1 doesn't hold go as UTF-8 there, and those that begin with a mark behind one more."""
     html = F.col("html")
-    latin = F.decode(F.encode(html, "UTF-8"), "UTF-8").rlike("^[\\x00-\\x7e\\xa0-\\xff]*$")
-    raw = F.when(F.col("page_id") % 4 == 0, F.encode(html, "UTF-16")).when(F.col("page_id") % 4 == 1, F.encode(html, "UTF-16LE"))
-    raw = raw.when((F.col("page_id") % 4 == 2) & latin, F.encode(F.when(latin, html), "ISO-8859-1")).otherwise(F.encode(html, "UTF-8"))
+    latin = F.decode(F.encode(html, "UTF-8"), "UTF-8").rlike("^[\\x00-\\x7e\\xa0-\\xff]*\\z")
+    marked = F.when(F.startswith(html, F.lit("\ufeff")), F.concat(F.lit("\ufeff"), html)).otherwise(html)
+    raw = F.when(F.col("page_id") % 4 == 0, F.encode(html, "UTF-16")).when(F.col("page_id") % 4 == 1, F.encode(marked, "UTF-16LE"))
+    raw = raw.when((F.col("page_id") % 4 == 2) & latin, F.encode(F.when(latin, html), "ISO-8859-1")).otherwise(F.encode(marked, "UTF-8"))
     return parquet(spark, d, "pages").select("page_id", F.sha2(charsets.decoded(raw), 256).alias("digest"))
 
 

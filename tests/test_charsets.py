@@ -1,9 +1,12 @@
 """Guessed charsets and texts read anew, on samples of many languages and on whole tables."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import charsets as C
+from lodestone.plans import catalog
 from lodestone.sources import tables
 
 SAMPLES = {
@@ -25,6 +28,20 @@ def test_bytes_are_read_as_they_were_written(language):
         assert C.text_of_bytes(page.encode(name)) == page, (name, C.charset_of(page.encode(name)))
 
 
+@pytest.mark.parametrize("line", ["Üü schteä ungü eniegeß", "ñó miñmi ííos", "Éçé èvi", "óí ción", "éêeuxch ére"])
+def test_western_words_stay_western_however_often_a_line_recurs(line):
+    page = "<html><body>" + f"<p>{line}</p>" * 60 + "<p>Gar ieß, asíque</p></body></html>"
+    assert C.text_of_bytes(page.encode("latin-1")) == page, C.charset_of(page.encode("latin-1"))
+
+
+def test_pages_that_begin_with_a_mark_or_end_in_a_line_separator(spark, tmp_path):
+    texts = ["\ufeff<p>x</p>", "<p>x</p>\u2028", "<p>x</p>\u0085", "<p>x</p>\n", "<p>asíque ción</p>", "", None]
+    rows = [(4 * i + k, t) for i, t in enumerate(texts) for k in range(4)]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.digest for r in catalog.queries()["page_charsets"](spark, str(tmp_path)).collect()}
+    assert got == {i: t if t is None else hashlib.sha256(t.encode()).hexdigest() for i, t in rows}
+
+
 @pytest.mark.parametrize("raw", [b"", b"a", b"\xff", b"\x00", b"\x80\x81\x8d", b"\xff\xfe", bytes(range(256)), b"\xfe\xff\xd8"])
 def test_any_bytes_have_a_text(raw):
     assert isinstance(C.text_of_bytes(raw), str)
