@@ -13,22 +13,27 @@ ABBREVIATION, STARTER = 0.3, 30.0
 OPENING, CLOSING = r"""^["'(\[{«„“‚‘]+""", r"""["')\]}»”’,;:!?]+$"""
 
 
-def _bare(word: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(word, OPENING, ""), CLOSING, "")
-
-
 def _told(word: Column) -> Column:
-    """(type: the word in lower case without a last full stop, stop: whether it has one) of a token."""
-    bare = _bare(word)
-    stop = bare.rlike(r"[^.]\.$")
+    """(type: the word in lower case without a last full stop, stop: whether it has one) of a token; trims of the characters in OPENING and CLOSING, as patterns are slow."""
+    bare = F.rtrim(F.ltrim(word, F.lit(OPENING[2:-2].replace("\\[", "["))), F.lit(CLOSING[1:-3].replace("\\]", "]")))
+    stop = F.endswith(bare, F.lit(".")) & ~F.endswith(bare, F.lit("..")) & (bare != ".")
     return F.struct(F.lower(F.when(stop, F.substring(bare, F.lit(1), F.length(bare) - 1)).otherwise(bare)).alias("type"), stop.alias("stop"))
 
 
 def _tokens(docs: DataFrame, text_col: str, group: Column) -> DataFrame:
-    """(grp, prev, prev_stop, type, stop) of every token, with the one before it in its text; one row for each different such, with its number n."""
-    told = docs.select(group.alias("grp"), F.explode(F.array(F.transform(T.words(F.col(text_col)), _told))).alias("w"))
-    pairs = told.select("grp", F.explode(F.transform("w", lambda x, i: F.struct(F.when(i > 0, F.get("w", i - 1)).alias("prev"), x.alias("x")))).alias("p"))
-    return pairs.groupBy("grp", F.col("p.prev.type").alias("prev"), F.col("p.prev.stop").alias("prev_stop"), F.col("p.x.type").alias("type"), F.col("p.x.stop").alias("stop")).agg(F.count(F.lit(1)).alias("n"))
+    """(grp, prev, type, stop, n) of tokens with the type of the one before in its text, where that has a full stop; else prev is null.
+
+    Words are counted as they are, and only different ones are looked at by patterns. The
+    one before is kept where it has a dot, so what is shuffled is a vocabulary and the
+    pairs at stops, not every pair.
+    """
+    split = docs.select(group.alias("grp"), F.split(T.text_of(F.col(text_col)), T.SPACE).alias("w"))
+    pairs = split.select("grp", F.explode(F.arrays_zip(F.concat(F.array(F.lit("")), "w").alias("prev"), F.col("w").alias("word"))).alias("p"))
+    dotted = F.when(F.contains("p.prev", F.lit(".")), F.col("p.prev"))
+    counted = pairs.where("p.word <> ''").groupBy("grp", dotted.alias("prev"), F.col("p.word").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    told = counted.select("grp", _told(F.col("prev")).alias("prev"), _told(F.col("word")).alias("x"), "n")
+    sure = lambda c, v: F.coalesce(c, F.lit(v))  # a join's keys aren't null; Spark would test that on every token
+    return told.select("grp", F.when(F.col("prev.stop"), F.col("prev.type")).alias("prev"), sure(F.col("x.type"), "").alias("type"), sure(F.col("x.stop"), False).alias("stop"), "n")
 
 
 def _log(k: Column, p: Column) -> Column:
@@ -36,6 +41,11 @@ def _log(k: Column, p: Column) -> Column:
     return F.when(k == 0, 0.0).otherwise(k * F.ln(F.greatest(p, F.lit(1e-300))))
 
 
+def _least(score: Column, bound: float) -> Column:
+    """Whether a score rounded to six places reaches a bound; few are rounded, as that is slow."""
+    return (score > bound - 0.001) & (F.round(score, 6) >= bound)
+
+
 def abbreviation_score(with_stop: Column, without: Column, stops: Column, total: Column, kind: Column) -> Column:
     """How much more likely a type is one that always has a full stop than one that has it as often as any; short types and inner stops count more, occurrences without a stop less."""
     p, n = stops / total, with_stop + without
@@ -55,24 +65,27 @@ def learned(docs: DataFrame, text_col: str = "text", group_col: str | None = Non
     """(grp, type, with_stop, without, abbreviation, starts, starter): every type that is an abbreviation or begins sentences, by group, such as a language.
 
     Tokens are words between white space; counts of them and of neighbours combine
-    before the shuffle, and no text moves. A starter follows a full stop that is no
+    before the shuffle, and no text moves; two rows for each group are broadcast. A starter follows a full stop that is no
     abbreviation's more often than chance has it. Null texts have no tokens; a null
     group is one of its own.
     """
     group = F.coalesce(F.col(group_col).cast("string"), F.lit("")) if group_col else F.lit("")
     pairs = _tokens(docs, text_col, group)
-    kinds = pairs.groupBy("grp", "type").agg(F.sum(F.when(F.col("stop"), F.col("n")).otherwise(0)).alias("with_stop"), F.sum(F.when(~F.col("stop"), F.col("n")).otherwise(0)).alias("without"))
+    n = F.col("n")
+    # No filter on a type or on prev alone: Spark would move it below the counts, and read and cut all texts anew for each.
+    kinds = pairs.groupBy("type", "grp").agg(F.sum(F.when(F.col("stop"), n).otherwise(0)).alias("with_stop"), F.sum(F.when(~F.col("stop"), n).otherwise(0)).alias("without"))
+    lettered = F.when(F.col("with_stop") + F.col("without") > 0, F.col("type").rlike(r"\p{L}"))
     totals = kinds.groupBy("grp").agg(F.sum("with_stop").alias("stops"), F.sum(F.col("with_stop") + F.col("without")).alias("total"))
     score = abbreviation_score(F.col("with_stop"), F.col("without"), F.col("stops"), F.col("total"), F.col("type"))
-    scored = kinds.join(totals, "grp").withColumn("abbreviation", F.col("type").rlike(r"\p{L}") & (F.col("with_stop") > 0) & (F.round(score, 6) >= ABBREVIATION))
-    short = scored.where("abbreviation").select("grp", F.col("type").alias("prev"), F.lit(True).alias("_short"))
-    begins = pairs.where("prev_stop").join(short, ["grp", "prev"], "left").where("_short is null")
-    starts = begins.groupBy("grp", "type").agg(F.sum("n").alias("starts"))
+    scored = kinds.join(F.broadcast(totals), "grp").withColumn("abbreviation", (F.col("with_stop") > 0) & _least(score, ABBREVIATION) & lettered)
+    short = scored.where("abbreviation").select("grp", F.col("type").alias("prev"))
+    begins = pairs.where(F.when(F.col("prev").isNotNull(), n) > 0).join(short.hint("shuffle_hash"), ["prev", "grp"], "left_anti")
+    starts = begins.groupBy("type", "grp").agg(F.sum("n").alias("starts"))
     breaks = starts.groupBy("grp").agg(F.sum("starts").alias("breaks"))
-    told = scored.join(starts, ["grp", "type"], "left").join(breaks, "grp", "left").fillna(0, ["starts", "breaks"])
+    told = scored.join(starts.hint("shuffle_hash"), ["type", "grp"], "left").join(F.broadcast(breaks), "grp", "left").fillna(0, ["starts", "breaks"])
     n = F.col("with_stop") + F.col("without")
     more = F.col("starts") * F.col("total") > n * F.col("breaks")
-    starter = F.col("type").rlike(r"\p{L}") & (F.col("starts") > 0) & more & (F.round(collocation_score(F.col("breaks"), n, F.col("starts"), F.col("total")), 6) >= STARTER)
+    starter = (F.col("starts") > 0) & more & _least(collocation_score(F.col("breaks"), n, F.col("starts"), F.col("total")), STARTER) & lettered
     out = told.withColumn("starter", starter & ~F.col("abbreviation"))
     return out.where("abbreviation or starter").select("grp", "type", "with_stop", "without", "abbreviation", "starts", "starter")
 

@@ -71,3 +71,18 @@ def test_no_word_is_lost(spark):
     whole = got.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), " ").alias("t"))
     both = docs.where(F.trim(F.regexp_replace("text", r"\s", "")) != "").join(whole, "doc_id", "left")
     assert both.where(~squeezed(F.col("text")).eqNullSafe(squeezed(F.col("t")))).count() == 0
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_texts_are_read_and_cut_into_words_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert final_plan(borders.learned(docs, group_col="lang")).count("FileScan") == 1
+
+
+def test_closing_marks_before_an_odd_line_end_stay(spark):
+    docs = spark.createDataFrame([("ab,\u2028 Cd ab. " * 20,)], "text string")
+    assert {(r["type"], r["stop"]) for r in borders._tokens(docs, "text", F.lit("")).collect()} == {("ab,\u2028", False), ("cd", False), ("ab", True)}
