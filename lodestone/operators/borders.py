@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -11,12 +11,18 @@ from ..functions import text as T
 ABBREVIATION, STARTER = 0.3, 30.0
 #: What stands around a word; a word of its own has a letter.
 OPENING, CLOSING = r"""^["'(\[{«„“‚‘]+""", r"""["')\]}»”’,;:!?]+$"""
+_OPENED, _CLOSED = OPENING[2:-2].replace("\\[", "["), CLOSING[1:-3].replace("\\]", "]")
+
+
+def _ends(bare: Column) -> Column:
+    """Whether a word ends in one full stop and has more than that."""
+    return F.endswith(bare, F.lit(".")) & ~F.endswith(bare, F.lit("..")) & (bare != ".")
 
 
 def _told(word: Column) -> Column:
     """(type: the word in lower case without a last full stop, stop: whether it has one) of a token; trims of the characters in OPENING and CLOSING, as patterns are slow."""
-    bare = F.rtrim(F.ltrim(word, F.lit(OPENING[2:-2].replace("\\[", "["))), F.lit(CLOSING[1:-3].replace("\\]", "]")))
-    stop = F.endswith(bare, F.lit(".")) & ~F.endswith(bare, F.lit("..")) & (bare != ".")
+    bare = F.rtrim(F.ltrim(word, F.lit(_OPENED)), F.lit(_CLOSED))
+    stop = _ends(bare)
     return F.struct(F.lower(F.when(stop, F.substring(bare, F.lit(1), F.length(bare) - 1)).otherwise(bare)).alias("type"), stop.alias("stop"))
 
 
@@ -94,22 +100,26 @@ def sentences(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_co
     """(id, pos, sentence): texts cut at full stops, question and exclamation marks before a capital or a parenthesis, but not behind an abbreviation or a single letter unless a known starter follows.
 
     known is what `learned` gives; it is joined, so it may be as large as a
-    vocabulary. A text's pieces meet again by text. White space inside a joined
-    sentence becomes one space; rows of a repeated or null id are texts of their own.
+    vocabulary. Only the words around a border are joined; a text moves once, whole, to
+    meet the numbers of its borders that don't hold, by a digest of it and its group. White
+    space inside a joined sentence becomes one space; rows of a repeated or null id are
+    texts of their own.
     """
     group = F.coalesce(F.col(group_col).cast("string"), F.lit("")) if group_col else F.lit("")
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), group.alias("grp"), T.sentences(F.col(text_col)).alias("_parts"))  # numbered before they are cut
-    rows = rows.select("_row", id_col, "grp", F.posexplode("_parts").alias("_i", "_s"))
-    word = lambda pattern: F.regexp_extract("_s", pattern, 0)
-    last, first = _told(word(r"[^ \t\n\r\f\x0B]+$")), _told(word(r"^[^ \t\n\r\f\x0B]+"))
-    rows = rows.select("*", F.when(last["stop"], last["type"]).alias("_last"), first["type"].alias("_first"))
-    rows = rows.withColumn("_initial", F.coalesce(F.col("_last").rlike(r"^\p{L}$"), F.lit(False)))
-    short = known.where("abbreviation").select("grp", F.col("type").alias("_last"), F.lit(True).alias("_short"))
-    start = known.where("starter").select("grp", F.col("type").alias("_first"), F.lit(True).alias("_starts"))
-    rows = rows.join(short, ["grp", "_last"], "left").join(start, ["grp", "_first"], "left")
-    by_text = Window.partitionBy("_row").orderBy("_i")
-    held = F.lag(F.coalesce("_short", F.lit(False)) | F.col("_initial")).over(by_text)
-    rows = rows.withColumn("_new", (~F.coalesce(held, F.lit(False)) | F.coalesce("_starts", F.lit(False))).cast("int"))
-    rows = rows.withColumn("_nth", F.sum("_new").over(by_text.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = rows.groupBy("_row", id_col, "_nth").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_s"))), lambda x: x["_s"]), " ").alias("sentence"), F.min("_i").alias("_i"))
-    return whole.select(id_col, (F.row_number().over(Window.partitionBy("_row").orderBy("_i")) - 1).alias("pos"), "sentence")
+    rows = docs.select(F.col(id_col).alias("_id"), group.alias("grp"), T.text_of(F.col(text_col)).alias("_text")).withColumn("_key", F.md5(F.concat(F.length("grp").cast("string"), F.lit(":"), "grp", "_text").cast("binary")))
+    cut = rows.select("_key", "grp", T.sentences(F.col("_text")).alias("_parts"))
+    borders = cut.select("_key", "grp", F.posexplode(F.arrays_zip(F.col("_parts").alias("s"), F.slice("_parts", 2, F.size("_parts")).alias("next")))).where("col.next is not null")
+    last, first = _told(F.regexp_replace("col.s", rf"\A(?s:.*){T.SPACE[:-1]}", "")), _told(F.regexp_extract("col.next", rf"\A[^{T.SPACE[1:]}", 0))
+    borders = borders.where(_ends(F.rtrim(F.col("col.s"), F.lit(_CLOSED)))).select("_key", "grp", "pos", last.alias("last"), first["type"].alias("_first"))
+    borders = borders.where("last.stop").select("_key", "grp", "pos", F.col("last.type").alias("_last"), "_first")
+    # One list, dealt out once, for both joins; a filter on a flag in either would make two of it.
+    flags = known.select("grp", "type", (F.col("abbreviation").cast("int") + 2 * F.col("starter").cast("int")).alias("_flags")).repartition("type", "grp")
+    of = lambda c: flags.withColumnRenamed("type", c)
+    held = borders.join(of("_last"), ["_last", "grp"], "left").where((F.coalesce("_flags", F.lit(0)).bitwiseAND(1) == 1) | F.col("_last").rlike(r"\A\p{L}\z")).drop("_flags")
+    held = held.join(of("_first"), ["_first", "grp"], "left").where(F.coalesce("_flags", F.lit(0)).bitwiseAND(2) == 0)
+    held = held.groupBy("_key").agg(F.collect_set(F.col("pos") + 1).alias("_held"))
+    both = rows.where("_text <> ''").join(held, "_key", "left").select("_id", "_held", T.sentences(F.col("_text")).alias("s"))
+    both = both.select("_id", "s", F.when(F.col("_held").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("s") - 1), "_held")).alias("_new"))
+    stretch = lambda at, k: F.array_join(F.slice("s", at + 1, F.coalesce(F.get("_new", k + 1), F.size("s")) - at), " ")
+    whole = both.select("_id", F.posexplode(F.when(F.col("_new").isNull(), F.col("s")).otherwise(F.transform("_new", stretch))).alias("pos", "sentence"))
+    return whole.select(F.col("_id").alias(id_col), "pos", "sentence")

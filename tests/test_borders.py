@@ -86,3 +86,18 @@ def test_texts_are_read_and_cut_into_words_once(spark):
 def test_closing_marks_before_an_odd_line_end_stay(spark):
     docs = spark.createDataFrame([("ab,\u2028 Cd ab. " * 20,)], "text string")
     assert {(r["type"], r["stop"]) for r in borders._tokens(docs, "text", F.lit("")).collect()} == {("ab,\u2028", False), ("cd", False), ("ab", True)}
+
+
+def test_texts_move_whole_and_known_words_are_told_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    plan = final_plan(borders.sentences(docs, borders.learned(docs, group_col="lang"), group_col="lang"))
+    assert plan.count("FileScan") == 3 and "Window" not in plan  # for words, borders and sentences
+
+
+def test_copies_and_odd_borders(spark):
+    texts = ["A. B. C. D.", "Seen by Dr. Who? Yes. (No) by J. (K) .. X", "Ab. . Cd. \" Ef", "", "  ", None]
+    docs = spark.createDataFrame([(k, t) for t in texts for k in (1, 1, None)], "doc_id int, text string")
+    known = spark.createDataFrame([("", "dr", True, False), ("", "yes", False, True), ("", "c", True, False)], "grp string, type string, abbreviation boolean, starter boolean")
+    got = sorted(map(str, ([r.doc_id, r.pos, r.sentence] for r in borders.sentences(docs, known).collect())))
+    want = [["A. B. C. D."], ["Seen by Dr. Who?", "Yes.", "(No) by J. (K) .. X"], ["Ab. .", "Cd. \" Ef"]]
+    assert got == sorted(str([k, i, s]) for ss in want for i, s in enumerate(ss) for k in (1, 1, None))
