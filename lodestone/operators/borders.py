@@ -106,7 +106,7 @@ def sentences(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_co
     texts of their own.
     """
     group = F.coalesce(F.col(group_col).cast("string"), F.lit("")) if group_col else F.lit("")
-    rows = docs.select(F.col(id_col).alias("_id"), group.alias("grp"), T.text_of(F.col(text_col)).alias("_text")).withColumn("_key", F.md5(F.concat(F.length("grp").cast("string"), F.lit(":"), "grp", "_text").cast("binary")))
+    rows = docs.select(F.col(id_col).alias("_id"), group.alias("grp"), T.text_of(F.col(text_col)).alias("_text")).withColumn("_key", F.unhex(F.md5(F.concat(F.length("grp").cast("string"), F.lit(":"), "grp", "_text").cast("binary"))))
     cut = rows.select("_key", "grp", T.sentences(F.col("_text")).alias("_parts"))
     borders = cut.select("_key", "grp", F.posexplode(F.arrays_zip(F.col("_parts").alias("s"), F.slice("_parts", 2, F.size("_parts")).alias("next")))).where("col.next is not null")
     last, first = _told(F.regexp_replace("col.s", rf"\A(?s:.*){T.SPACE[:-1]}", "")), _told(F.regexp_extract("col.next", rf"\A[^{T.SPACE[1:]}", 0))

@@ -99,5 +99,5 @@ def test_copies_and_odd_borders(spark):
     docs = spark.createDataFrame([(k, t) for t in texts for k in (1, 1, None)], "doc_id int, text string")
     known = spark.createDataFrame([("", "dr", True, False), ("", "yes", False, True), ("", "c", True, False)], "grp string, type string, abbreviation boolean, starter boolean")
     got = sorted(map(str, ([r.doc_id, r.pos, r.sentence] for r in borders.sentences(docs, known).collect())))
-    want = [["A. B. C. D."], ["Seen by Dr. Who?", "Yes.", "(No) by J. (K) .. X"], ["Ab. .", "Cd. \" Ef"]]
+    want = [["A. B. C. D."], ["Seen by Dr. Who?", "Yes.", "(No) by J. (K) ..", "X"], ["Ab. .", "Cd. \" Ef"]]
     assert got == sorted(str([k, i, s]) for ss in want for i, s in enumerate(ss) for k in (1, 1, None))
