@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -13,14 +16,19 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Texts of a batch that are measured together.
-TOGETHER = 64
+#: Texts of a batch that are measured together, and words whose counts a task keeps at most.
+TOGETHER, KEPT = 64, 500_000
 _SPACE = "[ \t\n\r\f\x0b]"
 _SENTENCE = re.compile(rf"(?<=[.!?]){_SPACE}+(?=[A-Z(])")
 _CLAUSE = re.compile(rf"(?<=[:;,—)-]){_SPACE}+|(?<=\.){_SPACE}+(?=[A-Z0-9])")
 _COLUMNS = "article_id string, chunk_id string, title string, section string, chunk_idx string, article_seq int, embed_text string, body string, text_with_images string, images string, source_relpath string, token_len int, word_len int"
 
 
+#: Unicode's white space with the word behind it; characters that Python and regular expressions elsewhere may not agree on.
+_BLANK = "\t-\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_UNIT, _UNSURE = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+"), re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
+
+
 class WordRule:
     """Tokens as words over 0.75, cut off."""
 
@@ -46,9 +54,39 @@ class Tokenizer:
 
         self.file = File.from_file(path)
         self.file.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.by_word, self.counts = self._adds_up(), {}
+
+    def _adds_up(self) -> bool:
+        """Whether a text's tokens are those of its words, each with the white space before it: the byte-level pattern takes no token across the end of a word."""
+        rules = json.loads(self.file.to_str())
+        cut = rules.get("pre_tokenizer") or {}
+        plain = not any(rules.get(k) for k in ("normalizer", "truncation", "padding")) and all(t["special"] and not t["lstrip"] and not t["rstrip"] for t in rules.get("added_tokens") or [])
+        return plain and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and rules["model"]["type"] == "BPE" and not rules["model"].get("dropout")
+
+    def _units(self, text: str) -> list[str]:
+        if _UNSURE.search(text):
+            return [text]
+        if " ".join(text.split()) == text:
+            return text.replace(" ", "\x1c ").split("\x1c")
+        return _UNIT.findall(text)
 
     def measure(self, texts: list[str]) -> list[int]:
-        return [len(e) for e in self.file.encode_batch(texts, add_special_tokens=False)]
+        if not self.by_word:
+            return [len(e) for e in self.file.encode_batch(texts, add_special_tokens=False)]
+        if len(self.counts) > KEPT:
+            self.counts.clear()
+        of, out, open_ = self.counts.__getitem__, [0] * len(texts), []
+        for i, text in enumerate(texts):
+            units = self._units(text)
+            try:
+                out[i] = sum(map(of, units))
+            except KeyError:
+                open_.append((i, units))
+        new = [u for u in dict.fromkeys(itertools.chain.from_iterable(u for _, u in open_)) if u not in self.counts]
+        self.counts.update(zip(new, map(len, self.file.encode_batch(new, add_special_tokens=False))))
+        for i, units in open_:
+            out[i] = sum(map(of, units))
+        return out
 
     def runs(self, text: str, cap: int) -> list[str]:
         """The text's words in runs, each as long as cap allows; a word of more tokens is a run of its own."""
@@ -81,6 +119,12 @@ class Tokenizer:
         return text if len(spans) <= cap else ""
 
 
+@functools.lru_cache(1)
+def _tokenizer(path: str, _changed: int) -> Tokenizer:
+    """One for all tasks of a process, with the counts of words that it has seen."""
+    return Tokenizer(path)
+
+
 def split_sentences(text: str) -> list[str]:
     return [s for s in (p.strip(" ") for p in _SENTENCE.split(text)) if s]
 
@@ -183,7 +227,7 @@ def _pieces(cutter: Cutter, windows: list[str], head: str, cap: int, least: int,
 
 def _cut(tokenizer: str | None, cues: tuple[str, ...], cap: int, least: int, threshold: int, most_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        measure = Tokenizer(tokenizer) if tokenizer else WordRule()
+        measure = _tokenizer(tokenizer, os.stat(tokenizer).st_mtime_ns) if tokenizer else WordRule()
         cue = re.compile(r"\b(" + "|".join(cues) + r")\b", re.IGNORECASE)
         for batch in batches:
             for at in range(0, len(batch), TOGETHER):

@@ -101,3 +101,40 @@ def test_groups_and_caps_of_the_whole_table(spark):
     for r in entry.queries()["hard_capped"](spark, SF).orderBy("doc_id", "pos").collect():
         got.setdefault(r.doc_id, []).append(r.piece)
     assert got == {i: p for i, t in texts.items() if (p := token_chunks.Cutter(token_chunks.WordRule()).capped(t, 128))}
+
+
+ODD = ["", " ", "a", " a", "a ", "a  b", "a\tb", "a\n\nThe end", "en\n\n\"Quote", "x\u00a0y \u00a0 z", "a\u2003 b\u2028", "a\x1cb \x1c!", "it's we'll  'll", "<|endoftext|> a <|endoftext|>b", "\u6f22\u5b57 \u304b\u306a\u3000x", "1 23 4.5,6", "!\x85!", "\U0001f600 \U0001f600\ufeff x", "a\u200bb \u180e", "e\u0301 \u0301", "\r\n a\r\n\r\nb \t\n", "tab\t b"]
+
+
+def test_counts_by_words_are_the_file_s(spark, path):
+    measure, r = token_chunks.Tokenizer(path), random.Random(3)
+    made = ["".join(r.choice(["a", "Z", "'s", " ", "  ", "\n", "\t", "\u00a0", "\u2009", "7", ".", "\u00e9", "\u6f22", "\x1d", "\x85"]) for _ in range(r.randrange(1, 14))) for _ in range(5000)]
+    texts = ODD + made + [x.text or "" for x in spark.read.parquet(f"{SF}/documents.parquet").limit(300).collect()]
+    assert measure.by_word and measure.measure(texts) == [len(e) for e in measure.file.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_word_is_given_to_the_file_once(path):
+    class Counted:
+        def __init__(self, file):
+            self.file, self.given = file, []
+
+        def encode_batch(self, texts, **how):
+            self.given += texts
+            return self.file.encode_batch(texts, **how)
+
+    measure = token_chunks.Tokenizer(path)
+    measure.file = Counted(measure.file)
+    for text in ("one two one", "two one two", "header\n\none two"):
+        measure.measure([text] * 3)
+    assert sorted(measure.file.given) == sorted([" one", " two", "\n\none", "header", "one", "two"])
+
+
+def test_a_file_of_other_rules_counts_whole_texts(path, tmp_path):
+    import json
+
+    rules = json.loads(open(path).read())
+    rules["normalizer"] = {"type": "Replace", "pattern": {"String": "a b"}, "content": "ab"}
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(rules))
+    measure = token_chunks.Tokenizer(str(other))
+    assert not measure.by_word and measure.measure(["a b", "x"]) == measure.measure(["ab", "x"])
